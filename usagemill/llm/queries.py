@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from usagemill.llm import pii, quality_rules, secrets
+from usagemill.llm import cotrain, packing, pii, quality_rules, secrets, simhash, topk
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_pii": pii.op2_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_quality_classifier": cotrain.op4_quality_classifier,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_packing": packing.op9_packing,
+    "op10_topk": topk.op10_topk,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
