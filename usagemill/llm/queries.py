@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from usagemill.llm import cotrain, packing, pii, quality_rules, secrets, simhash, topk
+from usagemill.llm import cotrain, langid, packing, piece_codec, pii, quality_rules, secrets, simhash, topk, url_filter
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_pii": pii.op2_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_classifier": cotrain.op4_quality_classifier,
+    "op5_piece_codec": piece_codec.op5_piece_codec,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_language_id": langid.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
