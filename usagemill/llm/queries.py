@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from usagemill.llm import cotrain, langid, packing, piece_codec, pii, quality_rules, secrets, simhash, topk, url_filter
+from usagemill.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -16,4 +19,3 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
 }
-ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}

@@ -25,9 +25,9 @@ STRONG = {
     "hex": (r"[0-9a-f]{16,}", 0, 0),
 }
 WEAK = {
-    "weak_secret": (r"""(?i:\b(?:password|passwd|secret|token|api_?key|pwd|passphrase|auth|credential)s?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""", 0, 0),
-    "account": (r"""(?i:\b(?:user(?:_?name)?|login|account|(?:client|access_?key)_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=@-]{3,})""", 0, 0),
-    "endpoint": (r"""(?i:\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?))""", 0, 0),
+    "weak_secret": (r"""(?<![A-Za-z0-9_])(?i:(?:password|passwd|secret|token|api_?key|pwd|passphrase|auth|credential)s?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""", 0, 0),
+    "account": (r"""(?<![A-Za-z0-9_])(?i:(?:user(?:_?name)?|login|account|(?:client|access_?key)_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=@-]{3,})""", 0, 0),
+    "endpoint": (r"""(?<![A-Za-z0-9_])(?i:(?:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?))""", 0, 0),
 }
 KINDS = [*STRONG, *WEAK]
 REACH = 240
