@@ -26,15 +26,13 @@ def roots(nodes: DataFrame, node: str = "node", parent: str = "parent", stop_bef
         new = written(grown.select("node", F.when(moved, F.col("up")).otherwise(F.col("to")).alias("to"), F.when(moved, F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth"), moved.alias("moved")))
         count, rows = new.agg(F.count(F.when(F.col("moved"), 1)), F.count(F.lit(1))).first()
         state = new.drop("moved")
-        if not count:
-            return state.select("node", F.col("to").alias("root"), "depth")
-        if new.agg(F.max("depth")).first()[0] > 2 * max(rows, 1):
+        if not count or new.agg(F.max("depth")).first()[0] > 2 * max(rows, 1):
             break
-    return _walked(state, own, stop_before_seen)
+    return _settled(state, own, stop_before_seen)
 
 
-def _walked(state: DataFrame, own: DataFrame, stop_before_seen: bool) -> DataFrame:
-    """The same where cycles were met: settled nodes keep their root, the others are walked."""
+def _settled(state: DataFrame, own: DataFrame, stop_before_seen: bool) -> DataFrame:
+    """Nodes whose chain ended keep its end as root; those on a cycle, or that lead into one, are walked."""
     parents = written(own.groupBy("node").agg(F.min("to").alias("up")))
     ends = state.join(parents.select(F.col("node").alias("to"), F.col("up").alias("beyond")), "to", "left")
     settled = F.col("beyond").isNull() | (F.col("beyond") == F.col("to"))

@@ -29,7 +29,7 @@ CARD = f"struct<schema_version: int, currency: string, unit_tokens: bigint, prov
 
 @dataclass(frozen=True)
 class RateTables:
-    """provider_aliases (alias, provider); models (provider, alias, model_id); periods (model_id, from_us, until_us, price); unit_tokens."""
+    """provider_aliases (alias, provider); models (provider, alias, model_id); periods (model_id, n, from_us, until_us, price); unit_tokens."""
 
     provider_aliases: DataFrame
     models: DataFrame
@@ -56,7 +56,7 @@ def rate_tables(card: DataFrame) -> RateTables:
     m = card.select(F.explode("card.models").alias("m")).select(_key(F.col("m.provider")).alias("provider"), _key(F.col("m.model")).alias("model"), "m.aliases", "m.prices")
     m = m.withColumn("model_id", F.concat_ws("/", "provider", "model"))
     models = m.select("provider", "model_id", F.explode(F.array_union(F.array("model"), F.coalesce("aliases", F.array()))).alias("alias")).select("provider", "model_id", _key(F.col("alias")).alias("alias"))
-    periods = m.select("model_id", F.explode("prices").alias("price")).select("model_id", F.unix_micros(F.to_timestamp("price.effective_from")).alias("from_us"), F.unix_micros(F.to_timestamp("price.effective_until")).alias("until_us"), "price")
+    periods = m.select("model_id", F.posexplode("prices").alias("n", "price")).select("model_id", "n", F.unix_micros(F.to_timestamp("price.effective_from")).alias("from_us"), F.unix_micros(F.to_timestamp("price.effective_until")).alias("until_us"), "price")
     small = []
     for t in (aliases, models, periods):
         rows = t.limit(MAX_CARD_ROWS + 1).collect()
@@ -70,8 +70,8 @@ def card_checks(rates: RateTables) -> DataFrame:
     """(problem, what); no row for a sound card."""
     p = rates.periods
     a, b = p.alias("a"), p.alias("b")
-    later = (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.from_us") <= F.col("b.from_us")) & (F.xxhash64(F.col("a.price")) != F.xxhash64(F.col("b.price")))
-    overlap = a.join(b, later & F.coalesce(F.col("b.from_us") < F.col("a.until_us"), F.lit(True))).select(F.lit("overlapping periods").alias("problem"), F.col("a.model_id").alias("what"))
+    before = lambda x, y: F.coalesce(F.col(f"{x}.from_us") < F.col(f"{y}.until_us"), F.lit(True))
+    overlap = a.join(b, (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.n") < F.col("b.n")) & before("a", "b") & before("b", "a")).select(F.lit("overlapping periods").alias("problem"), F.col("a.model_id").alias("what"))
     twice = lambda t, keys, problem: t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(problem).alias("problem"), F.concat_ws("/", *keys).alias("what"))
     empty = p.where("until_us <= from_us").select(F.lit("empty period").alias("problem"), F.col("model_id").alias("what"))
     undated = p.where("from_us IS NULL").select(F.lit("undated period").alias("problem"), F.col("model_id").alias("what"))

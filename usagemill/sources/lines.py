@@ -13,9 +13,11 @@ PREFIX_BYTES = 4096
 
 
 def read_files(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") -> DataFrame:
-    """A1, A2: (file, value) of all files under the folders."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths, wholetext=True)
-    return found.select(F.col("_metadata.file_path").alias("file"), "value").dropDuplicates(["file"])
+    """A1, A2: (file, value) of all files under the folders; a folder within another one isn't listed twice."""
+    tops = {p.rstrip("/") for p in paths}
+    tops = sorted(p for p in tops if not any(p.startswith(f"{q}/") for q in tops))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(tops, wholetext=True)
+    return found.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from usagemill.sources.lines import lines
 
 def stream_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
     """(file, value) of files as they arrive."""
-    found = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(folder)
+    found = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     return found.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
