@@ -129,3 +129,61 @@ def rate_card(spark: SparkSession):
     from usagemill.plans.pricing import CARD, rate_tables
 
     return rate_tables(spark.createDataFrame([(json.dumps(RATE_CARD),)], "value string").selectExpr(f"from_json(value, '{CARD}') AS card"))
+
+
+def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, ordinal, line): a rollout log for each owner and artifact of the counter view, a header first."""
+    from pyspark.sql import functions as F
+
+    rows = view(spark, sf_dir, "counter")
+    usage = lambda p: F.struct(F.col(f"{p}_input").alias("input_tokens"), F.col(f"{p}_output").alias("output_tokens"))
+    at = F.date_format(F.timestamp_seconds("observed_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = F.concat_ws("/", F.col("artifact").cast("string"), F.col("owner").cast("string")).alias("file")
+    info = F.struct(usage("total").alias("total_token_usage"), usage("last").alias("last_token_usage"))
+    body = F.to_json(F.struct(at.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), info.alias("info")).alias("payload")))
+    counts = rows.select(name, (F.col("ordinal") + 1).alias("ordinal"), body.alias("line"))
+    header = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("owner").cast("string").alias("id"), F.lit("p").alias("model_provider")).alias("payload")))
+    return counts.unionByName(rows.select("artifact", "owner").distinct().select(name, F.lit(0).cast("long").alias("ordinal"), header.alias("line")))
+
+
+def claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, ordinal, line): a transcript for each message of the snapshot view; every fifth turn has an invalid count."""
+    from pyspark.sql import functions as F
+
+    rows = view(spark, sf_dir, "snapshot")
+    usage = F.struct(F.when(F.col("seq") % 5 == 4, F.lit(-1)).otherwise(F.col("input_tokens")).alias("input_tokens"), "output_tokens")
+    message = F.struct(F.concat(F.lit("m"), F.col("message").cast("string")).alias("id"), F.lit("model").alias("model"), usage.alias("usage"))
+    body = F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("message").cast("string").alias("sessionId"), message.alias("message")))
+    return rows.select(F.col("message").cast("string").alias("file"), F.col("seq").alias("ordinal"), body.alias("line"))
+
+
+def pi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, ordinal, line): a session for each order with an assistant message for each of its lines."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.row_number().over(_lines_of_order()).alias("n"), F.col("l_quantity").cast("long").alias("q"), F.floor(F.col("l_extendedprice").cast("decimal(18,2)")).cast("long").alias("p"), "l_linenumber")
+    usage = F.struct(F.col("q").alias("input"), F.col("p").alias("output"), F.col("l_linenumber").alias("cacheRead"), F.when(F.col("l_linenumber") < 7, F.lit(0)).alias("cacheWrite"), F.when(F.col("l_linenumber") == 1, F.col("p") + 1).alias("reasoning"))
+    body = F.struct(F.lit("message").alias("type"), F.concat(F.lit("e"), F.col("n").cast("string")).alias("id"), F.struct(F.lit("assistant").alias("role"), F.lit("m").alias("model"), usage.alias("usage")).alias("message"))
+    name = F.col("l_orderkey").cast("string")
+    return rows.select(name.alias("file"), F.col("n").cast("long").alias("ordinal"), F.to_json(body).alias("line")).unionByName(rows.select(name.alias("file")).distinct().select("file", F.lit(0).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("s"), "file").alias("id"))).alias("line")))
+
+
+def _lines_of_order():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def opencode_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(session, message, part): a session for each customer, a message for each order, a part for each line with an odd number."""
+    from pyspark.sql import functions as F
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    session = orders.select(F.col("o_custkey").cast("string").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("parent_id"), F.lit("1.0.0").alias("version"), F.lit("build").alias("agent"), F.lit(1).cast("long").alias("time_created"), F.lit(2).cast("long").alias("time_updated"))
+    tokens = F.struct((F.col("o_orderkey") % 1000).alias("input"), F.lit(1).alias("output"), F.struct(F.lit(2).alias("read"), F.lit(3).alias("write")).alias("cache"))
+    data = F.to_json(F.struct(F.when(F.col("o_orderstatus") != "P", "assistant").otherwise("user").alias("role"), F.lit("p").alias("providerID"), F.lit("m").alias("modelID"), tokens.alias("tokens")))
+    message = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("session_id"), F.lit(1).cast("long").alias("time_created"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("time_updated"), data.alias("data"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    used = F.to_json(F.struct(F.when(F.col("l_linenumber") % 2 == 1, "step-finish").otherwise("text").alias("type"), F.struct(F.col("l_quantity").cast("long").alias("input"), F.col("l_linenumber").alias("output"), F.lit(1).alias("reasoning")).alias("tokens")))
+    part = lines.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.row_number().over(_lines_of_order()).cast("string")).alias("id"), F.col("l_orderkey").cast("string").alias("message_id"), F.lit("").alias("session_id"), F.lit(1).cast("long").alias("time_created"), F.lit(1).cast("long").alias("time_updated"), used.alias("data"))
+    return session, message, part

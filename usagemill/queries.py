@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagemill import demo
-from usagemill.functions import tokens
+from usagemill.functions import safety, tokens
 from usagemill.functions.models import creator, family
+from usagemill.functions.tables import written
+from usagemill.ledger import merge_events
 from usagemill.operators import lineage, reconcile
 from usagemill.plans import pricing, profile, reporting
+from usagemill.sources import claude, codex, opencode, pi
+from usagemill.sources.lines import corrupt_gate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,7 +219,7 @@ CASE WHEN model IS NULL THEN 'generic' ELSE CASE lower(trim(provider)) WHEN 'ope
 
 @query("a15_profile_payload")
 def a15_profile_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.public_payload(profile.profile(rows_of(spark, sf_dir, True), TZ, ZONE, NOW, DAYS), DAYS, END)
+    return profile.public_payload(profile.profile(written(rows_of(spark, sf_dir, True)), TZ, ZONE, NOW, DAYS), DAYS, END)
 
 
 # ---- reconciliation ------------------------------------------------------------------------------------------------------
@@ -451,3 +455,113 @@ def f9_latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*_KEY).agg(F.max("seq").alias("seq"), F.max_by("output_tokens", "seq").alias("output_tokens"))
 
 
+
+
+# ---- ingestion, over logs that Spark derives from the tables ---------------------------------------------------------------
+
+
+@query("a9_corrupt_gate", demo.ctes("counter") + ", l AS (SELECT artifact, owner, ordinal, total_input = 50 AS bad FROM v_counter), f AS (SELECT artifact, owner, min(ordinal) FILTER (WHERE bad) AS first FROM l GROUP BY ALL) SELECT (SELECT count(*) FROM l JOIN f USING (artifact, owner) WHERE first IS NULL OR ordinal < first) AS good, (SELECT count(first) FROM f) AS issues")
+def a9_corrupt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.view(spark, sf_dir, "counter").select(F.concat_ws("/", F.col("artifact").cast("string"), F.col("owner").cast("string")).alias("file"), "ordinal", F.when(F.col("total_input") == 50, "{cut").otherwise('{"x": 1}').alias("line"))
+    good, issues = corrupt_gate(rows, "codex")
+    return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(issues.agg(F.count(F.lit(1)).alias("issues")))  # one row each
+
+
+@query("b1_codex_token_count", demo.ctes("counter") + " SELECT CAST(owner AS VARCHAR) AS owner, artifact || '/' || owner AS file, ordinal + 1 AS ordinal, CAST(row_number() OVER (PARTITION BY owner, artifact ORDER BY ordinal) - 1 AS BIGINT) AS sequence, observed_at * 1000000000 AS observed_at_ns, total_input AS total_input_tokens, total_output AS total_output_tokens, last_input AS last_input_tokens, last_output AS last_output_tokens FROM v_counter")
+def b1_codex_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = codex.parse(demo.codex_lines(spark, sf_dir))["observations"]
+    return out.select("owner", "file", "ordinal", F.col("sequence").cast("long").alias("sequence"), "observed_at_ns", "total_input_tokens", "total_output_tokens", "last_input_tokens", "last_output_tokens")
+
+
+@query(
+    "d26_codex_rebuild",
+    demo.ctes("counter")
+    + """, b AS (SELECT *, owner || '|' || observed_at || '|' || total_input || '|' || coalesce(total_output, -1) || '|' || last_input || '|' || coalesce(last_output, -1) AS fp, lag(ordinal) OVER s AS po, lag(total_input) OVER s AS pi, lag(total_output) OVER s AS pp FROM v_counter WINDOW s AS (PARTITION BY owner, artifact ORDER BY ordinal)),
+dl AS (SELECT *, po IS NULL OR coalesce(total_input < pi, FALSE) OR coalesce(total_output < pp, FALSE) AS reset FROM b),
+df AS (SELECT owner, artifact, ordinal, fp, CASE WHEN reset THEN last_input ELSE total_input - pi END AS i, CASE WHEN reset THEN last_output WHEN total_output IS NOT NULL THEN CASE WHEN pp IS NOT NULL THEN total_output - pp ELSE last_output END END AS o FROM dl),
+w AS (SELECT owner, fp, arg_min({'i': i, 'o': o}, (artifact, ordinal)) AS t FROM df GROUP BY ALL)
+SELECT CAST(owner AS VARCHAR) AS owner, CASE WHEN greatest(coalesce(t['i'], 0), coalesce(t['o'], 0)) > 0 THEN 'canonical' ELSE 'excluded' END AS status, count(*) AS events, CAST(sum(t['i']) AS BIGINT) AS input_tokens, CAST(sum(t['o']) AS BIGINT) AS output_tokens FROM w GROUP BY ALL""",
+)
+def d26_codex_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = codex.events(written(codex.parse(demo.codex_lines(spark, sf_dir))["observations"]))
+    return events.groupBy(F.col("source_session_id").alias("owner"), "status").agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query("b6_claude_assistant", demo.ctes("snapshot") + " SELECT 'm' || message AS message, CAST(message AS VARCHAR) AS source_session_id, seq AS ordinal, input_tokens, output_tokens FROM v_snapshot WHERE seq % 5 <> 4")
+def b6_claude_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claude.parse(demo.claude_lines(spark, sf_dir))["observations"].select("message", "source_session_id", "ordinal", "input_tokens", "output_tokens")
+
+
+@query("d26_claude_rebuild", demo.ctes("snapshot") + " SELECT 'claude:m' || message AS event_key, 'canonical' AS status, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM v_snapshot WHERE seq % 5 <> 4 GROUP BY message")
+def d26_claude_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _ = claude.events(written(claude.parse(demo.claude_lines(spark, sf_dir))["observations"]))
+    return events.select("event_key", "status", "input_tokens", "output_tokens")
+
+
+@query("b31_quarantine", demo.ctes("snapshot") + " SELECT CAST(message AS VARCHAR) AS file, seq AS ordinal, 'invalid_usage' AS category FROM v_snapshot WHERE seq % 5 = 4")
+def b31_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claude.parse(demo.claude_lines(spark, sf_dir))["issues"].select("file", "ordinal", "category")
+
+
+@query("b12_pi_direct", "SELECT CAST(l_orderkey AS VARCHAR) AS file, 's' || l_orderkey AS session_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(CAST(floor(CAST(l_extendedprice AS DECIMAL(18, 2))) AS BIGINT)) AS BIGINT) AS output_tokens, CAST(sum(l_linenumber) AS BIGINT) AS cache_read_tokens, count(*) AS n FROM lineitem WHERE l_linenumber BETWEEN 2 AND 6 GROUP BY ALL")
+def b12_pi_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    direct = pi.parse(demo.pi_lines(spark, sf_dir))["direct"]
+    return direct.groupBy("file", "session_id").agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens")], F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "b20_opencode_parts",
+    """SELECT 'part' AS kind, CAST(l_orderkey AS VARCHAR) AS message_id, CAST(o_custkey AS VARCHAR) AS session_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(l_linenumber + 1) AS BIGINT) AS output_tokens, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND l_linenumber % 2 = 1 GROUP BY ALL
+UNION ALL SELECT 'message', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderkey % 1000, 1, 1 FROM orders WHERE o_orderstatus <> 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber % 2 = 1)""",
+)
+def b20_opencode_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = opencode.observations(*demo.opencode_tables(spark, sf_dir))
+    return rows.groupBy("kind", "message_id", "session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "d19_opencode_recover",
+    """WITH l AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS i, sum(l_linenumber + 1) AS o FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1),
+r AS (SELECT o_orderkey, n, o_orderkey % 1000 AS fi, coalesce(i, 0) AS pi, coalesce(o, 0) AS po FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P')
+SELECT CAST(count(*) FILTER (WHERE n IS NULL) AS BIGINT) AS canonical_messages, CAST(coalesce(sum(n), 0) AS BIGINT) AS canonical_parts FROM r""",
+)
+def d19_opencode_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    retained = written(opencode.observations(*demo.opencode_tables(spark, sf_dir)))
+    events = opencode.events(retained, ["observation_key"]).where("status = 'canonical'")
+    return events.agg(F.count(F.when(F.col("event_key").startswith("opencode:message:"), 1)).alias("canonical_messages"), F.count(F.when(F.col("event_key").startswith("opencode:part:"), 1)).alias("canonical_parts"))
+
+
+@query("d23_merge_events", demo.ctes("sessions") + """, k AS (SELECT source_session_id AS node, parent_session_id AS parent FROM v_sessions), f AS (SELECT node, node AS here, 0 AS depth FROM k UNION ALL SELECT f.node, k.parent, f.depth + 1 FROM f JOIN k ON k.node = f.here WHERE k.parent IS NOT NULL),
+r AS (SELECT node, arg_max(here, depth) AS root FROM f GROUP BY node), e AS (SELECT s.source_session_id AS node, s.provider, r.root FROM v_sessions s JOIN r ON r.node = s.source_session_id)
+SELECT node AS event_key, CASE WHEN root <> node THEN 'excluded' ELSE 'canonical' END AS status, CASE WHEN root <> node THEN root END AS merged_into, coalesce(provider, (CASE WHEN root = node THEN (SELECT arg_min(x.provider, x.node) FROM e x WHERE x.root = e.node AND x.node <> e.node) END)) AS provider FROM e""")
+def d23_merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = demo.view(spark, sf_dir, "sessions")
+    events = s.select(F.col("source_session_id").alias("event_key"), F.lit("canonical").alias("status"), "provider")
+    pairs = s.where("parent_session_id IS NOT NULL").select(F.col("parent_session_id").alias("survivor"), F.col("source_session_id").alias("absorbed"))
+    links = s.select(F.col("source_session_id").alias("observation"), F.col("source_session_id").alias("event_key"))
+    return merge_events(events, links, pairs, ["provider"])[0].select("event_key", "status", "merged_into", "provider")
+
+
+@query("d28_metadata_change", demo.ctes("revision") + " SELECT a.order_key, a.line FROM v_revision a JOIN v_revision b ON a.order_key = b.order_key AND a.line = b.line AND a.seq = 1 AND b.seq = 2 WHERE a.cost_nanos IS DISTINCT FROM b.cost_nanos")
+def d28_metadata_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.view(spark, sf_dir, "revision")
+    old, new = rows.where("seq = 1").alias("o"), rows.where("seq = 2").alias("n")
+    return old.join(new, _KEY).where(~F.col("o.cost_nanos").eqNullSafe(F.col("n.cost_nanos"))).select(*_KEY)
+
+
+@query("i1_incremental_sync", demo.ctes("counter") + " SELECT artifact, count(*) AS unread FROM v_counter WHERE ordinal % 7 = 0 GROUP BY artifact")
+def i1_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.view(spark, sf_dir, "counter")
+    return rows.join(rows.where("ordinal % 7 <> 0").select("owner", "artifact", "ordinal"), ["owner", "artifact", "ordinal"], "left_anti").groupBy("artifact").agg(F.count(F.lit(1)).alias("unread"))
+
+
+@query("f5_streak_award_day", ROWS + ", u AS (SELECT DISTINCT day FROM m WHERE tokens > 0 AND agent_key IS NOT NULL AND day IS NOT NULL), i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM u), p AS (SELECT day, row_number() OVER (PARTITION BY island ORDER BY day) AS place FROM i) SELECT min(day) AS day FROM p WHERE place >= 14")
+def f5_streak_award_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.islands(measured_of(spark, sf_dir)).where("place >= 14").agg(F.min("day").alias("day"))
+
+
+@query("k2_private_strings", "SELECT CAST(0 AS BIGINT) AS rows")
+def k2_private_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = reporting.export_payload(rows_of(spark, sf_dir), ZONE, NOW.isoformat())
+    assert not safety.forbidden_keys(payload)
+    return safety.private_strings(payload).agg(F.count(F.lit(1)).alias("rows"))
