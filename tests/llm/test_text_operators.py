@@ -131,6 +131,13 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert other[1] != got[1]
 
 
+def test_pseudonyms_do_not_depend_on_neighbours(spark):
+    card, phone, iban = VALUES[1], VALUES[10], VALUES[12]
+    texts = [card, phone, iban, f"12 {card} 34", f"{card} {card}", f"{phone} 12 {phone}", f"x {iban} WORD", f"4539578763621487 {card}"]
+    a, b, c, *rest = (r.text for r in pii.pseudonymised(frame(spark, texts), "k").orderBy("doc_id").collect())
+    assert rest == [f"12 {a} 34", f"{a} {a}", f"{b} 12 {b}", f"x {c} WORD", f"4539578763621487 {a}"]
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1999-01-01"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.pseudonymised(days, "k").distinct().count() == 3000

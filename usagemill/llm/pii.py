@@ -20,12 +20,12 @@ from usagemill.llm.common import table
 
 EDGE, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = EDGE + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?" + END
+IBAN = EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[0-9]{4}){3,7}(?:\x20[0-9]{1,3})?|(?:\x20[A-Z0-9]{4}){3,7}(?:\x20[A-Z0-9]{1,3})?)" + END
 ADDRESS = EDGE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + END
 DATE = EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + END
-PHONE = r"(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|" + EDGE + r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + END
+PHONE = r"(?:\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}|\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|" + EDGE + r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + END
 SOCIAL = EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END
-CARD = EDGE + r"[0-9](?:[\x20-]?[0-9]){12,18}" + END
+CARD = EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})" + END
 #: In the order in which they are tried at a place.
 FORMATS = {"email": EMAIL, "iban": IBAN, "address": ADDRESS, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(FORMATS.values())
