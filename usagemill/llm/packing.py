@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows are filled with documents that resemble their first one.
 
-1. Texts become token ids. A text is cut into the tokenizer's pre-tokens, and each distinct one is encoded by the tokenizer once and
-   remembered; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
+1. Texts become token ids. A text is cut into the tokenizer's pre-tokens, and distinct ones are encoded together in vectorised merge rounds
+   and remembered; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
 2. Document frequencies of tokens and the mean length are counted over all documents. They are bounded by the vocabulary.
 3. The table's partitions are dealt with in shards of about SHARD_TOKENS tokens. A shard has an inverted index of its documents. From a
    seed document, BM25 over the seed's most telling tokens ranks the documents that aren't used yet, and they are appended greedily
@@ -16,6 +16,7 @@ carried along. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,18 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagemill.llm.common import table, written
+from usagemill.llm.merges import Merger
 
 WINDOW, CLOSING = 4096, 2
 SHARD_TOKENS = 2_000_000
 #: BM25's constants, and how many of a seed's tokens are looked up.
 K1, B, SEED_TERMS = 1.2, 0.75, 16
-#: Most pre-tokens that a task remembers.
-REMEMBERED = 200_000
+#: Most pre-tokens that a task remembers, and bytes of one up to which it is merged in rounds.
+REMEMBERED, LONG = 300_000, 256
 
-#: Letters and numbers of the plain characters: ASCII, Latin-1 and Latin Extended A and B without the dotted capital I.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+#: Letters and numbers of the plain characters: ASCII, Latin-1 and Latin Extended A without the dotted capital I.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ɏ]*")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ſ]*")
 _PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
@@ -48,6 +50,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_signs() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
     """Texts to ids, as little-endian bytes of unsigned 16-bit numbers (32-bit for a larger vocabulary)."""
 
@@ -58,6 +67,33 @@ class Encoder:
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = re.compile("|".join(map(re.escape, (x.content for x in self.library.get_added_tokens_decoder().values()))) or "(?!)")
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merger = Merger({(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)}, max(vocabulary.values()) + 1)
+        signs = byte_signs()
+        self.inner = np.array([vocabulary[c] for c in signs], np.int64)
+        self.last = np.array([vocabulary[c + suffix] for c in signs], np.int64)
+
+    def _new(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of pre-tokens: short ones in one go, long ones by a queue."""
+        raw = [w.encode() for w in words]
+        length = np.array([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(length)
+        symbol, word = self.inner[data], np.repeat(np.arange(len(raw)), length)
+        symbol[ends - 1] = self.last[data[ends - 1]]
+        short = np.flatnonzero((length <= LONG)[word])
+        parts = [(x, short[y]) for x, y in [self.merger.merge(symbol[short].copy(), word[short])]] if len(short) else []
+        for w in np.flatnonzero(length > LONG).tolist():
+            merged, places = self.merger.merge_long(symbol[ends[w] - length[w] : ends[w]])
+            parts.append((merged, places + ends[w] - length[w]))
+        merged, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(places, kind="stable")
+        cuts = np.searchsorted(places[order], ends).tolist()
+        out, size = merged[order].astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        return (out[a * size : b * size] for a, b in zip([0, *cuts[:-1]], cuts, strict=True))
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,7 +105,7 @@ class Encoder:
             self.known = {}
         known = self.known
         if new := list({w for c in cut if c is not None for w in c if w not in known}):
-            known |= zip(new, self._bytes(new), strict=True)
+            known |= zip(new, self._new(new), strict=True)
         return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
 
 
