@@ -13,7 +13,7 @@ from usagemill.functions import safety, tokens
 from usagemill.functions.models import creator, family
 from usagemill.functions.tables import written
 from usagemill.ledger import merge_events
-from usagemill.operators import lineage, reconcile
+from usagemill.operators import evidence, lineage, reconcile
 from usagemill.plans import pricing, profile, reporting
 from usagemill.sources import claude, codex, opencode, pi
 from usagemill.sources.lines import corrupt_gate
@@ -565,3 +565,57 @@ def k2_private_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = reporting.export_payload(rows_of(spark, sf_dir), ZONE, NOW.isoformat())
     assert not safety.forbidden_keys(payload)
     return safety.private_strings(payload).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---- evidence ------------------------------------------------------------------------------------------------------------
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links from lines to orders: an observation is live unless it was returned; orders of status P aren't events."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("observation_key")
+    links = lines.select(key, F.col("l_orderkey").alias("event_key")).distinct()
+    observations = lines.where("l_linenumber <> 2").groupBy(key).agg(F.max(F.col("l_returnflag") != "R").alias("live"))
+    events = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("event_key"), F.when(F.col("o_orderstatus") == "F", "canonical").otherwise("provisional").alias("status"))
+    return links, observations, events
+
+
+_EVIDENCE = "WITH k AS (SELECT DISTINCT l_orderkey || '/' || l_linenumber AS observation_key, l_orderkey AS event_key FROM lineitem), o AS (SELECT l_orderkey || '/' || l_linenumber AS observation_key, max(l_returnflag <> 'R') AS live FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1), e AS (SELECT o_orderkey AS event_key FROM orders WHERE o_orderstatus <> 'P') "
+
+
+@query("c2_link_resolve", _EVIDENCE + "SELECT count(*) FILTER (WHERE o.observation_key IS NOT NULL AND e.event_key IS NOT NULL) AS resolved, count(*) FILTER (WHERE o.observation_key IS NULL OR e.event_key IS NULL) AS dangling FROM k LEFT JOIN o USING (observation_key) LEFT JOIN e ON e.event_key = k.event_key")
+def c2_link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, dangling = evidence.resolved_links(*_evidence(spark, sf_dir))
+    return good.agg(F.count(F.lit(1)).alias("resolved")).crossJoin(dangling.agg(F.count(F.lit(1)).alias("dangling")))  # one row each
+
+
+@query("c11_stale_pi_events", _EVIDENCE + "SELECT event_key FROM e WHERE NOT EXISTS (SELECT 1 FROM k JOIN o USING (observation_key) WHERE o.live AND k.event_key = e.event_key)")
+def c11_stale_pi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, observations, events = _evidence(spark, sf_dir)
+    return evidence.stale_events(events, links, observations)
+
+
+@query("c12_legacy_overlap", "WITH p AS (SELECT DISTINCT l_orderkey AS m FROM lineitem WHERE l_linenumber = 1), v AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_quantity = 50) SELECT CASE WHEN p.m IS NOT NULL THEN 'suppressed' WHEN v.s IS NOT NULL THEN 'ambiguous' ELSE 'kept' END AS decision, count(*) AS n FROM orders LEFT JOIN p ON p.m = o_orderkey LEFT JOIN v ON v.s = o_custkey GROUP BY 1")
+def c12_legacy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    parts = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("message_id"))
+    legacy = lines.where("l_quantity = 50").select(F.col("l_suppkey").alias("session_id"), F.lit(None).cast("long").alias("message_id"))
+    found = evidence.legacy_overlap(orders.select(F.col("o_orderkey").alias("message_id"), F.col("o_custkey").alias("session_id")), parts, legacy)
+    return found.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d25_sample_insert", demo.ctes("upsert") + " SELECT id, kind, count(*) AS n FROM (SELECT DISTINCT id, kind FROM v_upsert WHERE kind IS NOT NULL AND amount IS NOT NULL) GROUP BY ALL")
+def d25_sample_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.view(spark, sf_dir, "upsert").where("kind IS NOT NULL AND amount IS NOT NULL").select("id", "kind", "amount")
+    old = rows.where("amount < 30").groupBy("id", "kind").agg(F.min("amount").alias("amount"))
+    return evidence.insert_new(old, rows, ["id", "kind"]).groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d16_subagent_run_upsert", demo.ctes("runs", "sessions") + " SELECT r.source_run_id AS run_key, CASE WHEN r.source_session_id LIKE '%7' THEN 'old' WHEN s.source_session_id IS NOT NULL THEN s.source_session_id ELSE r.source_session_id END AS session, coalesce(r.model, CASE WHEN r.source_session_id LIKE '%7' THEN 'old-model' END) AS model FROM v_runs r LEFT JOIN v_sessions t ON t.source_session_id = r.source_session_id LEFT JOIN v_sessions s ON s.source_session_id = t.parent_session_id")
+def d16_subagent_run_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs, sessions = demo.view(spark, sf_dir, "runs"), demo.view(spark, sf_dir, "sessions")
+    none = F.lit(None).cast("string")
+    parents = sessions.select("source_session_id", F.col("parent_session_id").alias("root"))
+    snapshots = runs.join(parents, "source_session_id", "left").select(F.col("source_run_id").alias("run_key"), F.col("source_session_id").alias("session_id"), "root", none.alias("role"), "model", none.alias("provider"), none.alias("effort"), none.alias("status"), "started_at_ns", "completed_at_ns")
+    old = snapshots.where("session_id LIKE '%7'").select("run_key", F.lit("old").alias("session"), "role", F.lit("old-model").alias("model"), "provider", "effort", "status", "started_at_ns", "completed_at_ns")
+    return evidence.subagent_runs(snapshots, sessions, old).select("run_key", "session", "model")
