@@ -109,7 +109,11 @@ QUERIES["e21_counts"] = lambda spark, sf_dir: demo.view(spark, sf_dir, "usage").
 ORACLES["e21_counts"] = demo.ctes("usage") + " SELECT source, count(*) AS events, count(DISTINCT CASE WHEN source_session_id IS NOT NULL AND source_run_id IS NOT NULL THEN source_session_id || '|' || source_run_id END) AS keys FROM v_usage GROUP BY source"
 
 
-@query("a14_export_json")
+_GROUPED = ", ".join(f"x_{k} AS (SELECT {g} AS \"group\", count(*) AS event_count, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM d GROUP BY 1)" for k, g in (("source", "source"), ("model", "resolved_model"), ("day", _DAY), ("overall", "'all'")))
+_LISTED = ", ".join(f"'by_{k}': coalesce((SELECT list({{'group': \"group\", 'event_count': event_count, 'total_tokens': total_tokens}} ORDER BY \"group\") FROM x_{k}), [])" for k in ("source", "model", "day"))
+
+
+@query("a14_export_json", _TM + f", {_GROUPED} SELECT CAST(to_json({{'generated_at': '{NOW.isoformat()}', 'timezone': '{ZONE}', 'overall': (SELECT {{'group': \"group\", 'event_count': event_count, 'total_tokens': total_tokens}} FROM x_overall), {_LISTED}}}) AS VARCHAR) AS value")
 def a14_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.export_payload(rows_of(spark, sf_dir), ZONE, NOW.isoformat())
 
@@ -299,6 +303,7 @@ def d10_coherent_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["d11_claude_status"] = lambda spark, sf_dir: d10_coherent_prefix(spark, sf_dir).withColumn("status", reconcile.iteration_status()).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 QUERIES["d12_first_known_time"] = lambda spark, sf_dir: reconcile.first_known_time(demo.view(spark, sf_dir, "snapshot"), ["message"], "observed_at", "seq")
+ORACLES["d11_claude_status"] = f"SELECT CASE WHEN is_advisor OR NOT conflict THEN 'canonical' ELSE 'conflicted' END AS status, count(*) AS n FROM ({ORACLES['d10_coherent_prefix']}) GROUP BY 1"
 ORACLES["d12_first_known_time"] = demo.ctes("snapshot") + " SELECT message, arg_min(observed_at, seq) FILTER (WHERE observed_at > 0) AS observed_at FROM v_snapshot GROUP BY message"
 _KEY = ["order_key", "line"]
 
