@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagemill.functions.tables import shared_dir, written
+
+__all__ = ["SPACES", "SPACE_RUN", "bounded_sample", "shared_dir", "small_join", "table", "words_of", "written"]
+
 #: The space characters that part words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -17,24 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only for a local session without one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and not lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those first by the hash of their key. Rows are counted first, so that few more than these leave their partitions."""
+    n = rows.count()
+    slots = 1_000_003
+    if n > 2 * most:
+        rows = rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(slots)) < -(-slots * most * 5 // (4 * n)))
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
 
 
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = 50_000, salts: int = 64) -> DataFrame:

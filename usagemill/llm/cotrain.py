@@ -25,11 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm.common import table, written
+from usagemill.llm.common import bounded_sample, table, written
 
 #: Bound of the labelled sample, rounds, picks a class and round, the probability that counts as sure, the score from which a document stays.
 SAMPLE, ROUNDS, PICKS, SURE, KEEP_FROM = 20_000, 2, 400, 0.97, 0.4
 
+#: Partitions over which the best picks of all others are gathered.
+GATHERED = 32
 _MARKS = b".,;:!?'\"()-|#*$%&<>/"
 _BUCKETS = 64
 TEXT_SIZE = 12 + len(_MARKS) + _BUCKETS
@@ -147,23 +149,33 @@ def _picks(pool: DataFrame, views: Views, by: int, sure: float, picks: int) -> p
     """The unlabelled documents of which one view (0 text, 1 metadata) is surest, up to picks a class, with that class as label."""
     least = np.log(sure / (1 - sure))
 
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for frame in frames:
+            held = pd.concat([held, frame]).sort_values(["odds", "doc_id"], ascending=[False, True], kind="stable").groupby("label").head(picks)
+        if len(held):
+            yield held
+
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            if len(frame):
-                odds = views.odds(*_arrays(frame))[by]
-                frame = frame.assign(label=(odds > 0).astype("int32"), odds=np.abs(odds))
-                frame = frame[frame["odds"] >= least].sort_values(["odds", "doc_id"], ascending=[False, True], kind="stable")
-                yield frame.groupby("label").head(picks)
+        def sure_ones() -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                if len(frame):
+                    odds = views.odds(*_arrays(frame))[by]
+                    frame = frame.assign(label=(odds > 0).astype("int32"), odds=np.abs(odds))
+                    yield frame[frame["odds"] >= least]
+
+        yield from best(sure_ones())
 
-    kept = pool.where("label IS NULL AND doc_id IS NOT NULL").mapInPandas(choose, "doc_id long, lang string, source string, n_chars double, features binary, label int, odds double")
-    best = [kept.where(F.col("label") == y).orderBy(F.desc("odds"), "doc_id").limit(picks).toPandas() for y in (0, 1)]
-    return pd.concat(best)
+    schema = "doc_id long, lang string, source string, n_chars double, features binary, label int, odds double"
+    # the best of each partition, then of each of a few, so that what the driver gathers doesn't grow with the partitions
+    kept = pool.where("label IS NULL AND doc_id IS NOT NULL").mapInPandas(choose, schema).repartition(GATHERED, "doc_id").mapInPandas(best, schema)
+    return pd.concat([kept.where(F.col("label") == y).orderBy(F.desc("odds"), "doc_id").limit(picks).toPandas() for y in (0, 1)])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, picks: int = PICKS, sure: float = SURE) -> Views:
     """Views co-trained on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
     pool = _pool(docs, labels)
-    known = pool.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    known = bounded_sample(pool.where("label IS NOT NULL"), "doc_id", sample).toPandas()
     y = known["label"].to_numpy().astype(float)
     none = np.zeros(0)
     if len(set(y)) < 2:
