@@ -8,7 +8,7 @@
    pivot and an annulus from lo to hi, that no vector in it is nearer than max(d - hi, lo - d, 0), so its inner product is at
    most (|q|^2 + |x|^2 - nearest^2) / 2, and also at most q.c + |q| hi. Bounds are rounded up, so the result is exact.
 
-Queries and cells meet in co-grouped tasks, as blocks for one matrix product; no rows are paired by Spark.
+Queries and cells meet in co-grouped tasks, as blocks for one matrix product; no rows are paired by Spark. Cells that no query goes to aren't moved.
 
 Defined results: a vector that is null, or holds null or non-finite components, and a row without an id take no part. Rows that share
 an id count once, with the least vector. Vectors of unequal lengths are padded with zeros. Extra columns are ignored. An empty table, or
@@ -24,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagemill.llm.common import table, written
+from usagemill.llm.common import bounded_sample, table, written
 
 K, EVERY = 20, 20
 #: Bounds: vectors in the sample that places the pivots, pivots, rings of a pivot, rows of a cell at first, and cells.
 SAMPLE, PIVOTS, RINGS, CELL, MAX_CELLS = 8192, 64, 128, 2048, 1 << 16
+#: Queries that one task searches a cell for.
+BLOCK = 8192
 
 
 def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -92,7 +94,7 @@ def build(vectors: DataFrame, pivots: int = PIVOTS, cell: int = CELL) -> tuple[I
     """The index of a written table (vec_id, v), the table with each vector's cell, and the vectors' length."""
     shape = vectors.agg(F.max(F.length("v")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     size, n = (shape["bytes"] or 0) // 8, shape["n"]
-    sample = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"], size)
+    sample = _matrix(bounded_sample(vectors, "vec_id", SAMPLE).toPandas()["v"], size)
     centres = _pivots(sample, pivots) if n else np.zeros((1, size))
     index = Index(centres, 1.0, np.zeros(0, int), np.zeros(0, int))
     index.width = max(float(index.ring_of(sample)[1].max(initial=0)) * 1.25 / RINGS, 1e-9)
@@ -158,7 +160,12 @@ def _search(queries: DataFrame, cells: DataFrame, size: int, k: int) -> DataFram
             out.append(frame.groupby("query_id").head(k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    return queries.groupBy("cell").cogroup(cells.groupBy("cell")).applyInPandas(search, "query_id long, vec_id long, score long")
+    # a cell that many queries go to is searched in several tasks; there is a row for each of at most MAX_CELLS cells
+    queries = written(queries)
+    parts = F.broadcast(written(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))))
+    left = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    right = cells.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.groupBy("cell", "part").cogroup(right.select("cell", "part", "vec_id", "v").groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
