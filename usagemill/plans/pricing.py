@@ -15,6 +15,7 @@ from usagemill.functions.tokens import NANOS, event_total, in_window
 
 RATES = ["input", "cached_input", "cache_write", "cache_write_5m", "cache_write_1h", "output"]
 MAX_CARD_ROWS = 20_000
+FOREVER = 2**63 - 1
 # Tiers and regions that cost nothing extra, and providers that a source implies.
 DEFAULT_TIERS = ["auto", "default", "not_available", "standard"]
 DEFAULT_REGIONS = ["default", "global", "not_available"]
@@ -29,11 +30,15 @@ CARD = f"struct<schema_version: int, currency: string, unit_tokens: bigint, prov
 
 @dataclass(frozen=True)
 class RateTables:
-    """provider_aliases (alias, provider); models (provider, alias, model_id); periods (model_id, n, from_us, until_us, price); unit_tokens."""
+    """provider_aliases (alias, provider); models (provider, alias, model_id); periods (model_id, n, from_us, until_us, price); unit_tokens.
+
+    spans (model_id, from_us, until_us, price) are the stretches of time that exactly one period of a model covers.
+    """
 
     provider_aliases: DataFrame
     models: DataFrame
     periods: DataFrame
+    spans: DataFrame
     unit_tokens: int
 
 
@@ -63,7 +68,21 @@ def rate_tables(card: DataFrame) -> RateTables:
         if len(rows) > MAX_CARD_ROWS:
             raise ValueError(f"a rate card has at most {MAX_CARD_ROWS} rows a table")
         small.append(card.sparkSession.createDataFrame(rows, t.schema))
-    return RateTables(*small, first["unit_tokens"])
+    spans = card.sparkSession.createDataFrame(_spans(rows), periods.select("model_id", "from_us", "until_us", "price").schema)
+    return RateTables(*small, spans, first["unit_tokens"])
+
+
+def _spans(periods: list) -> list[tuple]:
+    """C14: an instant has a price only if exactly one period of its model holds it; periods without an end go on for good."""
+    out = []
+    for model in sorted({p["model_id"] for p in periods}):
+        own = [(p["from_us"], FOREVER if p["until_us"] is None else p["until_us"], p["price"]) for p in periods if p["model_id"] == model and p["from_us"] is not None]
+        cuts = sorted({x for lo, hi, _ in own for x in (lo, hi)})
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            held = [price for a, b, price in own if a <= lo and hi <= b]
+            if len(held) == 1:
+                out.append((model, lo, hi, held[0]))
+    return out
 
 
 def card_checks(rates: RateTables) -> DataFrame:
@@ -126,11 +145,10 @@ def price(rows: DataFrame, rates: RateTables) -> DataFrame:
     total = sum(parts.values(), F.lit(0))
     at = F.expr("(occurred_at_ns - pmod(occurred_at_ns, 1000)) div 1000")
     rows = _resolved(rows, rates)
-    # a period must be the only one that holds the instant; a sound card has no two
-    held = rates.periods.groupBy("model_id").agg(F.collect_list(F.struct("from_us", "until_us", "price")).alias("_periods"))
-    out = rows.join(F.broadcast(held.withColumnRenamed("model_id", "_pid")), F.col("model_id") == F.col("_pid"), "left").withColumn("_at", at)
-    out = out.withColumn("_match", F.filter("_periods", lambda p: (p.from_us <= F.col("_at")) & (p.until_us.isNull() | (F.col("_at") < p.until_us))))
-    out = out.withColumn("_price", F.when(F.size("_match") == 1, F.get("_match", F.lit(0)).price))
+    spans = F.broadcast(rates.spans.select(F.col("model_id").alias("_pid"), F.col("from_us").alias("_from"), F.col("until_us").alias("_until"), F.col("price").alias("_price")))
+    out = rows.withColumn("_at", at)
+    inside = (F.col("model_id") == F.col("_pid")) & (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_until"))
+    out = out.join(spans, inside, "left")
     long_one = F.col("_price.long_context")
     is_long = long_one.isNotNull() & (F.col("granularity") == "model_call") & ((context > long_one.above_input_tokens) | (F.coalesce(long_one.inclusive, F.lit(False)) & (context == long_one.above_input_tokens)))
     cost, known = F.lit(0).cast("decimal(25,6)"), F.lit(True)
@@ -151,7 +169,7 @@ def price(rows: DataFrame, rates: RateTables) -> DataFrame:
     out = out.withColumn("est_nanos", F.when(reported, F.col("total_cost_nanos")).otherwise(nanos))
     provider = F.when(reported, F.coalesce(F.nullif("_card_provider", F.lit("")), F.col("source"))).otherwise(F.col("model_provider"))
     out = out.withColumn("est_provider", F.when(F.col("est_nanos").isNotNull(), provider))
-    return out.drop("_pid", "_periods", "_match", "_price", "_at", "model_id", "model_provider", "_card_provider")
+    return out.drop("_pid", "_from", "_until", "_price", "_at", "model_id", "model_provider", "_card_provider")
 
 
 def api_value(priced: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:

@@ -148,7 +148,8 @@ e AS (SELECT z.*, CASE WHEN total_cost_nanos IS NOT NULL THEN total_cost_nanos
 
 
 def priced_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.price(rows_of(spark, sf_dir), demo.rate_card(spark))
+    # as a table: joined with the rates in one stage, the generated code would be too long to be compiled
+    return pricing.price(written(rows_of(spark, sf_dir)), demo.rate_card(spark))
 
 
 QUERIES["e7_api_value"] = lambda spark, sf_dir: pricing.api_value(priced_of(spark, sf_dir))
