@@ -15,8 +15,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 def plain(frame: pd.DataFrame) -> list[str]:
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return None
+        if hasattr(v, "item"):
+            v = v.item()
         if hasattr(v, "isoformat"):
             return str(v)[:10]
         return int(v) if isinstance(v, float) and v == int(v) else v
