@@ -138,6 +138,33 @@ def test_pseudonyms_do_not_depend_on_neighbours(spark):
     assert rest == [f"12 {a} 34", f"{a} {a}", f"{b} 12 {b}", f"x {c} WORD", f"4539578763621487 {a}"]
 
 
+def test_spaced_values_beside_short_numbers(spark):
+    values = ["4539 5787 6362 1486", "4539-5787-6362-1486", "3782 822463 10005", "4539578763621486", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"]
+    sides = ["7", "12", "124", "2024", "12 2024"]  # the first card with 123 behind it is a valid longer one
+    around = ["{}", *[f"{x} {{}}" for x in sides], *[f"{{}} {x}" for x in sides], *[f"{x} {{}} {x}" for x in sides], "in 2024 {} 12/27", "{} 12.05.2024", "{} WORD", "{} 2024 {} 7"]
+    texts = [a.replace("{}", v) for v in values for a in around] + [f"{v} {w}" for v in values for w in values]
+    got = [r.text for r in pii.pseudonymised(frame(spark, texts), "k").orderBy("doc_id").collect()]
+    new = dict(zip(values, got[:: len(around)], strict=False))
+    assert all(new[v] != v for v in values)
+    other = pii.pseudonymised(spark.createDataFrame([("12.05.2024",)], "text string"), "k").first().text
+    for old, out in zip(texts[: -len(values) ** 2], got, strict=False):
+        expected = old
+        for v in values:
+            expected = expected.replace(v, new[v])
+        assert out == expected.replace("12.05.2024", other), old
+    assert got[-len(values) ** 2 :] == [f"{new[v]} {new[w]}" for v in values for w in values]
+
+
+def test_values_beside_values_of_other_formats(spark):
+    card, others = "4539 5787 6362 1486", ["555-12-3456", "1999-02-03", "12@example.com", "192.168.1.77", "555-123-4567"]
+    alone = [card, *others]
+    texts = alone + [f"{card} {x} {card}" for x in others] + ["1 2 3 " * 5000 + card]
+    rows = pii.pseudonymised(frame(spark, texts), "k", count="n").orderBy("doc_id").collect()
+    new = [r.text for r in rows]
+    assert new[6:11] == [f"{new[0]} {x} {new[0]}" for x in new[1:6]] and new[11] == "1 2 3 " * 5000 + new[0]
+    assert [r.n for r in rows] == [1] * 6 + [3] * 5 + [1]
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1999-01-01"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.pseudonymised(days, "k").distinct().count() == 3000

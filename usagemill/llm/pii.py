@@ -3,7 +3,7 @@
 Numbers and dates that pass their format's check (card: Luhn digit; IBAN: remainder of 97; address: bytes up to 255;
 date: a day of the calendar; telephone and social number: their shape) and e-mail names are permuted within their format by a
 keyed Feistel network, so that equal values stay equal everywhere and different ones stay different. What is produced
-passes the same check. Everything is built from DataFrame functions: a text is split at the matches, and the
+passes the same check. Cards and IBANs are looked for at each group of a run of groups, so that numbers beside them don't hide them. Everything is built from DataFrame functions: a text is split at the matches, and the
 permuted matches are put between the pieces; no shuffle is needed.
 
 Defined results: null text stays null and counts 0. Empty text stays empty. Repeated rows are treated alike. Other columns pass
@@ -20,7 +20,7 @@ from usagemill.llm.common import table
 
 EDGE, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[0-9]{4}){3,7}(?:\x20[0-9]{1,3})?|(?:\x20[A-Z0-9]{4}){3,7}(?:\x20[A-Z0-9]{1,3})?)" + END
+IBAN = EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)" + END
 ADDRESS = EDGE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + END
 DATE = EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + END
 PHONE = r"(?:\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}|\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|" + EDGE + r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + END
@@ -28,7 +28,13 @@ SOCIAL = EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END
 CARD = EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})" + END
 #: In the order in which they are tried at a place.
 FORMATS = {"email": EMAIL, "iban": IBAN, "address": ADDRESS, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
-ANY = "|".join(FORMATS.values())
+#: Groups of digits or of an IBAN, up to where another format begins. A run may have values with other numbers on both sides.
+_OTHER = "|".join(FORMATS[name] for name in ("email", "address", "date", "social", "phone"))
+_GROUP = r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z0-9]{1,4}|[0-9]{5,19})" + END
+RUN = EDGE + r"(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}|[0-9](?:[\x20-]?[0-9]){11})" + _GROUP + r"(?:[\x20-](?!" + _OTHER + ")" + _GROUP + ")*+"
+ANY = "|".join([pattern for name, pattern in FORMATS.items() if name not in ("iban", "card")] + [RUN])
+#: How many groups a spaced card and a spaced IBAN can have.
+CARD_GROUPS, IBAN_GROUPS = (5, 4, 3, 1), (9, 8, 7, 6, 5, 4, 1)
 ROUNDS = 8
 #: Days of a cycle of 400 years, 146097 = 189 * 773, in which calendar days repeat.
 DAY_HALVES, CYCLE = (189, 773), 146097
@@ -170,10 +176,59 @@ def pseudonym(match: Column, key: str) -> Column:
     return out.otherwise(match)
 
 
+def _valid_iban(m: Column) -> Column:
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    return m.rlike(f"^(?:{IBAN})$") & F.length(bare).between(15, 34) & (_rest97(F.concat(F.substr(bare, F.lit(5), F.lit(64)), F.substr(bare, F.lit(1), F.lit(4)))) == 1)
+
+
+def _valid_card(m: Column) -> Column:
+    return m.rlike(f"^(?:{CARD})$") & (_luhn_sum(_digits(m), 1) % 10 == 0)
+
+
+def _values(gap: Column, run: Column) -> Column:
+    """array<struct<gap, old>>: a run's cards and IBANs, from the left and each the longest that is valid; last, what follows them."""
+    groups = F.regexp_extract_all(run, F.lit(r"[\x20-]?[A-Z0-9]+"), F.lit(0))
+
+    def length(own: Column, group: Column, i: Column) -> Column:
+        """How many groups the value that begins with group i has; 0 if none does."""
+        some = lambda n: F.regexp_replace(F.array_join(F.slice(own, i + 1, F.lit(n)), ""), r"^[\x20-]", "")
+        fits = lambda n: F.size(own) >= i + n
+        iban = F.coalesce(*[F.when(fits(n) & _valid_iban(some(n)), F.lit(n)) for n in IBAN_GROUPS], F.lit(0))
+        card = F.coalesce(*[F.when(fits(n) & _valid_card(some(n)), F.lit(n)) for n in CARD_GROUPS], F.lit(0))
+        return F.when(group.rlike(r"^[\x20-]?[A-Z]{2}[0-9]{2}"), iban).when(group.rlike(r"^[\x20-]?(?:[0-9]{4}|[0-9]{13,19})$"), card).otherwise(F.lit(0))
+
+    def parts(own: Column) -> Column:
+        lengths = F.transform(own, lambda g, i: F.struct(i.alias("at"), length(own, g, i).alias("n")))
+        start = F.struct(F.array().cast("array<struct<from:int,at:int,n:int>>").alias("found"), F.lit(0).alias("end"))
+
+        def step(acc: Column, x: Column) -> Column:
+            taken = (x.n > 0) & (x["at"] >= acc.end)
+            more = F.concat(acc.found, F.array(F.struct(acc.end.alias("from"), x["at"].alias("at"), x.n.alias("n"))))
+            return F.struct(F.when(taken, more).otherwise(acc.found).alias("found"), F.when(taken, x["at"] + x.n).otherwise(acc.end).alias("end"))
+
+        # a shorter value that is valid by chance must not hide a longer one that begins in it
+        first = lambda some: F.filter(some, lambda x: ~F.exists(some, lambda y: (y["at"] > x["at"]) & (y["at"] < x["at"] + x.n) & (y.n > x.n)))
+        return _let(F.filter(lengths, lambda x: x.n > 0), lambda some: _let(F.aggregate(first(some), start, step), lambda r: _pieces(own, r)))
+
+    def _pieces(own: Column, r: Column) -> Column:
+        joined = lambda a, n: F.array_join(F.slice(own, a + 1, n), "")
+        before = lambda x: F.when(x["from"] == 0, gap).otherwise(F.lit(""))
+
+        def piece(x: Column) -> Column:
+            return _let(joined(x["at"], x.n), lambda v: _let(F.regexp_extract(v, r"^[\x20-]?", 0), lambda sep: F.struct(F.concat(before(x), joined(x["from"], x["at"] - x["from"]), sep).alias("gap"), F.substr(v, F.length(sep) + 1, F.length(v)).alias("old"))))
+
+        rest = F.struct(F.concat(F.when(r.end == 0, gap).otherwise(F.lit("")), joined(r.end, F.size(own) - r.end)).alias("gap"), F.lit(None).cast("string").alias("old"))
+        return F.concat(F.transform(r.found, piece), F.array(rest))
+
+    return _let(groups, parts)
+
+
 def replaced(text: Column, key: str) -> Column:
-    """array<struct<gap, old, new>>: the pieces of text between matches, each with the match that follows it and its pseudonym."""
+    """array<struct<gap, old, new>>: the pieces of text between values, each with the value that follows it and its pseudonym."""
     zipped = F.arrays_zip(F.split(text, ANY, -1).alias("gap"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("old"))
-    return F.transform(zipped, lambda x: F.struct(x.gap.alias("gap"), x.old.alias("old"), pseudonym(x.old, key).alias("new")))
+    one = lambda x: F.array(F.struct(x.gap.alias("gap"), x.old.alias("old")))
+    pieces = F.flatten(F.transform(zipped, lambda x: F.when(x.old.rlike(f"^(?:{RUN})$"), _values(x.gap, x.old)).otherwise(one(x))))
+    return F.transform(pieces, lambda x: F.struct(x.gap.alias("gap"), x.old.alias("old"), pseudonym(x.old, key).alias("new")))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
