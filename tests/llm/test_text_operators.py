@@ -322,3 +322,18 @@ def test_packing_puts_like_documents_together():
     topics = [rng.integers(t * 100, t * 100 + 100, 200) for t in range(4) for _ in range(10)]
     order = list(packing._order([np.array(topics[i]) for i in rng.permutation(40)], np.ones(1000, np.float32), 200.0, 4096))
     assert sorted(order) == list(range(40))
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    topics = [" ".join(f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdgkmnprt')}{rng.choice('aeiou')}" for _ in range(40)).split() for _ in range(12)]
+    docs = [(100 * i + t, " ".join(rng.choice(topics[t]) for _ in range(150))) for i in range(20) for t in range(12)]  # topics take turns
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = (packing.pack_documents(df.repartition(n, "doc_id"), packing.tokenizer_path(), shard_tokens=30_000).toPandas() for n in (1, 40))
+    columns = ["sequence_id", "offset", "doc_id", "start", "length"]
+    assert sorted(map(tuple, one[columns].values.tolist())) == sorted(map(tuple, many[columns].values.tolist()))
+    sizes = many.groupby("sequence_id")["length"].sum()
+    assert (sizes < 4096).sum() <= 12  # the ends of all shards are packed together
+    own = many.assign(topic=many["doc_id"] % 100, full=many["sequence_id"].map(sizes) == 4096).query("full")
+    shares = own.groupby(["sequence_id", "topic"])["length"].sum().groupby("sequence_id").max() / 4096
+    assert shares.mean() > 0.4  # a twelfth by chance

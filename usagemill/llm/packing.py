@@ -3,12 +3,17 @@
 1. Texts become token ids. A text is cut into the tokenizer's pre-tokens, and distinct ones are encoded together in vectorised merge rounds
    and remembered; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
 2. Document frequencies of tokens and the mean length are counted over all documents. They are bounded by the vocabulary.
-3. The table's partitions are dealt with in shards of about SHARD_TOKENS tokens. A shard has an inverted index of its documents. From a
-   seed document, BM25 over the seed's most telling tokens ranks the documents that aren't used yet, and they are appended greedily
-   until the window is full. A document that a window's end cuts continues in the next window and is its seed.
-4. What is left at a partition's end is cut into sequences whose lengths are powers of two, which need no padding.
-
-No row is shuffled, and every id lies in exactly one piece. A shard holds SHARD_TOKENS tokens or a single document.
+3. Documents are placed by content: a document's slot is its most telling token that another document has too, with a hash of its second
+   one. Slots in their order are cut into shards of about SHARD_TOKENS tokens, by the slots' numbers of tokens, which are bounded by the
+   vocabulary; a slot with more is dealt over several shards. Shards don't depend on how the rows were partitioned.
+4. A shard has an inverted index of its documents. From a seed document, BM25 over the seed's most telling tokens ranks the documents
+   that aren't used yet, and they are appended greedily until the window is full. A document that a window's end cuts continues in the
+   next window and is its seed.
+5. What TAILS shards leave at their ends is packed together. What is left then is cut into sequences whose lengths are powers of two,
+   which need no padding.
+
+Ids are shuffled once, and every id lies in exactly one piece. A shard holds about SHARD_TOKENS tokens or a single document. A
+document's neighbours in other shards are out of its reach.
 
 Defined results: null and empty texts have only the closing id. Repeated rows are packed as often as they occur. A null doc_id is
 carried along. Extra columns are ignored. An empty table gives an empty result.
@@ -23,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from usagemill.llm.merges import Merger
 
 WINDOW, CLOSING = 4096, 2
 SHARD_TOKENS = 2_000_000
+#: Slots a token, and shards whose ends are packed together.
+SUBSLOTS, TAILS = 8, 256
 #: BM25's constants, and how many of a seed's tokens are looked up.
 K1, B, SEED_TERMS = 1.2, 0.75, 16
 #: Most pre-tokens that a task remembers, and bytes of one up to which it is merged in rounds.
@@ -228,11 +234,12 @@ class Packer:
     def _piece(self, doc_id, start: int, ids: np.ndarray, total: int, offset: int) -> tuple:
         return (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, offset)
 
-    def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
-        start = 0
+    def add(self, doc_id, ids: np.ndarray, first: int = 0, total: int | None = None) -> Iterator[tuple]:
+        """ids are those of a document of `total` ids from its id `first` on."""
+        start, total = 0, len(ids) if total is None else total
         while start < len(ids):
             part = ids[start : start + WINDOW - self.used]
-            self.open.append((doc_id, start, part, len(ids)))
+            self.open.append((doc_id, first + start, part, total))
             start, self.used = start + len(part), self.used + len(part)
             if self.used == WINDOW:
                 yield from self._close(WINDOW)
@@ -258,40 +265,90 @@ class Packer:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def placed(encoded: DataFrame, dtype: str, counts: np.ndarray, idf: np.ndarray, mean_length: float, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, unnamed, ids, slot, content, shard) of a written table (doc_id, ids)."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slots, contents = [], []
+            for ids in batch["ids"]:
+                own = np.frombuffer(ids, dtype)
+                found, n = np.unique(own, return_counts=True)
+                weight = n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / max(mean_length, 1))) * idf[found] * (counts[found] > 1)
+                best = found[np.argsort(-weight, kind="stable")[:2]]
+                slots.append(int(best[0]) * SUBSLOTS + int(best[-1]) * 0x9E3779B1 % (1 << 32) % SUBSLOTS)
+                contents.append(zlib.crc32(ids))
+            yield batch.assign(n=[len(x) // np.dtype(dtype).itemsize for x in batch["ids"]], slot=slots, content=contents)
+
+    named = F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed")  # pandas would make a long with nulls a float
+    rows = written(encoded.select(*named, "ids").mapInPandas(place, "doc_id long, unnamed boolean, ids binary, n long, slot long, content long"))
+    sums = rows.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    size = np.zeros(len(idf) * SUBSLOTS, np.int64)
+    size[sums["slot"]] = sums["n"]
+    first, step = np.cumsum(size) - size, max(shard_tokens // 2, 1)
+
+    @F.pandas_udf("long")
+    def shard(slot: pd.Series, salt: pd.Series) -> pd.Series:
+        own = size[slot.to_numpy()]
+        return pd.Series((first[slot.to_numpy()] + np.where(own > step, own * (salt.to_numpy() / 1e6), 0).astype(np.int64)) // step)
+
+    salt = F.pmod(F.xxhash64("doc_id", "content"), F.lit(1_000_000))
+    return rows.select("doc_id", "unnamed", "ids", "slot", "content", shard("slot", salt).alias("shard"))
+
+
+def _frame(rows: list[tuple], shard: int | None, left: list[tuple], dtype: str) -> pd.DataFrame:
+    """Rows of PIECES, and the parts (doc_id, start, ids, total) of a shard's open window."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    parts = [(i, start, len(ids), None, total, shard, at, ids.astype(dtype).tobytes()) for at, (i, start, ids, total) in enumerate(left)]
+    frame = pd.DataFrame([(*r, None) for r in rows] + parts, columns=[*names, "ids"])
+    return frame.astype(dict.fromkeys(names, "Int64"))
+
+
 def packed(encoded: DataFrame, dtype: str, vocabulary: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """PIECES of a written table (doc_id, ids)."""
     counts, rows, mean_length = frequencies(encoded, dtype, vocabulary)
     idf = np.log1p((rows - counts + 0.5) / (counts + 0.5)).astype(np.float32)
-    names = [c.split()[0] for c in PIECES.split(", ")]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = Packer(TaskContext.get().partitionId() << 32, dtype)
-        ids: list[np.ndarray] = []
-        names_of: list = []
+        at, ids, names_of = -1, [], []
 
         def shard() -> pd.DataFrame:
-            out = [p for i in _order(ids, idf, mean_length, WINDOW - packer.used) for p in packer.add(names_of[i], ids[i])]
-            return _frame(out)
+            packer = Packer(at << 24, dtype)
+            out = [p for i in _order(ids, idf, mean_length, WINDOW) for p in packer.add(names_of[i], ids[i])]
+            return _frame(out, at, packer.open, dtype)
 
-        def _frame(out: list[tuple]) -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=names)
-            return frame.astype({"doc_id": "Int64"})
-
-        held = 0
         for batch in batches:
-            for doc_id, unnamed, own in zip(batch["doc_id"].tolist(), batch["unnamed"].tolist(), batch["ids"], strict=True):
+            for doc_id, unnamed, own, of in zip(batch["doc_id"].tolist(), batch["unnamed"].tolist(), batch["ids"], batch["shard"].tolist(), strict=True):
+                if of != at and ids:
+                    yield shard()
+                    ids, names_of = [], []
+                at = of
                 names_of.append(None if unnamed else doc_id)
                 ids.append(np.frombuffer(own, dtype))
-                held += len(ids[-1])
-                if held >= shard_tokens:
-                    yield shard()
-                    ids, names_of, held = [], [], 0
         if ids:
             yield shard()
-        yield _frame(list(packer.finish()))
 
-    named = F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed")  # pandas would make a long with nulls a float
-    return encoded.select(*named, "ids").mapInPandas(pack, PIECES)
+    def pack_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, packer = -1, None
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch[c].tolist() for c in ("doc_id", "unnamed", "ids", "start", "doc_tokens", "sequence_id"))
+            for doc_id, unnamed, own, start, total, of in zip(*columns, strict=True):
+                if of // TAILS != group:
+                    out += packer.finish() if packer else []
+                    group, packer = of // TAILS, Packer(1 << 62 | (of // TAILS) << 24, dtype)
+                out += packer.add(None if unnamed else doc_id, np.frombuffer(own, dtype), start, total)
+            yield _frame(out, None, [], dtype).drop(columns="ids")
+        if packer:
+            yield _frame(list(packer.finish()), None, [], dtype).drop(columns="ids")
+
+    order = ["shard", "slot", "content", "unnamed", "doc_id"]
+    shards = placed(encoded, dtype, counts, idf, mean_length, shard_tokens).repartition("shard").sortWithinPartitions(*order)
+    first = written(shards.mapInPandas(pack, PIECES + ", ids binary"))
+    named = F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed")
+    ends = first.where("ids IS NOT NULL").select(*named, "ids", "start", "doc_tokens", "sequence_id", "offset", F.floor(F.col("sequence_id") / TAILS).alias("group"))
+    last = ends.repartition("group").sortWithinPartitions("group", "sequence_id", "offset").mapInPandas(pack_ends, PIECES)
+    return first.where("ids IS NULL").drop("ids").unionByName(last)
 
 
 def pack_documents(docs: DataFrame, path: str, closing: int = CLOSING, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
