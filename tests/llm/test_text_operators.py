@@ -172,6 +172,121 @@ def test_pseudonyms_are_permutations(spark):
     assert pii.pseudonymised(numbers, "k").distinct().count() == 1000
 
 
+def plain_hash(key, *what):
+    return hashlib.sha256("|".join([key, *map(str, what)]).encode()).hexdigest()
+
+
+def plain_number(value, left, right, key):
+    a, b = divmod(value, right)
+    for i in range(pii.ROUNDS):
+        noise = int(plain_hash(key, i, a if i % 2 else b)[:15], 16)
+        a, b = (a, (b + noise) % right) if i % 2 else ((a + noise) % left, b)
+    return a * right + b
+
+
+def plain_text(value, key):
+    def shifted(half, seed):
+        out = ""
+        for i, c in enumerate(half):
+            noise = seed if i < 32 else hashlib.sha256(f"{seed}|{i // 32}".encode()).hexdigest()
+            n = int(noise[i % 32 * 2 :][:2], 16)
+            out += next((chr((ord(c) - ord(f) + n) % k + ord(f)) for f, k in (("0", 10), ("a", 26), ("A", 26)) if ord(f) <= ord(c) < ord(f) + k), c)
+        return out
+
+    middle = -(-len(value) // 2)
+    a, b = value[:middle], value[middle:]
+    for i in range(pii.ROUNDS):
+        a, b = (a, shifted(b, plain_hash(key, i, a))) if i % 2 else (shifted(a, plain_hash(key, i, b)), b)
+    return a + b
+
+
+def plain_fill(form, values, digits=True):
+    rest = iter(values)
+    return "".join(next(rest) if (c.isdigit() if digits else c != " ") else c for c in form)
+
+
+def plain_check(body, country):
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{98 - int(number) % 97:02d}"
+
+
+def plain_day(d, key):
+    first = datetime.date(1600, 1, 1).toordinal()
+    block, at = divmod(d.toordinal() - first, 146097)
+    day = lambda x: datetime.date.fromordinal(first + x).day <= 12
+    new = plain_number(at, 189, 773, key)
+    while day(new) != day(at):
+        new = plain_number(new, 189, 773, key)
+    return datetime.date.fromordinal(first + block * 146097 + new)
+
+
+def plain_pseudonym(kind, m, key):
+    """A valid value of a kind, permuted by other means than the operator's."""
+    key += kind
+    if kind == "email":
+        name, domain = m.split("@")
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(name, plain_text(name.lower(), key), strict=True)) + "@" + domain
+    if kind == "iban":
+        body = plain_text(m.replace(" ", "")[4:], key)
+        return plain_fill(m, m[:2] + plain_check(body, m[:2]) + body, digits=False)
+    if kind == "card":
+        body = plain_text(re.sub("[^0-9]", "", m)[:-1], key)
+        return plain_fill(m, next(body + str(d) for d in range(10) if luhn(body + str(d))))
+    if kind == "address":
+        a, b, c, d = map(int, m.split("."))
+        new = plain_number(a << 24 | b << 16 | c << 8 | d, 65536, 65536, key)
+        return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "social":
+        a, b, c = map(int, m.split("-"))
+        rest, c = divmod(plain_number(((a - 1 - (a > 666)) * 99 + b - 1) * 9999 + c - 1, 898 * 99, 9999, key), 9999)
+        a, b = divmod(rest, 99)
+        return f"{a + 1 + (a + 1 >= 666):03d}-{b + 1:02d}-{c + 1:04d}"
+    if kind == "phone":
+        code = (re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", m) or [""])[0]
+        return code + plain_fill(m[len(code) :], plain_text(re.sub("[^0-9]", "", m[len(code) :]), key))
+    for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
+        try:
+            return plain_day(datetime.datetime.strptime(m, form).date(), key).strftime(form)
+        except ValueError:
+            continue
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    values = {
+        "email": [VALUES[0], "x@y.org", "Anna.Lee+x@z.net", "ab1." * 60 + "end@long.example.com"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "NO93 8601 1117 947"],
+        "card": ["4539578763621486", "4539 5787 6362 1486", "3782-822463-10005"],
+        "address": ["1.2.3.4", "255.255.255.255"],
+        "social": ["123-45-6789", "001-01-0001", "665-99-9999", "667-10-0100", "899-99-9999"],
+        "phone": ["+1 (017) 555-7713", "555-123-4567", "+49 170 1234567", "(555) 123-4567"],
+        "date": ["2024-02-29", "1999-12-31", "31.12.1999", "02/28/2001", "28/02/2001", "02/03/2001", "03.02.2001", "2001-02-03"],
+    }
+    rows = [(k, v) for k, own in values.items() for v in own]
+    got = [r.text for r in pii.pseudonymised(spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows)], "i int, text string"), "key").orderBy("i").collect()]
+    for (kind, v), new in zip(rows, got, strict=True):
+        assert new == plain_pseudonym(kind, v, "key") != v, (kind, v)
+
+
+def test_equal_values_stay_equal_however_written(spark):
+    pairs = [("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("4539 5787 6362 1486", "4539578763621486"), ("Ann.Lee@x.org", "ann.lee@x.org")]
+    days = ["2001-02-28", "28.02.2001", "02/28/2001", "28/02/2001"]
+    bad = ["000-12-3456", "666-12-3456", "912-12-3456", "123-00-3456", "123-45-0000", "31/02/2001", "13/13/2001", "+49 1234 5678 9012 3456 7890"]
+    texts = [v for p in pairs for v in p] + days + bad
+    got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "k").orderBy("i").collect()]
+    for i in range(0, 2 * len(pairs), 2):
+        assert got[i].replace(" ", "").lower() == got[i + 1].lower() != texts[i + 1].lower()
+    at = 2 * len(pairs)
+    read = [datetime.datetime.strptime(v, f).date() for v, f in zip(got[at : at + 4], ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"), strict=True)]
+    assert len(set(read)) == 1 and read[0].day > 12
+    assert got[at + 4 :] == bad
+
+
+def test_slash_dates_are_a_permutation(spark):
+    days = spark.range(1500).select(F.date_add(F.lit("1999-01-01"), F.col("id").cast("int")).alias("d"))
+    texts = days.select(F.explode(F.array(F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd/MM/yyyy"))).alias("text")).distinct()
+    assert pii.pseudonymised(texts, "k").distinct().count() == texts.count()
+
+
 def test_pseudonyms_leave_columns_alone(spark):
     docs = frame(spark, ["mail a@b.co"] * 2)
     out = pii.pseudonymised(docs, "k", count="n")

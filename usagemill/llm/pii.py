@@ -1,10 +1,13 @@
 """Personal data replaced by format-preserving pseudonyms.
 
-Numbers and dates that pass their format's check (card: Luhn digit; IBAN: remainder of 97; address: bytes up to 255;
-date: a day of the calendar; telephone and social number: their shape) and e-mail names are permuted within their format by a
-keyed Feistel network, so that equal values stay equal everywhere and different ones stay different. What is produced
-passes the same check. Cards and IBANs are looked for at each group of a run of groups, so that numbers beside them don't hide them. Everything is built from DataFrame functions: a text is split at the matches, and the
-permuted matches are put between the pieces; no shuffle is needed.
+Numbers and dates that pass their format's check (card: Luhn digit; IBAN: remainder of 97; address: bytes up to 255; date: a day of
+the calendar; social number: an area, group and serial that can be given out; telephone: 7 to 15 digits) and e-mail names are permuted
+within their format by a keyed Feistel network, so that equal values stay equal everywhere and different ones stay different. What is
+produced passes the same check. Values are equal however they are written: IBANs and cards with or without spaces, e-mail names in either
+case, dates in any order. Dates with slashes are month first if that is a day of the calendar, else day first; a date keeps whether its
+day is above 12, so that neither reading turns into the other. Cards and IBANs are looked for at each group of a run of groups, so that
+numbers beside them don't hide them. Everything is built from DataFrame functions: a text is split at the matches, and the permuted
+matches are put between the pieces; no shuffle is needed.
 
 Defined results: null text stays null and counts 0. Empty text stays empty. Repeated rows are treated alike. Other columns pass
 through unchanged, also one named like a helper here (the work happens inside two expressions). Whole texts are read,
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from usagemill.llm.common import table
 
 EDGE, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 IBAN = EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)" + END
 ADDRESS = EDGE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + END
 DATE = EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + END
@@ -38,6 +41,10 @@ CARD_GROUPS, IBAN_GROUPS = (5, 4, 3, 1), (9, 8, 7, 6, 5, 4, 1)
 ROUNDS = 8
 #: Days of a cycle of 400 years, 146097 = 189 * 773, in which calendar days repeat.
 DAY_HALVES, CYCLE = (189, 773), 146097
+#: Social numbers: areas but 000, 666 and 9xx with groups but 00, and serials but 0000.
+SOCIAL_HALVES = (898 * 99, 9999)
+#: Characters that one digest moves.
+CHUNK = 32
 
 
 def _hash(key: str, *what: Column) -> Column:
@@ -58,26 +65,30 @@ def _permute_number(value: Column, left: int, right: int, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda x: x.a * right + x.b)
 
 
-def _shifted(half: Column, noise: Column) -> Column:
-    """half with digits, small and large letters each moved within their class by noise, 64 hexadecimal digits."""
+def _shifted(half: Column, seed: Column) -> Column:
+    """half with digits, small and large letters each moved within their class by noise of seed, 64 hexadecimal digits for CHUNK characters."""
 
-    def move(c: Column, i: Column) -> Column:
+    def move(c: Column, i: Column, noise: Column) -> Column:
         n = F.conv(F.substr(noise, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         within = lambda first, size: F.char(F.pmod(F.ascii(c) - ord(first) + n, F.lit(size)) + ord(first))
         return F.when(c.between("0", "9"), within("0", 10)).when(c.between("a", "z"), within("a", 26)).when(c.between("A", "Z"), within("A", 26)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(half, ""), move), "")
+    def chunk(own: Column, n: Column) -> Column:
+        noise = F.when(n == 0, seed).otherwise(F.sha2(F.concat_ws("|", seed, n), 256))
+        return _let(noise, lambda x: F.array_join(F.transform(F.split(own, ""), lambda c, i: move(c, i, x)), ""))
+
+    return F.array_join(F.transform(F.regexp_extract_all(half, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), chunk), "")
 
 
 def _permute_text(value: Column, key: str) -> Column:
-    """Permutation of the texts with the same classes of characters (digit, small, large letter, other), up to 64 long."""
+    """Permutation of the texts with the same classes of characters (digit, small, large letter, other)."""
     middle = F.ceil(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), middle).alias("a"), F.substr(value, middle + 1, F.length(value)).alias("b"))
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        a = F.when(even, _shifted(acc.a, _hash(key, i, acc.b))).otherwise(acc.a)
-        b = F.when(even, acc.b).otherwise(_shifted(acc.b, _hash(key, i, acc.a)))
+        a = F.when(even, _let(_hash(key, i, acc.b), lambda h: _shifted(acc.a, h))).otherwise(acc.a)
+        b = F.when(even, acc.b).otherwise(_let(_hash(key, i, acc.a), lambda h: _shifted(acc.b, h)))
         return F.struct(a.alias("a"), b.alias("b"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda x: F.concat(x.a, x.b))
@@ -98,13 +109,16 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), each), F.lit(0), lambda a, x: a + x)
 
 
-def _spread(digits: Column, form: Column) -> Column:
-    """form with its digits replaced by digits, one by one."""
+def _is_digit(c: Column) -> Column:
+    return c.between("0", "9")
+
+
+def _spread(values: Column, form: Column, fills=_is_digit) -> Column:
+    """form with the characters that `fills` says replaced by those of values, one by one."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def step(acc: Column, c: Column) -> Column:
-        digit = c.between("0", "9")
-        return F.struct(F.concat(acc.out, F.when(digit, F.substr(digits, acc.k, F.lit(1))).otherwise(c)).alias("out"), (acc.k + digit.cast("int")).alias("k"))
+        return F.struct(F.concat(acc.out, F.when(fills(c), F.substr(values, acc.k, F.lit(1))).otherwise(c)).alias("out"), (acc.k + fills(c).cast("int")).alias("k"))
 
     return F.aggregate(F.split(form, ""), start, step, lambda x: x.out)
 
@@ -119,11 +133,19 @@ def _rest97(alnum: Column) -> Column:
     return F.aggregate(F.split(alnum, ""), F.lit(0), lambda a, c: F.pmod(a * F.when(c.between("A", "Z"), F.lit(100)).otherwise(F.lit(10)) + number(c), F.lit(97)))
 
 
+def _bare(x: Column) -> Column:
+    return F.replace(x, F.lit(" "), F.lit(""))
+
+
 def _iban(m: Column, key: str) -> Column:
-    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    valid = _rest97(F.concat(F.substr(bare(m), F.lit(5), F.lit(64)), F.substr(m, F.lit(1), F.lit(4)))) == 1
-    rest = lambda p: F.lpad((98 - _rest97(F.concat(bare(p), F.substr(m, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _let(_permute_text(F.substr(m, F.lit(5), F.lit(64)), key), lambda p: F.concat(F.substr(m, F.lit(1), F.lit(2)), rest(p), p))).otherwise(m)
+    def new(bare: Column) -> Column:
+        country = F.substr(bare, F.lit(1), F.lit(2))
+        rest = lambda p: F.lpad((98 - _rest97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0")
+        own = _let(_permute_text(F.substr(bare, F.lit(5), F.lit(64)), key), lambda p: F.concat(country, rest(p), p))
+        valid = _rest97(F.concat(F.substr(bare, F.lit(5), F.lit(64)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
+        return F.when(valid, _let(own, lambda x: _spread(x, m, lambda c: c != " "))).otherwise(m)
+
+    return _let(_bare(m), new)
 
 
 def _address(m: Column, key: str) -> Column:
@@ -134,36 +156,57 @@ def _address(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
+    first = F.unix_date(F.lit("1600-01-01").cast("date"))
+
     def moved(day: Column) -> Column:
-        first = F.unix_date(F.lit("1600-01-01").cast("date"))
-        block = F.floor((day - first) / CYCLE).cast("long")
-        new = _permute_number(F.pmod(day - first, F.lit(CYCLE)).cast("long"), *DAY_HALVES, key)
-        return F.date_from_unix_date((new + block * CYCLE + first).cast("int"))
+        """Another day with its day of the month on the same side of 12: the permutation is applied until there is one."""
+        place = F.pmod(day - first, F.lit(CYCLE)).cast("long")
+        early = lambda at: F.dayofmonth(F.date_from_unix_date((at + first).cast("int"))) <= 12
+        once = lambda at: _permute_number(at, *DAY_HALVES, key)
+        new = F.aggregate(F.sequence(F.lit(0), F.lit(63)), once(place), lambda at, i: F.when(early(at) == early(place), at).otherwise(once(at)))
+        return F.date_from_unix_date((new + F.floor((day - first) / CYCLE) * CYCLE + first).cast("int"))
+
+    def shaped(form: str):
+        return lambda d: F.when(d.isNotNull(), F.date_format(moved(d), form))
+
+    iso, dotted = m.substr(5, 1) == "-", m.substr(3, 1) == "."
+    forms = [(iso, "yyyy-MM-dd"), (~iso & dotted, "dd.MM.yyyy"), (~iso & ~dotted, "MM/dd/yyyy"), (~iso & ~dotted, "dd/MM/yyyy")]
+    out = F.when(F.lit(False), m)
+    for when, form in forms:
+        year = m.substr(1, 4) if form[0] == "y" else m.substr(7, 4)
+        day = F.when(when & (year >= "0400"), F.unix_date(F.try_to_timestamp(m, F.lit(form)).cast("date")))
+        out = F.coalesce(out, _let(day, shaped(form)))
+    return F.coalesce(out, m)
+
+
+def _social(m: Column, key: str) -> Column:
+    area, group, serial = (m.substr(at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    value = ((area - 1 - (area > 666).cast("long")) * 99 + group - 1) * 9999 + serial - 1
 
-    def as_form(form: str):
-        return lambda d: F.date_format(moved(d), form)
+    def shape(v: Column) -> Column:
+        place = F.floor(v / (9999 * 99)) + 1
+        parts = ((place + (place >= 666).cast("long"), 3), (F.floor(v / 9999) % 99 + 1, 2), (v % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
 
-    out = m
-    iso = m.substr(5, 1) == "-"
-    for when, form in ((iso, "yyyy-MM-dd"), (~iso & (m.substr(3, 1) == "."), "dd.MM.yyyy"), (~iso & (m.substr(3, 1) == "/"), "MM/dd/yyyy")):
-        parsed = F.unix_date(F.try_to_timestamp(m, F.lit(form)).cast("date"))
-        year = _digits(m.substr(1, 4)) if form[0] == "y" else m.substr(7, 4)
-        out = F.when(when & parsed.isNotNull() & (year >= "0400"), _let(parsed, as_form(form))).otherwise(out)
-    return out
+    return F.when(valid, _let(_permute_number(value, *SOCIAL_HALVES, key), shape)).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
     """All digits but a country's code are permuted."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]", 0)
     tail = F.substr(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _let(_permute_text(_digits(tail), key), lambda p: _spread(p, tail)))
+    return F.when(F.length(_digits(m)).between(7, 15), F.concat(code, _let(_permute_text(_digits(tail), key), lambda p: _spread(p, tail)))).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(_permute_text(F.substring_index(m, "@", 1), key), F.lit("@"), F.substring_index(m, "@", -1))
+    """The name is permuted in lower case and gets its large letters back where they were."""
+    name = F.substring_index(m, "@", 1)
+    cased = lambda p: F.array_join(F.zip_with(F.split(name, ""), F.split(p, ""), lambda old, new: F.when(old.between("A", "Z"), F.upper(new)).otherwise(new)), "")
+    return F.concat(_let(_permute_text(F.lower(name), key), cased), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-REPLACE = {"email": _email, "iban": _iban, "address": _address, "date": _date, "social": lambda m, key: _let(_permute_text(_digits(m), key), lambda p: _spread(p, m)), "phone": _phone, "card": _card}
+REPLACE = {"email": _email, "iban": _iban, "address": _address, "date": _date, "social": _social, "phone": _phone, "card": _card}
 
 
 def pseudonym(match: Column, key: str) -> Column:
@@ -177,7 +220,7 @@ def pseudonym(match: Column, key: str) -> Column:
 
 
 def _valid_iban(m: Column) -> Column:
-    bare = F.replace(m, F.lit(" "), F.lit(""))
+    bare = _bare(m)
     return m.rlike(f"^(?:{IBAN})$") & F.length(bare).between(15, 34) & (_rest97(F.concat(F.substr(bare, F.lit(5), F.lit(64)), F.substr(bare, F.lit(1), F.lit(4)))) == 1)
 
 
