@@ -70,6 +70,21 @@ def test_rules_fences_follow_their_group(spark):
     assert 1000 not in kept and all(i in kept for i in range(300)) and all(2000 + i in kept for i in range(300))
 
 
+def test_bins_rise_without_an_end(spark):
+    values = [*range(0, 5000, 7), 2047, 2048, 4095, 4096, 10**6, 10**6 + 1000, 10**12]
+    got = [r.b for r in spark.createDataFrame([(v,) for v in sorted(values)], "v long").select(quality_rules._bin(F.col("v")).alias("b")).collect()]
+    assert got == sorted(got) and got[: 2048 // 7] == sorted(values)[: 2048 // 7] and len(set(got[-4:])) == 4
+
+
+def test_long_words_are_told_apart(spark):
+    """A group of mean lengths far beyond the exact bins still has a fence that longer words exceed."""
+    rows = [(i, " ".join(["x" * 300] * 59 + [f"{i}w{k}" for k in range(1)]), "en", "a") for i in range(200)]
+    odd = [(900, " ".join(f"{'y' * 5000}{k}" for k in range(60)), "en", "a")]
+    got = {r.doc_id: r._q_broken for r in quality_rules.rules(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string")).collect()}
+    metric = list(quality_rules.METRICS).index("word_length")
+    assert metric in got[900] and all(metric not in got[i] for i in range(200))
+
+
 # ---- secrets
 
 

@@ -78,7 +78,8 @@ def _rules() -> str:
         "sameness": "(n_words - n_distinct) * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 10 // greatest(n_words, 1)",
     }
     assert list(metrics) == list(quality_rules.METRICS)
-    bins = " UNION ALL ".join(f"SELECT rid, l, s, {i} AS metric, least(greatest({x}, 0), {quality_rules.BINS - 1}) AS bin FROM c" for i, x in enumerate(metrics.values()))
+    exact = quality_rules.EXACT
+    bins = " UNION ALL ".join(f"SELECT rid, l, s, {i} AS metric, more * {exact // 2} + (x >> more) AS bin FROM (SELECT *, greatest(length(bin(x)) - {exact.bit_length() - 1}, 0) AS more FROM (SELECT rid, l, s, CAST({x} AS BIGINT) AS x FROM c))" for i, x in enumerate(metrics.values()))
     slack = "[" + ", ".join(map(str, quality_rules.METRICS.values())) + "]"
     levels = " UNION ALL ".join(f"SELECT '{level}' AS level, {l} AS l, {s} AS s, metric, bin, count(*) AS n FROM bins GROUP BY ALL" for level, l, s in (("own", "l", "s"), ("lang", "l", "''"), ("all", "''", "''")))
     keep = lambda body: f"length(regexp_replace(t, '[^{body}]+', '', 'g'))"

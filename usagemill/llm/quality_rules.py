@@ -1,8 +1,8 @@
 """Quality rules with thresholds that follow the corpus.
 
 Each document gets integer metrics. For every (language, source) the metrics' distributions are kept as
-histogram sketches of a fixed number of bins, which merge by addition, so the result doesn't depend on how rows
-are dealt to tasks. Each metric's fence is read off the sketch (upper quartile plus a multiple of the quartile
+histogram sketches, which merge by addition, so the result doesn't depend on how rows are dealt to tasks. Bins are
+exact up to EXACT and keep eleven significant bits of larger values, so a sketch has a bounded number of bins and no value is cut off. Each metric's fence is read off the sketch (upper quartile plus a multiple of the quartile
 distance); a group with few rows takes the fence of its language, and a language with few rows that of the corpus.
 Documents are then joined with their group's fences and filtered. Everything is built from DataFrame functions.
 
@@ -20,13 +20,16 @@ from usagemill.llm.common import SPACES, small_join, table, words_of, written
 
 #: Per metric: the least distance between the median and the fence, in the metric's units (per mille, tenths).
 METRICS = {"symbols": 60, "capitals": 250, "marks": 120, "sameness": 450, "word_length": 40}
-BINS = 2048
+#: A power of two; values below it have a bin of their own.
+EXACT = 2048
 MIN_GROUP_ROWS = 100
 FENCE = 4
 
 
 def _bin(value: Column) -> Column:
-    return F.least(F.greatest(value, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    """The value itself below EXACT; beyond it, each doubling has EXACT / 2 bins. Bins rise with the values."""
+    more = F.greatest(F.length(F.bin(value)) - (EXACT.bit_length() - 1), F.lit(0))
+    return (more * (EXACT // 2) + F.call_function("shiftright", value, more)).cast("int")
 
 
 def _length_without(text: Column, keep: str) -> Column:
@@ -121,19 +124,18 @@ def base_counts(measured: DataFrame) -> DataFrame:
     return out.withColumn("_q_base_failed", failed).drop("_q_words", "_q_lines", "_q_hashes", "_q_sorted")
 
 
-def rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
+def rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_GROUP_ROWS, carried: list[str] | None = None) -> DataFrame:
     """docs, row by row, with the _q_ columns: counts, _q_base_failed, _q_broken (metrics beyond their fence) and _q_kept.
 
-    Two passes over docs: the first reads only what the sketches need, the second counts, joins and judges.
+    Texts are measured in one pass, which writes docs' columns, or only the carried ones, and the counts; sketches, fences and verdicts need the written counts only.
     """
-    light = cheap_metrics(docs.select(lang, source, text), text).withColumns(group_key(lang, source))
-    fences = written(thresholds(written(sketches(light)), min_rows))
-    full = base_counts(cheap_metrics(docs, text)).withColumns(group_key(lang, source))
-    judged = small_join(full, fences, ["_q_lang", "_q_source"])
+    full = base_counts(cheap_metrics(docs, text)).withColumns(group_key(lang, source)).drop("_q_text")
+    measured = written(full if carried is None else full.drop(*[c for c in docs.columns if c not in carried]))
+    fences = written(thresholds(written(sketches(measured)), min_rows))
+    judged = small_join(measured, fences, ["_q_lang", "_q_source"])
     broken = F.filter(F.transform(F.arrays_zip("_q_bins", "_q_fences"), lambda x, i: F.when(x["_q_bins"] > x["_q_fences"], i)), lambda i: i.isNotNull())
     judged = judged.withColumn("_q_broken", F.coalesce(broken, F.array().cast("array<int>")))
-    in_place = F.spark_partition_id() >= 0  # always true; keeps a later filter above the counts, which it would else compute again
-    return judged.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_broken") == 0) & in_place).drop("_q_lang", "_q_source", "_q_bins", "_q_fences", "_q_text")
+    return judged.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_broken") == 0)).drop("_q_lang", "_q_source", "_q_bins", "_q_fences")
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -144,4 +146,4 @@ def kept(docs: DataFrame) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return rules(docs).select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in names])
+    return rules(docs, carried=["doc_id"]).select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in names])
