@@ -325,6 +325,104 @@ def test_classifier_learns_from_few_labels_and_scores_all(spark):
     assert kept.columns == docs.columns
 
 
+def plain_cotraining(rows, labels, rounds, share):
+    """Scores by doc_id: the same leaf functions, but all else by lists, sorting and loops."""
+    import struct
+
+    import xxhash
+
+    half = lambda t: cotrain.text_features(t).astype(np.float16).astype(np.float32)
+    x = {d: (half(t), cotrain.meta_features([lang], [source], [n])[0]) for d, t, lang, source, n in rows}
+    order = sorted(labels, key=lambda d: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", d), 42)))[0])
+    held, fit = order[::4], [d for i, d in enumerate(order) if i % 4]
+    own = [[(x[d][v], labels[d], 1.0) for d in fit] for v in (0, 1)]
+    good = sum(labels[d] for d in fit) / len(fit)
+    wanted = [max(1, round(share * len(fit) * c)) for c in (1 - good, good)]
+    truth = np.array([labels[d] for d in held], float)
+
+    def fitted(v, rows_of):
+        w = cotrain.fit_logistic(np.stack([r[0] for r in rows_of]), np.array([r[1] for r in rows_of], float), weight=np.array([r[2] for r in rows_of]))
+        z = np.clip(np.stack([x[d][v] for d in held]) @ w, -12, 12)
+        scale = cotrain.fit_logistic(np.stack([z, np.ones_like(z)], 1), truth, 1e-2)
+        odds = lambda d: float(np.clip(x[d][v] @ w * scale[0] + scale[1], -12, 12))
+        return odds, cotrain.loss(np.array([odds(d) for d in held]), truth)
+
+    heard, gone, log = [True, True], set(), []
+    for n in range(rounds + 1):
+        views = [fitted(v, own[v]) for v in (0, 1)]
+        if n == rounds:
+            break
+        handed = {}
+        for by in (0, 1):
+            middle = np.quantile([views[by][0](d) for d in held], 1 - good)
+            sure = {d: views[by][0](d) - middle for d in x if d not in labels and d not in gone}
+            for y in (0, 1):
+                for d in sorted((d for d, o in sure.items() if (o > 0) == y), key=lambda d: (-abs(sure[d]), d))[: wanted[y]]:
+                    handed.setdefault(d, (by, y))
+        for by in (0, 1):
+            more = [(x[d][1 - by], float(y), cotrain.PSEUDO_WEIGHT) for d, (b, y) in handed.items() if b == by]
+            if more and heard[by] and fitted(1 - by, own[1 - by] + more)[1] <= views[1 - by][1] + cotrain.TOLERANCE:
+                own[1 - by] += more
+            elif more:
+                heard[by] = False
+        gone |= handed.keys()
+        log.append([sorted(d for d, (b, _) in handed.items() if b == by) for by in (0, 1)])
+    columns = np.stack([[views[0][0](d) for d in held], [views[1][0](d) for d in held], np.ones(len(held))], 1)
+    both = cotrain.fit_logistic(columns, truth, 1e-1)
+    if (both[:2] >= 0).all():
+        return {d: 1 / (1 + np.exp(-(both @ [views[0][0](d), views[1][0](d), 1]))) for d in x}, log
+    return None, log
+
+
+def test_classifier_equals_plain_cotraining(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        good = rng.random() < 0.6
+        text = " ".join(rng.choice(["plain", "words", "make", "sense"] if good or rng.random() < 0.5 else ["BUY!!", "now", "$$$", "sense"]) for _ in range(30))
+        rows.append((i, text, rng.choice(["en", "de"]), "s1" if good == (rng.random() < 0.8) else "s2", len(text), int(good)))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = {r[0]: r[5] for r in rows if r[0] % 2}
+    frame_ = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    views = cotrain.train(docs, frame_, rounds=2, pick_share=0.1)
+    expected, log = plain_cotraining([r[:5] for r in rows], labels, 2, 0.1)
+    assert [[sorted(p) for p in r["picked"]] for r in views.rounds] == log
+    assert all(p for r in log for p in r) and not set(sum(log[0], [])) & set(sum(log[1], []))
+    assert any(any(r["heard"]) for r in views.rounds) and expected is not None
+    got = {r.doc_id: r.score for r in cotrain.scored(docs, views).collect()}
+    assert all(abs(got[d] - s) < 1e-4 for d, s in expected.items())
+    again = {r.doc_id: r.score for r in cotrain.judged(docs.withColumn("score", F.lit("old")), frame_, rounds=2, pick_share=0.1).collect()}
+    assert all(abs(got[d] - again[d]) < 1e-9 for d in got)
+
+
+def test_both_views_hand_over_new_documents_and_text_gains_nothing_false():
+    """Held-out figures over the test tables; they are stated in README."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    docs, labels = (session.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    pool = cotrain.featured(docs.select("doc_id", "text", *cotrain.META), texts=False)
+    held = pool.join(labels.where("doc_id % 3 = 0").select("doc_id", "quality"), "doc_id").toPandas()
+    y = held["quality"].to_numpy()
+
+    def area(s):
+        return np.mean([(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]])
+
+    found = {}
+    for rounds in (0, 2):
+        views = cotrain.train_on(pool, labels.where("doc_id % 3 <> 0"), rounds=rounds)
+        text, meta = views.odds(*cotrain._arrays(held))
+        found[rounds] = area(text), area(meta), area(views.scores(*cotrain._arrays(held)))
+    assert len(views.rounds) == 2 and all(len(p) for r in views.rounds for p in r["picked"])
+    assert len({d for r in views.rounds for p in r["picked"] for d in p}) == sum(len(p) for r in views.rounds for p in r["picked"])
+    assert found[2][0] > 0.97 and found[2][2] > 0.97 and found[2][0] >= found[0][0] - 0.01 and found[2][1] >= found[0][1] - 0.05, found
+
+
 def test_classifier_without_labels_keeps_all(spark):
     docs = frame(spark, AWKWARD[:8])
     none = spark.createDataFrame([], "doc_id long, quality int")

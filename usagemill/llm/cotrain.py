@@ -1,16 +1,19 @@
 """Quality classifier by co-training of two views of a document: its text and its metadata.
 
-Each view has a logistic regression of its own, first fitted on a bounded sample of labelled documents. Over rounds, both
-score all unlabelled documents, and each hands the other the ones of which it is sure (a calibrated probability of at least
-`sure`), up to `picks` a class, as pseudo-labels. A part of the labelled sample is never fitted; on it each view is calibrated and
-the views' calibrated log-odds are weighed against each other. The result scores every document.
+Each view has a logistic regression of its own, first fitted on a bounded sample of labelled documents. In each round both score all
+unlabelled documents that haven't been handed over yet, and each hands the other the ones of which it is surest, by rank and in the
+classes' shares among the labels, as pseudo-labels. Their number is a share of the labelled sample (PICK_SHARE). A part of the sample is
+never fitted; on it each view is calibrated, and a view whose picks raise the other's loss there by more than TOLERANCE is not listened
+to: the other one drops these picks and takes no more from it. At last the views' calibrated log-odds are weighed against each other by
+weights that aren't negative, and the result scores every document. `Views.rounds` says what was handed over.
 
-Only the labelled sample (at most `sample` rows) and the picks reach the driver; text features of all documents are a written
-table of about 180 bytes a document, so the rounds don't read texts again.
+Only the labelled sample (at most `sample` rows) and the picks reach the driver. Texts are read once: their features, about 180 bytes a
+document, are written beside the rows; each round reads the features once, and so do the final scores.
 
 Defined results: null text counts as empty; null lang, source or n_chars is a value of its own. Repeated rows come back as often as
-they went in. With no labels, or labels of one class, every document scores that class's share (1 without labels) and is kept. Extra
-columns pass through `scored`, whose own column names are parameters. An empty table gives an empty result.
+they went in; rows without a doc_id are scored but neither learned from nor handed over. With no labels, or labels of one class, every
+document scores that class's share (1 without labels) and is kept. Extra columns pass through `scored` and `judged`; a column that has
+the name of the score is replaced. Ties in sureness go to the smaller doc_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,25 +21,28 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagemill.llm.common import bounded_sample, table, written
 
-#: Bound of the labelled sample, rounds, picks a class and round, the probability that counts as sure, the score from which a document stays.
-SAMPLE, ROUNDS, PICKS, SURE, KEEP_FROM = 20_000, 2, 400, 0.97, 0.4
+#: Bound of the labelled sample, rounds, picks of a view and round for each fitted row, weight of a pseudo-label, the score from which a document stays.
+SAMPLE, ROUNDS, PICK_SHARE, PSEUDO_WEIGHT, KEEP_FROM = 20_000, 2, 0.05, 0.5, 0.4
+#: By how much a view's picks may raise the other view's held-out loss.
+TOLERANCE = 0.005
 
 #: Partitions over which the best picks of all others are gathered.
 GATHERED = 32
 _MARKS = b".,;:!?'\"()-|#*$%&<>/"
 _BUCKETS = 64
 TEXT_SIZE = 12 + len(_MARKS) + _BUCKETS
-_SOURCES, _LANGS, _SIZES = 64, 16, 24
-META_SIZE = 2 + _SOURCES + _LANGS + _SIZES
+_SOURCES, _LANGS, _SIZES, _CROSSED = 64, 16, 24, 96
+META_SIZE = 2 + _SOURCES + _LANGS + _SIZES + 3 * _CROSSED
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -77,25 +83,30 @@ def _slot(value: object, slots: int) -> int:
 
 
 def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """Language and source by hashed slots, and the stated length by powers of two."""
+    """Language and source by hashed slots, the stated length by steps, and each two of them together."""
     out = np.zeros((len(lang), META_SIZE), np.float32)
     for i, (x, y, z) in enumerate(zip(lang, source, n_chars, strict=True)):
         size = np.log1p(max(float(z), 0)) if z is not None and z == z else 0.0
+        step = min(int(size * 1.5), _SIZES - 1)
         out[i, 0], out[i, 1] = 1, size / 3
-        out[i, 2 + _slot(y, _SOURCES)] = 1
-        out[i, 2 + _SOURCES + _slot(x, _LANGS)] = 1
-        out[i, 2 + _SOURCES + _LANGS + min(int(size * 1.5), _SIZES - 1)] = 1
+        at = 2
+        for place, slots in ((_slot(y, _SOURCES), _SOURCES), (_slot(x, _LANGS), _LANGS), (step, _SIZES)):
+            out[i, at + place] = 1
+            at += slots
+        for pair in ((x, y), (x, step), (y, step)):
+            out[i, at + _slot(pair, _CROSSED)] = 1
+            at += _CROSSED
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of a logistic regression with a quadratic penalty, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, weight: np.ndarray | float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of a logistic regression with a quadratic penalty, by Newton steps; `weight` is each row's."""
     w = np.zeros(x.shape[1])
     x = x.astype(np.float64)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + penalty * np.eye(len(w))
+        slope = x.T @ ((p - y) * weight) + penalty * w
+        curve = (x * (np.maximum(p * (1 - p), 1e-6) * weight)[:, None]).T @ x + penalty * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w -= step * min(1, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-4:
@@ -111,127 +122,212 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 class Views:
     """The two fitted views, their calibration (slope, offset) and how their calibrated log-odds are added up."""
 
-    text: np.ndarray
-    meta: np.ndarray
-    text_scale: np.ndarray
-    meta_scale: np.ndarray
+    weights: list[np.ndarray]
+    scales: list[np.ndarray]
     both: np.ndarray
     prior: float | None = None
+    #: The log-odds of each view that part the classes in their shares among the labels.
+    middle: list[float] = field(default_factory=list)
+    rounds: list[dict] = field(default_factory=list)
 
-    def odds(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return text @ self.text * self.text_scale[0] + self.text_scale[1], meta @ self.meta * self.meta_scale[0] + self.meta_scale[1]
+    def odds(self, text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+        return [np.clip(x @ w * scale[0] + scale[1], -12, 12) for x, w, scale in zip((text, meta), self.weights, self.scales, strict=True)]
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(text), self.prior)
         a, b = self.odds(text, meta)
-        return _logistic(np.clip(a, -12, 12) * self.both[0] + np.clip(b, -12, 12) * self.both[1] + self.both[2])
+        return _logistic(a * self.both[0] + b * self.both[1] + self.both[2])
 
 
-def _pool(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_chars, features, label) of all documents, as a written table."""
+def loss(odds: np.ndarray, y: np.ndarray) -> float:
+    """Mean logarithmic loss."""
+    return float(np.mean(np.logaddexp(0, odds) - y * odds))
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    z = np.clip(x @ w, -12, 12)
+    return fit_logistic(np.stack([z, np.ones_like(z)], 1), y, 1e-2)
+
+
+def _weighed(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the two views' log-odds and an offset; a view whose weight would be negative has none."""
+    columns = np.stack([a, b, np.ones_like(a)], 1)
+    out = fit_logistic(columns, y, 1e-1)
+    if (out[:2] < 0).any():
+        used = np.array([out[0] > 0, out[1] > 0, True])
+        if not used[:2].any():
+            used[int(loss(b, y) < loss(a, y))] = True
+        out = np.zeros(3)
+        out[used] = fit_logistic(columns[:, used], y, 1e-1)
+    return out
+
+
+META = ["lang", "source", "n_chars"]
+
+
+def featured(docs: DataFrame, features: str = "features", texts: bool = True) -> DataFrame:
+    """docs with the features of their texts, as a written table, which leaves the texts out if they aren't needed."""
 
     @F.pandas_udf("binary")
-    def features(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series([text_features(t).astype(np.float16).tobytes() for t in texts], dtype=object)
 
-    own = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"), features("text").alias("features"))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
-    return written(own.join(known, "doc_id", "left"))
+    out = docs.withColumn(features, of(F.col("text")))
+    return written(out if texts else out.drop("text"))
+
+
+def _typed(pool: DataFrame, features: str) -> list[Column]:
+    return [F.col(features).alias("features"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")]
 
 
 def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(b"".join(frame["features"]), np.float16).reshape(len(frame), TEXT_SIZE).astype(np.float32)
-    return text, meta_features(*(frame[c].tolist() for c in ("lang", "source", "n_chars")))
+    return text, meta_features(*(frame[c].tolist() for c in META))
 
 
-def _picks(pool: DataFrame, views: Views, by: int, sure: float, picks: int) -> pd.DataFrame:
-    """The unlabelled documents of which one view (0 text, 1 metadata) is surest, up to picks a class, with that class as label."""
-    least = np.log(sure / (1 - sure))
+def _best(frame: pd.DataFrame, wanted: tuple[int, int]) -> pd.DataFrame:
+    """Of each view and class, the `wanted` documents of which it is surest."""
+    frame = frame.sort_values(["by", "label", "odds", "doc_id"], ascending=[True, True, False, True], kind="stable").drop_duplicates(["by", "label", "doc_id"])
+    return frame[frame.groupby(["by", "label"]).cumcount() < np.array(wanted)[frame["label"].to_numpy(int)]]
+
+
+def _picks(rows: DataFrame, views: Views, taken: np.ndarray, wanted: tuple[int, int]) -> pd.DataFrame:
+    """(by, label, doc_id, features and metadata): what each view (0 text, 1 metadata) hands over; a document both would hand over is the text view's."""
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
         for frame in frames:
-            held = pd.concat([held, frame]).sort_values(["odds", "doc_id"], ascending=[False, True], kind="stable").groupby("label").head(picks)
+            if len(frame):
+                held = _best(pd.concat([held, frame]), wanted)
         if len(held):
             yield held
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def sure_ones() -> Iterator[pd.DataFrame]:
+        def by_view() -> Iterator[pd.DataFrame]:
             for frame in batches:
+                frame = frame[~np.isin(frame["doc_id"].to_numpy(), taken)]
                 if len(frame):
-                    odds = views.odds(*_arrays(frame))[by]
-                    frame = frame.assign(label=(odds > 0).astype("int32"), odds=np.abs(odds))
-                    yield frame[frame["odds"] >= least]
+                    for by, odds in enumerate(views.odds(*_arrays(frame))):
+                        yield frame.assign(by=by, label=(odds > views.middle[by]).astype("int32"), odds=np.abs(odds - views.middle[by]))
 
-        yield from best(sure_ones())
+        yield from best(by_view())
 
-    schema = "doc_id long, lang string, source string, n_chars double, features binary, label int, odds double"
+    schema = "doc_id long, features binary, lang string, source string, n_chars double, label int, by int, odds double"
     # the best of each partition, then of each of a few, so that what the driver gathers doesn't grow with the partitions
-    kept = pool.where("label IS NULL AND doc_id IS NOT NULL").mapInPandas(choose, schema).repartition(GATHERED, "doc_id").mapInPandas(best, schema)
-    return pd.concat([kept.where(F.col("label") == y).orderBy(F.desc("odds"), "doc_id").limit(picks).toPandas() for y in (0, 1)])
+    kept = written(rows.where("label IS NULL").mapInPandas(choose, schema).repartition(GATHERED, "doc_id").mapInPandas(best, schema))
+    order = [F.desc("odds"), F.col("doc_id")]
+    parts = [kept.where((F.col("by") == by) & (F.col("label") == y)).orderBy(*order).limit(wanted[y]) for by in (0, 1) for y in (0, 1)]
+    found = reduce(DataFrame.unionByName, parts).toPandas()
+    return found.sort_values(["by", "label", "odds", "doc_id"], ascending=[True, True, False, True], kind="stable").drop_duplicates("doc_id")
+
+
+class Learner:
+    """What the driver holds: the labelled sample and the picks. Rows come in a fixed order."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
+        self.sides, self.y = (text, meta), y
+        held = np.arange(len(y)) % 4 == 0
+        if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+            held = np.ones(len(y), bool)
+        self.held, fit = held, ~held if not held.all() else held
+        self.own = [[(side[fit], y[fit], np.ones(fit.sum()))] for side in self.sides]
+        self.n, self.share = int(fit.sum()), float(y[fit].mean())
+        self.heard = [True, True]
+
+    def wanted(self, pick_share: float) -> tuple[int, int]:
+        """Picks of a view and round of each class: a share of the fitted rows, at least one."""
+        return tuple(max(1, round(pick_share * self.n * s)) for s in (1 - self.share, self.share))
+
+    def fit(self, view: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Weights and calibration of a view by rows, and its loss on the held-out part."""
+        x, y, weight = (np.concatenate(part) for part in zip(*rows, strict=True))
+        w = fit_logistic(x, y, weight=weight)
+        own, goal = self.sides[view][self.held], self.y[self.held]
+        scale = _calibrated(own, goal, w)
+        return w, scale, loss(np.clip(own @ w * scale[0] + scale[1], -12, 12), goal)
+
+    def views(self) -> Views:
+        fitted = [self.fit(v, self.own[v]) for v in (0, 1)]
+        self.losses = [x[2] for x in fitted]
+        out = Views([x[0] for x in fitted], [x[1] for x in fitted], np.zeros(3))
+        a, b = out.odds(*(side[self.held] for side in self.sides))
+        out.both = _weighed(a, b, self.y[self.held])
+        out.middle = [float(np.quantile(o, 1 - self.share)) for o in (a, b)]
+        return out
 
+    def hand_over(self, by: int, text: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> bool:
+        """Adds the picks of view `by` to the other's rows, unless that raises its loss."""
+        to = 1 - by
+        rows = (text, meta)[to], labels.astype(float), np.full(len(labels), PSEUDO_WEIGHT)
+        if self.heard[by] and len(labels) and self.fit(to, [*self.own[to], rows])[2] <= self.losses[to] + TOLERANCE:
+            self.own[to].append(rows)
+            return True
+        self.heard[by] = self.heard[by] and not len(labels)
+        return False
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, picks: int = PICKS, sure: float = SURE) -> Views:
-    """Views co-trained on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
-    pool = _pool(docs, labels)
-    known = bounded_sample(pool.where("label IS NOT NULL"), "doc_id", sample).toPandas()
-    y = known["label"].to_numpy().astype(float)
-    none = np.zeros(0)
+
+def train_on(pool: DataFrame, labels: DataFrame, features: str = "features", sample: int = SAMPLE, rounds: int = ROUNDS, pick_share: float = PICK_SHARE) -> Views:
+    """Views co-trained on a table of `featured` and labels (doc_id, quality)."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
+    rows = written(pool.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), *_typed(pool, features)).join(known, "doc_id", "left"))
+    chosen = bounded_sample(rows.where("label IS NOT NULL"), "doc_id", sample).toPandas()
+    y = chosen["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
-        return Views(none, none, none, none, none, float(y.mean()) if len(y) else 1.0)
-    text, meta = _arrays(known)
-    held = np.arange(len(y)) % 4 == 0  # the sample is in hashed order
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.ones(len(y), bool)
-    fit = ~held if not held.all() else held
-    own = [[text[fit]], [meta[fit]]]
-    goals = [[y[fit]], [y[fit]]]
-
-    def fitted() -> Views:
-        w = [fit_logistic(np.concatenate(own[v]), np.concatenate(goals[v])) for v in (0, 1)]
-        scale = []
-        for v, x in enumerate((text, meta)):
-            z = np.clip(x[held] @ w[v], -12, 12)
-            scale.append(fit_logistic(np.stack([z, np.ones_like(z)], 1), y[held], 1e-2))
-        views = Views(w[0], w[1], scale[0], scale[1], none)
-        a, b = views.odds(text[held], meta[held])
-        views.both = fit_logistic(np.stack([np.clip(a, -12, 12), np.clip(b, -12, 12), np.ones_like(a)], 1), y[held], 1e-1)
-        return views
-
-    views = fitted()
+        return Views([], [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
+    learner = Learner(*_arrays(chosen), y)
+    views, done, taken = learner.views(), [], np.zeros(0, np.int64)
     for _ in range(rounds):
-        chosen = [_picks(pool, views, by, sure, picks) for by in (0, 1)]
-        if not sum(map(len, chosen)):
+        found = _picks(rows, views, taken, learner.wanted(pick_share))
+        if not len(found):
             break
-        for by, frame in enumerate(chosen):
-            if len(frame):
-                other = 1 - by
-                own[other].append(_arrays(frame)[other])
-                goals[other].append(frame["label"].to_numpy().astype(float))
-        views = fitted()
+        parts = [found[found["by"] == by] for by in (0, 1)]
+        heard = [learner.hand_over(by, *_arrays(part), part["label"].to_numpy()) if len(part) else False for by, part in enumerate(parts)]
+        taken = np.append(taken, found["doc_id"].to_numpy(np.int64))
+        views = learner.views()
+        done.append({"picked": [part["doc_id"].tolist() for part in parts], "heard": heard, "losses": list(learner.losses)})
+    views.rounds = done
     return views
 
 
-def scored(docs: DataFrame, views: Views, score: str = "score") -> DataFrame:
-    """docs with the column `score`, each document's probability of good quality."""
+def train(docs: DataFrame, labels: DataFrame, **how) -> Views:
+    """Views co-trained on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
+    return train_on(featured(docs.select("doc_id", "text", *META), texts=False), labels, **how)
+
 
+def _scored(docs: DataFrame, views: Views, score: str, features: str | None = None) -> DataFrame:
     @F.pandas_udf("double")
-    def judge(texts: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        text = np.stack([text_features(t) for t in texts]) if len(texts) else np.zeros((0, TEXT_SIZE), np.float32)
-        return pd.Series(views.scores(text.astype(np.float16).astype(np.float32), meta_features(lang.tolist(), source.tolist(), n_chars.tolist())))
+    def judge(own: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
+        if features is None:
+            own = pd.Series([text_features(t).astype(np.float16).tobytes() for t in own], dtype=object)
+        return pd.Series(views.scores(*_arrays(pd.DataFrame({"features": own, "lang": lang, "source": source, "n_chars": n_chars}))))
+
+    return docs.withColumn(score, judge(F.col(features or "text"), *_typed(docs, features or "text")[1:]))
+
+
+def scored(docs: DataFrame, views: Views, score: str = "score") -> DataFrame:
+    """docs, which needn't be those that were learned from, with the column `score`: each document's probability of good quality."""
+    return _scored(docs, views, score)
+
+
+def _free(columns: list[str], name: str) -> str:
+    return next(n for i in range(len(columns) + 1) if (n := f"{name}{i}") not in columns)
+
 
-    return docs.withColumn(score, judge(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")))
+def judged(docs: DataFrame, labels: DataFrame, score: str = "score", carried: list[str] | None = None, **how) -> DataFrame:
+    """docs, or their carried columns, with `score` by views that are co-trained on them. Each text is read once."""
+    features = _free(docs.columns, "_features")
+    pool = featured(docs, features, texts=carried is None or "text" in carried)
+    return _scored(pool, train_on(pool, labels, features, **how), score, features).select(*[F.col(f"`{c}`") for c in (carried or docs.columns) if c != score], score)
 
 
 def kept(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of docs that score at least keep_from, with docs' columns."""
-    views = train(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels)
-    name = next(n for i in range(len(docs.columns) + 1) if (n := f"_score{i}") not in docs.columns)
-    return scored(docs, views, name).where(F.col(name) >= keep_from).drop(name)
+    name = _free(docs.columns, "_score")
+    return judged(docs, labels, name).where(F.col(name) >= keep_from).drop(name)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    views = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return scored(docs, views).select("doc_id", "score", (F.col("score") >= KEEP_FROM).alias("kept"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *META)
+    out = judged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), carried=["doc_id"])
+    return out.select("doc_id", "score", (F.col("score") >= KEEP_FROM).alias("kept"))
