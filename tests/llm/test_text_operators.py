@@ -455,7 +455,9 @@ def test_decoding_any_ids_equals_library(library, ids):
 
 
 def test_codec_long_runs_and_frames(spark, library):
-    texts = [*AWKWARD, "a" * 5000, "ab" * 3000, " " * 700]
+    rng = random.Random(2)
+    runs = ["".join(rng.choice(signs) for _ in range(4000)) for signs in ("abcdefghijklmnopqrstuvwxyz", "eeettaaoin", "ab ", "=-", "日本語a")]
+    texts = [*AWKWARD, "a" * 50_000, "ab" * 30_000, " " * 70_001, "=" * 9001 + "-" * 9001, *runs]
     out = piece_codec.decoded(piece_codec.encoded(frame(spark, texts), piece_codec.model_path()), piece_codec.model_path(), text="again").collect()
     for r in out:
         assert list(r.ids) == library.encode(texts[r.doc_id] or "") and r.again == library.decode(list(r.ids))
@@ -522,6 +524,12 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_of_long_words_equals_library():
+    own, rng = packing.encoder(packing.tokenizer_path()), random.Random(2)
+    texts = ["a" * 50_000, "nospace" * 3000, "=" * 9001, *["".join(rng.choice(signs) for _ in range(20_000)) for signs in ("abcdefghijklmnopqrstuvwxyz", "eeettaaoin", "xyz'ts")]]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_covers_every_id_once(spark):
     import zlib
 

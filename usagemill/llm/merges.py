@@ -1,14 +1,28 @@
-"""Byte-pair merges of many short symbol sequences at once, in vectorised rounds."""
+"""Byte-pair merges of many symbol sequences at once, in vectorised rounds.
 
-from __future__ import annotations
+Sequences are cut into chunks of CHUNK symbols. In each round every chunk merges the pair of its least rank wherever it occurs, from the
+left and without overlap, all chunks at once, and the arrays are compacted. Where a new pair would come before the one that made it, the
+chunk's round ends with that merge, so that the order is the same as with one merge at a time. There are fewer than CHUNK rounds. Then the cuts are mended: neighbours at a cut are right if merging
+their two texts alone gives them again, since no merge of the whole sequence can cross between them otherwise. Stretches about cuts where
+it doesn't are merged anew, ever longer ones, until all are right. The result is that of one merge at a time for a sequence of any length,
+also where a longer piece outranks its parts.
+"""
 
-import heapq
+from __future__ import annotations
 
 import numpy as np
 
+CHUNK = 64
 _NONE = np.iinfo(np.int64).max
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all spans, one after the other, and the number of each place's span."""
+    length = ends - starts
+    own = np.repeat(np.arange(len(starts)), length)
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + starts[own], own
+
+
 class Merger:
     """Merge rules as arrays: the key left * width + right of each pair, sorted, with its rank and the symbol that it becomes."""
 
@@ -27,7 +41,39 @@ class Merger:
 
     def merge(self, symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols after all merges, with the place of their first character."""
-        place, done = np.arange(len(symbol)), []
+        at = np.arange(len(symbol))
+        first = np.maximum.accumulate(np.where(np.append(True, segment[1:] != segment[:-1]), at, 0))
+        cut = (at - first) % CHUNK == 0
+        merged, places = self._rounds(symbol, np.cumsum(cut))
+        cuts, reach = np.flatnonzero(cut & (at != first)), 1
+        while len(cuts):
+            own = segment[places]
+            k = np.searchsorted(places, cuts)
+            low = np.maximum(k - reach, np.searchsorted(own, own[k]))
+            high = np.minimum(k + reach, np.searchsorted(own, own[k], "right"))
+            ends = np.append(places, len(symbol))
+            # stretches that overlap are one
+            apart = np.append(True, low[1:] >= np.maximum.accumulate(high)[:-1])
+            low, high = low[apart], np.maximum.reduceat(high, np.flatnonzero(apart))
+            old, number = _spans(low, high)
+            where, stretch = _spans(ends[low], ends[high])
+            new, starts = self._rounds(symbol[where], stretch)
+            number_new, starts = stretch[starts], where[starts]
+            same = np.bincount(number, minlength=len(low)) == np.bincount(number_new, minlength=len(low))
+            kept, again = same[number], same[number_new]
+            same[number[kept][places[old[kept]] != starts[again]]] = False
+            gone = old[~same[number]]
+            put = ~same[number_new]
+            edges = np.unique(np.concatenate((ends[low[~same]], ends[high[~same]])))
+            cuts = edges[(edges < len(symbol)) & (first[np.minimum(edges, len(symbol) - 1)] != edges)]
+            merged, places = np.append(np.delete(merged, gone), new[put]), np.append(np.delete(places, gone), starts[put])
+            order = np.argsort(places, kind="stable")
+            merged, places, reach = merged[order], places[order], reach * 2
+        return merged, places
+
+    def _rounds(self, symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What `merge` gives, in as many rounds as the longest segment has merges."""
+        symbol, place, done = symbol.copy(), np.arange(len(symbol)), []
         # the pair of a symbol is it and its follower within the segment
         rank, result = np.full(len(symbol), _NONE), np.full(len(symbol), -1)
         inside = np.flatnonzero(segment[:-1] == segment[1:])
@@ -42,8 +88,7 @@ class Merger:
                 live = ~ended
                 symbol, segment, place, rank, result, least = (x[live] for x in (symbol, segment, place, rank, result, least))
                 continue
-            best = np.flatnonzero(rank == least)
-            best = best[np.concatenate(([True], segment[best[1:]] != segment[best[:-1]]))]
+            best = self._together(np.flatnonzero(rank == least), symbol, segment, rank, result)
             symbol[best] = result[best]
             stays = np.ones(len(symbol), bool)
             stays[best + 1] = False
@@ -62,34 +107,28 @@ class Merger:
         order = np.argsort(places, kind="stable")
         return symbols[order], places[order]
 
-    def merge_long(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one segment, with a queue of pairs by rank and place."""
-        own, n = symbol.tolist(), len(symbol)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        table_ = {}
-        rank, result = self._look_up(symbol[:-1], symbol[1:])
-        queue = [(r, i, own[i], own[i + 1], m) for i, (r, m) in enumerate(zip(rank.tolist(), result.tolist(), strict=True)) if m >= 0]
-        heapq.heapify(queue)
-
-        def push(i: int) -> None:
-            if i >= 0 and after[i] < n:
-                a, b = own[i], own[after[i]]
-                if (a, b) not in table_:
-                    r, m = self._look_up(np.array([a]), np.array([b]))
-                    table_[a, b] = (int(r[0]), int(m[0]))
-                r, m = table_[a, b]
-                if m >= 0:
-                    heapq.heappush(queue, (r, i, a, b, m))
-
-        while queue:
-            _, i, a, b, m = heapq.heappop(queue)
-            j = after[i]
-            if not live[i] or j >= n or own[i] != a or own[j] != b:
-                continue
-            own[i], live[j], after[i] = m, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(before[i])
-            push(i)
-        places = np.flatnonzero(live)
-        return np.array(own)[places], places
+    def _together(self, best: np.ndarray, symbol: np.ndarray, segment: np.ndarray, rank: np.ndarray, result: np.ndarray) -> np.ndarray:
+        """Of the places of each segment's least rank, those that merge in this round."""
+        at = np.arange(len(best))
+        joins = np.append(False, best[1:] == best[:-1] + 1)
+        best = best[(at - np.maximum.accumulate(np.where(joins, 0, at))) % 2 == 0]
+        own = segment[best]
+        first = np.append(True, own[1:] != own[:-1])
+        if first.all():
+            return best
+        some = np.flatnonzero(~first | np.append(~first[1:], False))  # a segment with one merge has nothing to check
+        place, size = best[some], len(symbol)
+        made = result[place]
+        before = np.where(place > 0, symbol[place - 1], -1)
+        follows = np.append(False, (place[1:] == place[:-1] + 2) & (own[some][1:] == own[some][:-1]))
+        before[follows] = made[np.flatnonzero(follows) - 1]
+        before[(place == 0) | (segment[place - 1] != segment[place])] = -1
+        end = np.minimum(place + 2, size - 1)
+        after = np.where((place + 2 < size) & (segment[end] == segment[place]), symbol[end], -1)
+        early = np.minimum(self._look_up(before, made)[0], self._look_up(made, after)[0]) <= rank[place]
+        if not early.any():
+            return best
+        stop = np.zeros(len(best), int)
+        stop[some] = early
+        seen = np.cumsum(stop) - stop
+        return best[seen == np.maximum.accumulate(np.where(first, seen, 0))]

@@ -1,10 +1,10 @@
 """Encoding and decoding with a byte-pair vocabulary of the SentencePiece format, by vectorised merge rounds.
 
 Texts are cut into chunks where no piece of the vocabulary can reach across, and distinct chunks are encoded together: their characters
-lie in one flat numpy array of symbols with the number of their segment. In each round every segment merges the leftmost pair of its best
-rank, all segments at once, and the arrays are compacted; segments without a pair leave. Merging one pair a round and segment keeps the
-result exact for vocabularies in which a longer piece may outrank a shorter one. Segments beyond LONG symbols without a cut take a
-priority queue instead, which gives the same merges in time n log n. Characters outside the vocabulary become byte pieces.
+lie in one flat numpy array of symbols with the number of their segment. In each round every segment merges its pair of the best rank,
+from the left, all segments at once, and the arrays are compacted; segments without a pair leave. A longer piece may outrank a shorter
+one in such vocabularies: where it does, a segment's round ends early, which keeps the result exact. Long segments are merged in chunks
+whose cuts are then mended, so rounds stay few at any length (`merges`). Characters outside the vocabulary become byte pieces.
 
 Only models that change nothing but spaces before cutting (identity normalisation, dummy prefix) and have neither user-defined
 nor unused pieces are taken; others are refused when loaded.
@@ -28,8 +28,8 @@ from usagemill.llm.common import table
 from usagemill.llm.merges import Merger
 
 SPACE = "▁"
-#: Symbols of a segment up to which it is merged in rounds; chunks that a task remembers, and their greatest length.
-LONG, REMEMBERED, REMEMBERED_LENGTH = 256, 200_000, 40
+#: Chunks that a task remembers, and their greatest length.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 40
 
 
 def model_path() -> str:
@@ -93,21 +93,7 @@ class Pieces:
         pair = np.where((symbol[:-1] >= 0) & (symbol[1:] >= 0), symbol[:-1] * self.width + symbol[1:], -1)
         near = self.touching[np.minimum(np.searchsorted(self.touching, pair), len(self.touching) - 1)] == pair
         start[1:] |= ~near
-        segment = np.cumsum(start) - 1
-        length = np.bincount(segment)
-        is_long = (length > LONG)[segment]
-        parts = []
-        if (~is_long).any():
-            at = np.flatnonzero(~is_long)
-            merged, places = self.merger.merge(symbol[at].copy(), segment[at])
-            parts.append((merged, at[places]))
-        for s in np.flatnonzero(length > LONG).tolist():
-            at = np.flatnonzero(segment == s)
-            merged, places = self.merger.merge_long(symbol[at])
-            parts.append((merged, at[places]))
-        merged, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(places, kind="stable")
-        merged, places = merged[order], places[order]
+        merged, places = self.merger.merge(symbol, np.cumsum(start) - 1)
         odd = np.flatnonzero((merged < 0) | (merged >= self.size))
         if len(odd):  # characters without a piece of their own
             fallback = [self._bytes_of(int(code[p])) for p in places[odd].tolist()]
