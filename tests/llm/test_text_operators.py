@@ -553,11 +553,59 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack_documents(docs.where("false"), packing.tokenizer_path()).count() == 0
 
 
-def test_packing_puts_like_documents_together():
-    rng = np.random.default_rng(0)
-    topics = [rng.integers(t * 100, t * 100 + 100, 200) for t in range(4) for _ in range(10)]
-    order = list(packing._order([np.array(topics[i]) for i in rng.permutation(40)], np.ones(1000, np.float32), 200.0, 4096))
-    assert sorted(order) == list(range(40))
+def plain_ranking(documents, used, seed, idf, mean):
+    """Unused documents by BM25 with a seed's tokens as the query, best first."""
+    scores = {}
+    for i, own in enumerate(documents):
+        common = set(own.tolist()) & set(documents[seed].tolist())
+        if i not in used and common:
+            tf = {t: own.tolist().count(t) for t in common}
+            scores[i] = sum(idf[t] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(own) / mean)) for t, n in tf.items())
+    return sorted(scores, key=lambda i: (-scores[i], i)), scores
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 40))
+def test_retrieval_equals_brute_force_bm25(seed, n):
+    rng = np.random.default_rng(seed)
+    documents = [rng.integers(0, 60, rng.integers(1, 50)).astype("<u2") for _ in range(n)]
+    counts = np.bincount(np.concatenate([np.unique(d) for d in documents]), minlength=60)
+    idf, mean = np.log1p((n - counts + 0.5) / (counts + 0.5)).astype(np.float32), float(np.mean([len(d) for d in documents]))
+    shard, used = packing.Shard(documents, idf, mean), set()
+    for i in rng.permutation(n).tolist():
+        expected, scores = plain_ranking(documents, used | {i}, i, idf, mean)
+        shard.use(i)
+        used.add(i)
+        got = shard.neighbours(i).tolist()
+        assert set(got) == set(expected)
+        assert all(scores[a] >= scores[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_packing_order_equals_plain_greedy():
+    rng = np.random.default_rng(3)
+    topics = [rng.integers(t * 100, t * 100 + 100, int(rng.integers(60, 300))) for t in range(6) for _ in range(12)]
+    documents = [topics[i] for i in rng.permutation(len(topics))]
+    counts = np.bincount(np.concatenate([np.unique(d) for d in documents]), minlength=600)
+    idf, mean = np.log1p((len(documents) - counts + 0.5) / (counts + 0.5)).astype(np.float32), float(np.mean([len(d) for d in documents]))
+    expected, used, seed, room = [], set(), -1, 1000
+    while len(expected) < len(documents):
+        if seed < 0:
+            seed = min(set(range(len(documents))) - used)
+            expected.append(seed)
+            used.add(seed)
+            room -= len(documents[seed])
+        room = room if room > 0 else room % packing.WINDOW or packing.WINDOW
+        own, seed = seed, -1
+        for i in plain_ranking(documents, used, own, idf, mean)[0]:
+            expected.append(i)
+            used.add(i)
+            room -= len(documents[i])
+            if room <= 0:
+                seed = i
+                break
+    assert list(packing._order(documents, idf, mean, 1000)) == expected
+    topic = [int(documents[i][0]) // 100 for i in expected]
+    assert sum(a == b for a, b in zip(topic, topic[1:], strict=False)) >= len(topic) - 12  # a topic is left only when it is used up or a window ends
 
 
 def test_packing_does_not_depend_on_partitions(spark):

@@ -6,8 +6,8 @@
 3. Documents are placed by content: a document's slot is its most telling token that another document has too, with a hash of its second
    one. Slots in their order are cut into shards of about SHARD_TOKENS tokens, by the slots' numbers of tokens, which are bounded by the
    vocabulary; a slot with more is dealt over several shards. Shards don't depend on how the rows were partitioned.
-4. A shard has an inverted index of its documents. From a seed document, BM25 over the seed's most telling tokens ranks the documents
-   that aren't used yet, and they are appended greedily until the window is full. A document that a window's end cuts continues in the
+4. A shard has an inverted index of its documents. From a seed document, BM25 over all of the seed's tokens ranks the documents that
+   aren't used yet, and they are appended greedily until the window is full. Used ones leave the index when they are half of it. A document that a window's end cuts continues in the
    next window and is its seed.
 5. What TAILS shards leave at their ends is packed together. What is left then is cut into sequences whose lengths are powers of two,
    which need no padding.
@@ -38,8 +38,8 @@ WINDOW, CLOSING = 4096, 2
 SHARD_TOKENS = 2_000_000
 #: Slots a token, and shards whose ends are packed together.
 SUBSLOTS, TAILS = 8, 256
-#: BM25's constants, and how many of a seed's tokens are looked up.
-K1, B, SEED_TERMS = 1.2, 0.75, 16
+#: BM25's constants.
+K1, B = 1.2, 0.75
 #: Words that a task remembers, and their greatest length.
 REMEMBERED, REMEMBERED_LENGTH = 300_000, 60
 
@@ -166,20 +166,29 @@ class Shard:
     """An inverted index over some documents that ranks unused ones for a seed."""
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
-        self.idf, terms, docs, weights = idf, [], [], []
-        self.own: list[tuple[np.ndarray, np.ndarray]] = []
+        terms, docs, weights = [], [], []
         for i, ids in enumerate(documents):
             found, counts = np.unique(ids, return_counts=True)
             weight = counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / max(mean_length, 1))) * idf[found]
-            self.own.append((found, weight))
             terms.append(found)
             docs.append(np.full(len(found), i, np.int32))
             weights.append(weight.astype(np.float32))
+        self.terms, self.size = terms, len(idf)
+        self.unused, self.next, self.left = np.ones(len(documents), bool), 0, len(documents)
         term, doc, weight = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
         order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
-        self.ends = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.unused, self.next = np.ones(len(documents), bool), 0
+        self._index(term[order], doc[order], weight[order])
+
+    def _index(self, term: np.ndarray, docs: np.ndarray, weights: np.ndarray) -> None:
+        self.term, self.docs, self.weights = term, docs, weights
+        self.ends, self.indexed = np.searchsorted(term, np.arange(self.size + 1)), self.left
+
+    def use(self, document: int) -> None:
+        self.unused[document] = False
+        self.left -= 1
+        if 2 * self.left < self.indexed:
+            live = self.unused[self.docs]
+            self._index(self.term[live], self.docs[live], self.weights[live])
 
     def first_unused(self) -> int:
         while self.next < len(self.unused) and not self.unused[self.next]:
@@ -187,11 +196,8 @@ class Shard:
         return self.next if self.next < len(self.unused) else -1
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a telling token with the seed, best first."""
-        found, weight = self.own[seed]
-        if len(found) > SEED_TERMS:
-            found = found[np.argpartition(-weight, SEED_TERMS)[:SEED_TERMS]]
-        spans = [slice(self.ends[t], self.ends[t + 1]) for t in found.tolist()]
+        """Unused documents that share a token with the seed, best first; ties in the shard's order."""
+        spans = [slice(a, b) for a, b in zip(self.ends[self.terms[seed]].tolist(), self.ends[self.terms[seed].astype(np.int64) + 1].tolist(), strict=True)]
         docs = np.concatenate([self.docs[s] for s in spans])
         score = np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), minlength=len(self.unused))
         score[~self.unused] = 0
@@ -207,14 +213,14 @@ def _order(documents: list[np.ndarray], idf: np.ndarray, mean_length: float, roo
             seed = shard.first_unused()
             if seed < 0:
                 return
-            shard.unused[seed] = False
+            shard.use(seed)
             yield seed
             room -= len(documents[seed])
         if room <= 0:
             room = room % WINDOW or WINDOW
         last = -1
         for n in shard.neighbours(seed).tolist():
-            shard.unused[n] = False
+            shard.use(n)
             yield n
             room -= len(documents[n])
             if room <= 0:
