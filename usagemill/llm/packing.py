@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows are filled with documents that resemble their first one.
 
-1. Texts become token ids. A text is cut into words and these into the tokenizer's pre-tokens; distinct words are encoded together in
-   vectorised merge rounds and remembered; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
+1. Texts become token ids. A text is cut into the tokenizer's pre-tokens, and distinct ones are encoded together in vectorised merge rounds
+   and remembered; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
 2. Document frequencies of tokens and the mean length are counted over all documents. They are bounded by the vocabulary.
 3. Documents are placed by content: a document's slot is its most telling token that another document has too, with a hash of its second
    one. Slots in their order are cut into shards of about SHARD_TOKENS tokens, by the slots' numbers of tokens, which are bounded by the
@@ -40,8 +40,8 @@ SHARD_TOKENS = 2_000_000
 SUBSLOTS, TAILS = 8, 256
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Words that a task remembers, and their greatest length.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 60
+#: Pre-tokens that a task remembers, and their greatest length.
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 60
 
 #: Letters and numbers of the plain characters: ASCII, Latin-1 and Latin Extended A without the dotted capital I.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
@@ -82,17 +82,16 @@ class Encoder:
         self.inner = np.array([vocabulary[c] for c in signs], np.int64)
         self.last = np.array([vocabulary[c + suffix] for c in signs], np.int64)
 
-    def _new(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of words, each cut into pre-tokens."""
-        cut = [_PRE_TOKENS.findall(w) for w in words]
-        raw = [x.encode() for own in cut for x in own]
+    def _new(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of pre-tokens."""
+        raw = [x.encode() for x in parts]
         length = np.array([len(r) for r in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(length)
         symbol = self.inner[data]
         symbol[ends - 1] = self.last[data[ends - 1]]
         merged, places = self.merger.merge(symbol, np.repeat(np.arange(len(raw)), length))
-        cuts = np.searchsorted(places, ends[np.cumsum([len(own) for own in cut]) - 1]).tolist()
+        cuts = np.searchsorted(places, ends).tolist()
         out, size = merged.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
         return (out[a * size : b * size] for a, b in zip([0, *cuts[:-1]], cuts, strict=True))
 
@@ -100,8 +99,7 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # no pre-token reaches across a space, so words are looked up whole
-        cut: list[list[str] | None] = [None if not _PLAIN.fullmatch(t) or self.special.search(t) else t.lower().split() for t in texts]
+        cut: list[list[str] | None] = [None if not _PLAIN.fullmatch(t) or self.special.search(t) else _PRE_TOKENS.findall(t.lower()) for t in texts]
         whole = iter(self._bytes([t for t, c in zip(texts, cut, strict=True) if c is None]))
         if len(self.known) > REMEMBERED:
             self.known = {}
