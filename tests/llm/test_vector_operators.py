@@ -94,27 +94,59 @@ def test_documents_in_components(spark):
 
 
 def plain_top(rows, k, every):
-    x = {i: np.floor(np.array(v, dtype=float) * 64) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    x = [(i, np.floor(np.array(v, dtype=float) * 64)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     out = []
-    for q in x:
+    for q, own in x:
         if q % every == 0:
-            ranked = sorted(((-int(x[q] @ v), i) for i, v in x.items() if i != q))[:k]
+            ranked = sorted((-int(own @ v), i) for i, v in x if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "cell"), [(400, 16), (400, 2048), (7, 16), (1, 16)])
-def test_search_equals_brute_force(spark, n, cell):
+def clustered(n, size=12, spread=(0.01, 0.5)):
     rng = np.random.default_rng(n)
-    centres = rng.normal(size=(5, 12))
-    rows = [(i, (centres[i % 5] + rng.normal(size=12) * rng.choice([0.01, 0.5])).astype(np.float32).tolist()) for i in range(n)]
+    centres = rng.normal(size=(5, size))
+    return [(i, (centres[i % 5] + rng.normal(size=size) * rng.choice(spread)).astype(np.float32).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "cell", "group"), [(400, 16, 40), (400, 2048, 4096), (400, 16, 4096), (7, 16, 40), (1, 16, 40)])
+def test_search_equals_brute_force(spark, n, cell, group):
+    rows = clustered(n)
     rows += [(1000 + i, rows[0][1]) for i in range(60 if n > 10 else 0)]  # many equal vectors
-    odd = [(2000, None), (2020, [float("nan")] * 12), (2040, [1.0, None] + [0.0] * 10), (2060, [float("inf")] * 12)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = topk.top_k(df.unionByName(df.limit(5)), pivots=6, cell=cell).collect()
+    rows += rows[:45] + [(20, rows[-1][1])]  # repeated rows, and an id with two vectors
+    odd = [(2000, None), (2020, [float("nan")] * 12), (2040, [1.0, None] + [0.0] * 10), (2060, [float("inf")] * 12), (None, rows[0][1])]
+    df = spark.createDataFrame([(*r, "x") for r in rows + odd], "vec_id long, embedding array<float>, rid string").repartition(3)
+    got = topk.top_k(df, pivots=6, cell=cell, group=group).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_top(rows, 20, 20)
 
 
+def test_search_equals_its_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = clustered(300) + [(0, [0.5] * 12), (1, [0.5] * 12), (1, [0.5] * 12)] + clustered(300)[:50]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = topk.op10_topk(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(con.sql(topk.ORACLE_SQL).fetchall())
+
+
+def test_bounds_hold_and_exclude_far_cells(spark):
+    """No vector exceeds its cell's bound; on clustered vectors most cells can't hold any of a query's best."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 24)) * 3
+    rows = [(i, (centres[i % 16] + rng.normal(size=24) * 0.05).astype(np.float32).tolist()) for i in range(3200)]
+    index, table_, size = topk.build(topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), 16, 32, 64)
+    placed = table_.toPandas()
+    x = topk._matrix(placed["v"], size)
+    q = x[placed["vec_id"].to_numpy() % 20 == 0]
+    score, bound = q @ x.T, index.bounds(q, index.cells)
+    at = np.searchsorted(index.cells["cell"].to_numpy(), placed["cell"])
+    assert (index.cells["cell"].is_monotonic_increasing) and (score <= bound[:, at]).all()
+    kth = np.partition(score, -21, axis=1)[:, -21]
+    assert (bound < kth[:, None]).mean() > 0.9
+
+
 def test_search_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty).count() == 0

@@ -2,17 +2,22 @@
 
 1. Pivots are the means of clusters of a bounded sample. Every vector is keyed by its nearest pivot and its distance from it, in rings.
 2. Rings, in order of distance, are joined to annuli of about a cell's rows; a ring with more rows than that is split by a hash of the
-   id. There are at most MAX_CELLS cells, so the table of cells (pivot, nearest and farthest distance, largest norm) is of bounded size.
-3. A query first searches the cells with the best bounds until they hold enough vectors, which gives it a score to beat.
-4. It then goes on to those cells only whose bound reaches that score. The triangle inequality gives, for a query at distance d from a
-   pivot and an annulus from lo to hi, that no vector in it is nearer than max(d - hi, lo - d, 0), so its inner product is at
-   most (|q|^2 + |x|^2 - nearest^2) / 2, and also at most q.c + |q| hi. Bounds are rounded up, so the result is exact.
-
-Queries and cells meet in co-grouped tasks, as blocks for one matrix product; no rows are paired by Spark. Cells that no query goes to aren't moved.
-
-Defined results: a vector that is null, or holds null or non-finite components, and a row without an id take no part. Rows that share
-an id count once, with the least vector. Vectors of unequal lengths are padded with zeros. Extra columns are ignored. An empty table, or
-one without queries, gives an empty result. With fewer than k candidates, all are returned. Components times 64 have to lie within 2^53.
+   row. There are at most MAX_CELLS cells, so the table of cells (pivot, nearest and farthest distance, largest norm) is of bounded size.
+   Neighbouring cells, up to GROUP rows, are searched by one task.
+3. The triangle inequality gives, for a query at distance d from a pivot and an annulus from lo to hi, that no vector in it is nearer than
+   max(d - hi, lo - d, 0), so its inner product is at most (|q|^2 + |x|^2 - nearest^2) / 2, and also at most q.c + |q| hi. Bounds are
+   rounded up, so the result is exact.
+4. A query first searches the group of the cell with its best bound, which gives it a score to beat. It then goes to those other groups
+   only that have a cell whose bound reaches that score. Within a group, annuli are expanded in the order of their bounds, and a query
+   stops at those whose bound is below its score to beat, which rises on the way.
+
+Queries and groups meet in co-grouped tasks, as blocks for matrix products; no rows are paired by Spark. Groups that no query goes to
+aren't moved. A query is sent to a group once, with its vector; what it may leave out there is worked out in the task.
+
+Defined results: a vector that is null, or holds null or non-finite components, and a row without an id take no part. Every other row is a
+candidate of its own, also if rows share an id or are equal, except for queries with its id; rows that share an id divisible by `every` are
+queries of their own, each with its own ranks. Vectors of unequal lengths are padded with zeros. Extra columns are ignored. An empty table,
+or one without queries, gives an empty result. With fewer than k candidates, all are returned. Components times 64 have to lie within 2^53.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from usagemill.llm.common import bounded_sample, table, written
 K, EVERY = 20, 20
 #: Bounds: vectors in the sample that places the pivots, pivots, rings of a pivot, rows of a cell at first, and cells.
 SAMPLE, PIVOTS, RINGS, CELL, MAX_CELLS = 8192, 64, 128, 2048, 1 << 16
-#: Queries that one task searches a cell for.
-BLOCK = 8192
+#: Most rows of a group (a cell has more if there are too many rows for MAX_CELLS), and the groups that a smaller table is dealt to.
+GROUP, GROUPS = 1 << 16, 64
+#: Queries that one task searches a group for, those that it takes at once, and numbers in one table of bounds.
+BLOCK, STEP, BOUNDS = 8192, 256, 1 << 21
 
 
 def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(64 * x) of each component, as the bytes of 64-bit numbers; one row for each id, as a written table."""
+    """(rid, vec_id, v): a number of the row, and floor(64 * x) of each component as the bytes of 64-bit numbers; a written table."""
     x = F.col(embedding)
     good = F.col(vec_id).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     scaled = F.transform(x, lambda c: F.floor(c.cast("double") * 64).cast("long"))
@@ -43,7 +50,7 @@ def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "
     def packed(rows: pd.Series) -> pd.Series:
         return pd.Series([np.asarray(r, "<i8").tobytes() for r in rows], dtype=object)
 
-    return written(vectors.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), packed(scaled).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")))
+    return written(vectors.where(good).select(F.monotonically_increasing_id().alias("rid"), F.col(vec_id).cast("long").alias("vec_id"), packed(scaled).alias("v")))
 
 
 def _matrix(rows: pd.Series, size: int) -> np.ndarray:
@@ -65,7 +72,7 @@ def _pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
 
 
 class Index:
-    """Pivots, the split of rings into cells, and what is known of each cell. All of bounded size."""
+    """Pivots, the split of rings into cells, and what is known of each cell and its group. All of bounded size."""
 
     def __init__(self, centres: np.ndarray, width: float, first: np.ndarray, parts: np.ndarray) -> None:
         self.centres, self.width, self.first, self.parts = centres, width, first, parts
@@ -78,10 +85,9 @@ class Index:
         distance = far[np.arange(len(x)), pivot]
         return pivot, distance, np.minimum(distance / self.width, RINGS - 1).astype(int)
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
+    def bounds(self, q: np.ndarray, cells: pd.DataFrame) -> np.ndarray:
         """(queries, cells): no vector of the cell has a larger inner product with the query."""
-        c = self.cells
-        centre, lo, hi, norm = self.centres[c["pivot"]], c["lo"].to_numpy(), c["hi"].to_numpy(), c["norm"].to_numpy()
+        centre, lo, hi, norm = self.centres[cells["pivot"]], cells["lo"].to_numpy(), cells["hi"].to_numpy(), cells["norm"].to_numpy()
         size = np.sqrt((q**2).sum(1))[:, None]
         dot = q @ centre.T
         d = np.sqrt(np.maximum(size**2 + (centre**2).sum(1) - 2 * dot, 0))
@@ -89,12 +95,19 @@ class Index:
         best = np.minimum((size**2 + norm**2 - nearest**2) / 2, dot + size * hi)
         return best + 1e-6 * (1 + np.abs(best) + size**2)
 
+    def group_bounds(self, q: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Stretches of queries with (queries, groups): the best bound of each group's cells."""
+        step = max(1, BOUNDS // max(len(self.cells), 1))
+        first = np.flatnonzero(np.diff(self.cells["group"].to_numpy(), prepend=-1))
+        for at in range(0, len(q), step):
+            yield slice(at, at + step), np.maximum.reduceat(self.bounds(q[at : at + step], self.cells), first, axis=1)
+
 
-def build(vectors: DataFrame, pivots: int = PIVOTS, cell: int = CELL) -> tuple[Index, DataFrame, int]:
-    """The index of a written table (vec_id, v), the table with each vector's cell, and the vectors' length."""
+def build(vectors: DataFrame, pivots: int = PIVOTS, cell: int = CELL, group: int = GROUP) -> tuple[Index, DataFrame, int]:
+    """The index of a written table (rid, vec_id, v), the table with each vector's group and cell, and the vectors' length."""
     shape = vectors.agg(F.max(F.length("v")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     size, n = (shape["bytes"] or 0) // 8, shape["n"]
-    sample = _matrix(bounded_sample(vectors, "vec_id", SAMPLE).toPandas()["v"], size)
+    sample = _matrix(bounded_sample(vectors, "rid", SAMPLE).toPandas()["v"], size)
     centres = _pivots(sample, pivots) if n else np.zeros((1, size))
     index = Index(centres, 1.0, np.zeros(0, int), np.zeros(0, int))
     index.width = max(float(index.ring_of(sample)[1].max(initial=0)) * 1.25 / RINGS, 1e-9)
@@ -129,85 +142,104 @@ def build(vectors: DataFrame, pivots: int = PIVOTS, cell: int = CELL) -> tuple[I
                 x = _matrix(frame["v"], size)
                 pivot, distance, ring = index.ring_of(x)
                 slot = pivot * RINGS + ring
-                spread = (frame["vec_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-                yield pd.DataFrame({"vec_id": frame["vec_id"], "v": frame["v"], "cell": index.first[slot] + spread % index.parts[slot], "pivot": pivot, "r": distance, "norm": np.sqrt((x**2).sum(1))})
-
-    table_ = written(vectors.mapInPandas(placed, "vec_id long, v binary, cell long, pivot int, r double, norm double"))
-    stats = table_.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
-    index.cells = stats.orderBy("cell").toPandas()
+                spread = (frame["rid"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+                cell_of = index.first[slot] + spread % index.parts[slot]
+                yield frame.assign(cell=cell_of, group=index.group[cell_of], pivot=pivot, r=distance, norm=np.sqrt((x**2).sum(1)))
+
+    # cells' rows are known from the rings' counts; neighbours make a group
+    cell_rows = np.zeros(at + 1)
+    for slot in np.flatnonzero(count).tolist():
+        cell_rows[index.first[slot] : index.first[slot] + index.parts[slot]] += count[slot] / index.parts[slot]
+    most = min(group, max(rows, n // GROUPS))
+    index.group = ((np.cumsum(cell_rows) - cell_rows) // max(most, 1)).astype(int)
+    schema = "rid long, vec_id long, v binary, cell long, group long, pivot int, r double, norm double"
+    table_ = written(vectors.mapInPandas(placed, schema))
+    stats = table_.groupBy("group", "cell").agg(F.first("pivot").alias("pivot"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
+    index.cells = stats.orderBy("group", "cell").toPandas()
     return index, table_, size
 
 
-def _search(queries: DataFrame, cells: DataFrame, size: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's best k of each cell it is sent to, but none under its own least score."""
+def _in_group(index: Index, cells: pd.DataFrame, left: pd.DataFrame, right: pd.DataFrame, size: int, k: int) -> Iterator[pd.DataFrame]:
+    """(query, query_id, vec_id, score): each query's best k in a group, but none under its own least score."""
+    right = right.sort_values(["cell", "vec_id", "rid"], kind="stable")
+    ids, x, of = right["vec_id"].to_numpy(), _matrix(right["v"], size), right["cell"].to_numpy()
+    cells = cells[cells["cell"].isin(of)]
+    starts, ends = np.searchsorted(of, cells["cell"]), np.searchsorted(of, cells["cell"], "right")
+    for at in range(0, len(left), STEP):
+        own = left.iloc[at : at + STEP]
+        q, query, query_id, least = _matrix(own["v"], size), own["rid"].to_numpy(), own["vec_id"].to_numpy(), own["least"].to_numpy(float)
+        bound = index.bounds(q, cells)
+        top, found = np.full((len(q), k), -np.inf), []
+        for c in np.argsort(-bound.max(0), kind="stable").tolist():  # annuli by their best bound
+            asks = np.flatnonzero(bound[:, c] >= least)
+            if not len(asks):
+                continue
+            score, name = q[asks] @ x[starts[c] : ends[c]].T, ids[starts[c] : ends[c]]
+            score[query_id[asks][:, None] == name[None, :]] = -np.inf
+            both = np.concatenate((top[asks], score), axis=1)
+            top[asks] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            least[asks] = np.maximum(least[asks], top[asks].min(1))
+            i, j = np.nonzero((score >= least[asks][:, None]) & (score > -np.inf))
+            part = pd.DataFrame({"at": asks[i], "vec_id": name[j], "score": score[i, j]}).sort_values(["at", "score"], ascending=[True, False], kind="stable")
+            found.append(part.groupby("at").head(k))  # of many equal scores, the k smallest ids are enough; rows are sorted by id
+        if found:
+            frame = pd.concat(found)
+            frame = frame[frame["score"].to_numpy() >= least[frame["at"]]].sort_values(["at", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("at").head(k)
+            yield pd.DataFrame({"query": query[frame["at"]], "query_id": query_id[frame["at"]], "vec_id": frame["vec_id"].to_numpy(), "score": frame["score"].to_numpy(np.int64)})
+
+
+FOUND = "query long, query_id long, vec_id long, score long"
+
+
+def _search(queries: DataFrame, rows: DataFrame, index: Index, size: int, k: int) -> DataFrame:
+    """FOUND of the queries (group, rid, vec_id, v, least) in the groups that they are sent to."""
+    by_group = dict(iter(index.cells.groupby("group")))
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        del key
-        ids, x = right["vec_id"].to_numpy(), _matrix(right["v"], size)
-        out = []
-        for at in range(0, len(left) if len(right) else 0, 256):
-            own = left.iloc[at : at + 256]
-            score = _matrix(own["v"], size) @ x.T
-            score[own["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            least = own["least"].to_numpy(float)
-            if x.shape[0] > k:
-                kth = np.partition(score, x.shape[0] - k, axis=1)[:, x.shape[0] - k]
-                least = np.maximum(least, kth)
-            i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            frame = pd.DataFrame({"query_id": own["vec_id"].to_numpy()[i], "vec_id": ids[j], "score": score[i, j].astype(np.int64)})
-            # of many equal scores, the k smallest ids are enough
-            frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-            out.append(frame.groupby("query_id").head(k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    # a cell that many queries go to is searched in several tasks; there is a row for each of at most MAX_CELLS cells
+        found = list(_in_group(index, by_group[key[0]], left, right, size, k)) if len(left) and len(right) else []
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}).astype("int64")
+
+    # a group that many queries go to is searched in several tasks; there is a row for each of at most MAX_CELLS groups
     queries = written(queries)
-    parts = F.broadcast(written(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))))
-    left = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    right = cells.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return left.groupBy("cell", "part").cogroup(right.select("cell", "part", "vec_id", "v").groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+    parts = F.broadcast(written(queries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))))
+    left = queries.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    right = rows.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.groupBy("group", "part").cogroup(right.select("group", "part", "cell", "rid", "vec_id", "v").groupBy("group", "part")).applyInPandas(search, FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS, cell: int = CELL, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of vectors (vec_id, embedding) whose id is divisible by `every`."""
-    index, cells, size = build(whole_vectors(vectors), pivots, cell)
-    sizes = index.cells["n"].to_numpy(int) if len(index.cells) else np.zeros(0, int)
-    names = index.cells["cell"].to_numpy(int) if len(index.cells) else np.zeros(0, int)
-    asked = cells.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query with the cells of the best bounds that hold k others."""
+    index, rows, size = build(whole_vectors(vectors), pivots, cell, group)
+    groups = index.cells["group"].unique() if len(index.cells) else np.zeros(0, int)
+    asked = rows.where(F.col("vec_id") % every == 0).select("rid", "vec_id", "v")
+
+    def sent(frame: pd.DataFrame, further: bool) -> Iterator[pd.DataFrame]:
+        """Each query under the group of its best bound, or under the further groups whose bounds reach its least score."""
+        for part, best in index.group_bounds(_matrix(frame["v"], size)):
+            own, home = frame.iloc[part], best.argmax(1)
+            at_home = np.arange(len(groups)) == home[:, None]
+            i, j = np.nonzero(~at_home & (best >= own["least"].to_numpy(float)[:, None]) if further else at_home)
+            yield own.iloc[i].assign(group=groups[j])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            if len(frame):
-                best = index.bounds(_matrix(frame["v"], size))
-                order = np.argsort(-best, axis=1, kind="stable")
-                enough = np.cumsum(sizes[order], axis=1) - sizes[order] < k + 1
-                i, j = np.nonzero(enough)
-                yield pd.DataFrame({"cell": names[order[i, j]], "vec_id": frame["vec_id"].to_numpy()[i], "v": frame["v"].to_numpy()[i], "least": -np.inf})
-
-    def then(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query with the further cells whose bounds reach the score to beat."""
+            yield from sent(frame.assign(least=-np.inf), False)
+
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for at in range(0, len(frame), 512):
-                own = frame.iloc[at : at + 512]
-                best = index.bounds(_matrix(own["v"], size))
-                order = np.argsort(-best, axis=1, kind="stable")
-                done = np.zeros(best.shape, bool)
-                np.put_along_axis(done, order, np.cumsum(sizes[order], axis=1) - sizes[order] < k + 1, axis=1)
-                i, j = np.nonzero(~done & (best >= own["least"].to_numpy(float)[:, None]))
-                yield pd.DataFrame({"cell": names[j], "vec_id": own["vec_id"].to_numpy()[i], "v": own["v"].to_numpy()[i], "least": own["least"].to_numpy(float)[i]})
-
-    sent = "cell long, vec_id long, v binary, least double"
-    near = written(_ranked(_search(asked.mapInPandas(first, sent), cells, size, k), k))
-    least = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    beaten = asked.join(least, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    far = _search(beaten.mapInPandas(then, sent), cells, size, k)
-    return _ranked(near.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
+            yield from sent(frame, True)
+
+    schema = "rid long, vec_id long, v binary, least double, group long"
+    first = written(_ranked(_search(asked.mapInPandas(near, schema), rows, index, size, k), k))
+    least = first.where(F.col("rank") == k).select(F.col("query").alias("rid"), F.col("score").cast("double").alias("least"))
+    beaten = asked.join(least, "rid", "left").select("rid", "vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    more = _search(beaten.mapInPandas(far, schema), rows, index, size, k)
+    return _ranked(first.select("query", "query_id", "vec_id", "score").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,14 +248,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
-  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
