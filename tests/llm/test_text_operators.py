@@ -490,7 +490,7 @@ def test_languages(spark):
 def test_url_parts_and_rules(spark):
     rows = ["HTTP://Www.A.net/x?q#f", "https://example.net/en/1", "https://notexample.net/en", "http://x.example.com/de/", "http://o.org/fr/a/b#z", "http://o.org?x", "no scheme", None, "", "x://", "http://sub.net", "http://free-casino.example.org/es/1"]
     pages = spark.createDataFrame([(i, u, "<title>free casino sub</title>" if u else None, "?") for i, u in enumerate(rows)], "page_id long, url string, html string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(pages.drop("host")).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(pages).collect()}
     assert got[0] == ("www.a.net", "/x", "net/", "block")
     assert got[1] == ("example.net", "/en/1", "example.net/en/", "allow")
     assert got[2][:3] == ("notexample.net", "/en", "net/")
@@ -504,7 +504,7 @@ def test_url_parts_and_rules(spark):
 @given(st.text(alphabet="ab", min_size=1, max_size=9), st.dictionaries(st.text(alphabet="ab", min_size=1, max_size=4), st.integers(1, 50), max_size=8))
 def test_viterbi_finds_the_cheapest_split(name, words):
     total = sum(words.values())
-    cost = lambda w: np.log(total + 1.0) - np.log(words[w]) if w in words else np.log(total + 1.0) + 2.5 * len(w)
+    cost = lambda w: np.log(total + 1.0) - np.log(words[w]) if w in words else np.log(total + 1.0) + url_filter.UNKNOWN_LETTER * len(w)
 
     def splits(s):
         return [[s[:k], *rest] for k in range(1, len(s) + 1) for rest in splits(s[k:])] if s else [[]]
@@ -514,6 +514,77 @@ def test_viterbi_finds_the_cheapest_split(name, words):
     assert sum(map(cost, url_filter.split_name(name, found, total))) == pytest.approx(best)
 
 
+def plain_judgement(pages, rules, rounds):
+    """(verdict, log-odds) by page, with dictionaries and loops; host names are split by trying all splits."""
+    import zlib
+
+    titles = {i: re.findall(r"[^\W\d_]+", (re.search(r"(?is)<title[^>]*>(.*?)</title>", h or "") or ["", ""])[1].lower()) for i, _, h in pages}
+    counts = {}
+    for own in titles.values():
+        for w in own:
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    cost = lambda w: np.log(total + 1.0) - np.log(counts[w]) if w in counts else np.log(total + 1.0) + url_filter.UNKNOWN_LETTER * len(w)
+
+    def splits(s):
+        return [[s[:k], *rest] for k in range(1, len(s) + 1) for rest in splits(s[k:])] if s else [[]]
+
+    named = {w for host, path, _ in rules for w in re.findall(r"[^\W\d_]+", host + path)}
+    seen = {}
+    for i, url, _ in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [(len(h + p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        words = [w for name in re.findall(r"[^\W\d_]+", host) for w in min(splits(name), key=lambda x: sum(map(cost, x)))]
+        words += re.findall(r"[^\W\d_]+|0", re.sub("[0-9]+", "0", path.lower()))
+        slot = lambda own: [zlib.crc32(w.encode()) % url_filter.SLOTS for w in own if w not in named]
+        seen[i] = (max(fits)[1] if fits else None, slot(words), slot(titles[i]))
+
+    def odds(rows, part):
+        n = {}
+        for label, own in rows:
+            for s in own[part]:
+                n.setdefault(s, [0, 0])["block allow".split().index(label)] += 1
+        sums = [sum(c[k] for c in n.values()) + url_filter.SMOOTHING * max(len(n), 1) for k in (0, 1)]
+        return {s: np.log((c[0] + url_filter.SMOOTHING) / sums[0]) - np.log((c[1] + url_filter.SMOOTHING) / sums[1]) for s, c in n.items()}
+
+    tables = None
+    for n in range(rounds + 1):
+        rows = []
+        for verdict, *own in seen.values():
+            label = verdict
+            if label is None and n:
+                title = sum(tables[1].get(s, 0) for s in own[1]) * min(1, url_filter.TITLE_WORDS / max(len(own[1]), 1))
+                both = sum(tables[0].get(s, 0) for s in own[0]) + title
+                label = "block" if both >= url_filter.SURE else "allow" if both <= -url_filter.SURE else None
+            if label:
+                rows.append((label, own))
+        tables = [odds(rows, part) for part in (0, 1)]
+    out = {i: (v, sum(tables[0].get(s, 0) for s in words)) for i, (v, words, _) in seen.items()}
+    return {i: (v or ("block" if o >= url_filter.BLOCK_FROM else "allow"), o) for i, (v, o) in out.items()}
+
+
+def test_verdicts_equal_plain_naive_bayes(spark):
+    rng = random.Random(8)
+    good, bad = ["news", "tea", "book"], ["bet", "win", "spin"]
+    pages = []
+    for i in range(160):
+        kind = good if rng.random() < 0.5 else bad
+        host = rng.choice(kind) + rng.choice(kind) + rng.choice([".net", ".example.net", ".org", ".com", ".info"])
+        path = rng.choice(["/en/", "/fr/", "/x/"]) + rng.choice(kind) + rng.choice(["", "/12", "-" + rng.choice(kind)])
+        pages.append((i, f"http://{host}{path}?q=1", f"<title>{' '.join(rng.choice(kind) for _ in range(6))}</title>" if rng.random() < 0.9 else None))
+    pages += [(900, None, None), (901, "no scheme", "<title></title>"), (902, "http://" + "q" * 9 + ".com/" + "z" * 30, None)]
+    for rounds in (0, 2):
+        expected = plain_judgement(pages, url_filter.RULES, rounds)
+        got = url_filter.judged(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), rounds=rounds).collect()
+        assert len(got) == len(pages) and {r.verdict for r in got if r.rule is None} == {"block", "allow"}
+        for r in got:
+            verdict, odds = expected[r.page_id]
+            assert abs(r.log_odds - odds) < 1e-3 and (r.verdict == verdict or abs(odds - url_filter.BLOCK_FROM) < 1e-3)
+
+
 # ---- packing
 
 

@@ -2,10 +2,12 @@
 
 1. A url is cut into host and path, and the longest rule that fits gives its verdict.
 2. Host names are often words run together. Words are counted over the titles of all pages; each distinct host name's substrings are
-   joined with the counts, and a unigram Viterbi pass picks the split of the greatest probability.
-3. Multinomial naive Bayes learns from the urls that a rule decides and from hosts whose words are on a short list of words of ill
-   repute. Words that rules name are left out, as they would only repeat the rule. Words are hashed to SLOTS, so the counts
-   that are gathered and sent out have a fixed size. Counts cover all urls; each distinct host is scored once.
+   joined with the counts, and a unigram Viterbi pass picks the split of the greatest probability. Words and unknown stretches may be of
+   any length.
+3. Multinomial naive Bayes learns from the urls that a rule decides, and from nothing else at first. Words that rules name are left out, as
+   they would only repeat the rule. Then it trains itself for ROUNDS rounds: urls without a rule whose words and title together have
+   log-odds of SURE or more are learned from too. A title counts as at most TITLE_WORDS words. Words are hashed to SLOTS, so the counts that
+   are gathered and sent out have a fixed size; each round reads all urls' slots once.
 4. Urls without a rule are blocked if the log-odds of their host's and path's words reach BLOCK_FROM. The classes' shares among
    learned urls say what the rules cover, not what the web is like, so both classes count as equally frequent beforehand.
 
@@ -17,22 +19,21 @@ are allowed. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm.common import table, written
+from usagemill.llm.common import small_join, table, written
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Words whose hosts count as blocked when learning.
-ILL_REPUTE = ["adult", "bet", "bets", "betting", "casino", "cheap", "loan", "pharmacy", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "win", "xxx"]
 SLOTS = 1 << 16
-#: Longest word that a name is split into, and the words that are added to the count of every class and slot.
-LONGEST, SMOOTHING = 20, 0.5
+#: What is added to the count of every class and slot, and the cost of an unknown letter of a name.
+SMOOTHING, UNKNOWN_LETTER = 0.5, 2.5
+#: Rounds of self-training, log-odds from which a url is learned from, and how many words a title counts for.
+ROUNDS, SURE, TITLE_WORDS = 2, 4.0, 4
 #: Log-odds from which a url without a rule is blocked.
 BLOCK_FROM = 2.0
 
@@ -55,39 +56,47 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
+def words_of_title(html: Column) -> Column:
+    """Lower-case letter words of a page's title; null without one."""
+    title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))
+
+
 def title_words(pages: DataFrame) -> DataFrame:
-    """(word, n): lower-case letter words of all titles."""
-    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return pages.select(F.explode_outer(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n): words of all titles."""
+    return pages.select(F.explode_outer(words_of_title(F.col("html"))).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_name(name: str, found: list[tuple[int, int, int]], total: int) -> list[str]:
     """The most probable words of a name; found has (start, length, count) of the substrings that are words."""
-    size = len(name)
-    cost = np.full((size, LONGEST + 1), np.inf)
     known = np.log(total + 1.0)
-    for k in range(1, LONGEST + 1):
-        cost[:, k] = known + 2.5 * k  # an unknown word is the less likely the longer it is
+    ending: dict[int, list[tuple[int, float]]] = {}
     for start, length, n in found:
-        cost[start, length] = min(cost[start, length], known - np.log(n))
-    best, back = np.zeros(size + 1), [0] * (size + 1)
-    for end in range(1, size + 1):
-        best[end] = np.inf
-        for k in range(1, min(LONGEST, end) + 1):
-            if (c := best[end - k] + cost[end - k, k]) < best[end]:
-                best[end], back[end] = c, k
-    out, end = [], size
+        ending.setdefault(start + length, []).append((start, known - np.log(n)))
+    best, back = [0.0], [0]
+    free, free_from = 0.0, 0  # the cheapest way to begin an unknown stretch, less what its letters cost
+    for end in range(1, len(name) + 1):
+        cost, start = free + known + UNKNOWN_LETTER * end, free_from
+        for at, own in ending.get(end, ()):
+            if best[at] + own < cost:
+                cost, start = best[at] + own, at
+        best.append(cost)
+        back.append(start)
+        if cost - UNKNOWN_LETTER * end < free:
+            free, free_from = cost - UNKNOWN_LETTER * end, end
+    out, end = [], len(name)
     while end:
-        out.append(name[end - back[end] : end])
-        end -= back[end]
+        out.append(name[back[end] : end])
+        end = back[end]
     return out[::-1]
 
 
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, words) of distinct names; words has (word, n)."""
-    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+    """(name, words) of distinct names; words, a written table, has (word, n)."""
+    sums = words.agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("longest")).first()
+    total, longest = sums["n"] or 0, sums["longest"] or 0  # no substring beyond the longest word can be one
     starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    lengths = starts.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start") + 1))))
+    lengths = starts.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.length("name") - F.col("start") + 1))))
     pieces = lengths.withColumn("word", F.substr("name", "start", "length"))
     hits = pieces.join(words, "word").groupBy("name").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - 1).alias("s"), F.col("length").alias("l"), F.col("n").alias("n")))).alias("found"))
 
@@ -116,44 +125,65 @@ def without(words: Column | str, named: set[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(sorted(named))) if named else F.filter(words, lambda w: w.isNotNull())
 
 
-def _slot(word: str) -> int:
-    return zlib.crc32(word.encode()) % SLOTS
+def slots_of(words: Column) -> Column:
+    """The slot of each word; repeats stay."""
+    return F.coalesce(F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(SLOTS)).cast("int")), F.array().cast("array<int>"))
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """(slots, 2) counts of blocked and allowed words to each slot's log-odds; 0 for a slot without words."""
+    used = counts.sum(1) > 0
+    share = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * max(int(used.sum()), 1)))
+    return np.where(used, share[:, 0] - share[:, 1], 0).astype(np.float32)
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ill_repute: list[str] = ILL_REPUTE, block_from: float = BLOCK_FROM) -> DataFrame:
+def _sum_of(odds: np.ndarray, most: int | None = None):
+    """Function of arrays of slots: the sum of their log-odds, scaled down to that of `most` words."""
+
+    @F.pandas_udf("double")
+    def score(slots: pd.Series) -> pd.Series:
+        return pd.Series([float(odds[own].sum(dtype=np.float64)) * (min(1, most / max(len(own), 1)) if most else 1) for own in slots], dtype=float)
+
+    return score
+
+
+def learned(seen: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of the slots of host and path words, and of title words, from a written table (verdict, words, title)."""
+    label = F.col("verdict")
+    odds = np.zeros((2, SLOTS), np.float32)
+    for n in range(rounds + 1):
+        rows = seen.select(label.alias("label"), "words", "title")
+        if n:
+            both = _sum_of(odds[0])("words") + _sum_of(odds[1], TITLE_WORDS)("title")
+            pseudo = F.when(F.col("both") >= sure, F.lit("block")).when(F.col("both") <= -sure, F.lit("allow"))
+            rows = rows.withColumn("both", both).select(F.coalesce("label", pseudo).alias("label"), "words", "title")
+        each = F.concat(F.transform("words", lambda s: F.struct(F.lit(0).alias("part"), s.alias("slot"))), F.transform("title", lambda s: F.struct(F.lit(1).alias("part"), s.alias("slot"))))
+        exploded = rows.where("label IS NOT NULL").select("label", F.explode(each).alias("x"))
+        counts = exploded.groupBy("x.part", "x.slot").agg(*[F.count(F.when(F.col("label") == v, 1)).alias(v) for v in ("block", "allow")]).toPandas()
+        for part in (0, 1):
+            own = counts[counts["part"] == part]
+            table_ = np.zeros((SLOTS, 2))
+            table_[own["slot"].to_numpy(int)] = own[["block", "allow"]].to_numpy(float)
+            odds[part] = log_odds(table_)
+    return odds[0], odds[1]
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, block_from: float = BLOCK_FROM, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) for each row of pages (page_id, url, html)."""
-    cut = pages.select("page_id", *[c.alias(k) for k, c in parts(F.col("url")).items()])
-    cut = cut.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    hosts = written(cut.select("host").distinct())
+    url = parts(F.col("url"))
+    cut = pages.select("page_id", *[c.alias(k) for k, c in url.items()], words_of_title(F.col("html")).alias("title"))
+    hosts = written(pages.select(url["host"].alias("host")).distinct())
     known = written(host_words(hosts, written(title_words(pages))))
     named = {w for host, path, _ in rules for w in re.findall(r"[^\W\d_]+", host + path)}
-    ill = F.arrays_overlap("words", F.array(*[F.lit(w) for w in ill_repute])) if ill_repute else F.lit(False)
-    known = known.withColumns({"ill": ill, "words": without("words", named)})
-
-    # counts of words by class: of paths url by url, of hosts by their number of urls in the class
-    of_rule = F.col("r.verdict")
-    per_host = cut.groupBy("host").agg(*[F.count(F.when(of_rule == v, 1)).alias(v) for v in ("block", "allow")], F.count(F.lit(1)).alias("all"))
-    host_counts = written(known.join(per_host, "host").withColumn("block", F.when(F.col("ill"), F.col("all")).otherwise(F.col("block"))).withColumn("allow", F.when(F.col("ill"), F.lit(0)).otherwise(F.col("allow"))))
-    slot = lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(SLOTS)).cast("int")
-    from_hosts = host_counts.select(F.explode("words").alias("w"), "block", "allow")
-    from_paths = cut.where("r IS NOT NULL").select(F.explode(without(path_words(F.col("path")), named)).alias("w"), (of_rule == "block").cast("long").alias("block"), (of_rule == "allow").cast("long").alias("allow"))
-    counts = from_hosts.unionByName(from_paths).groupBy(slot(F.col("w")).alias("slot")).agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).toPandas()
-
-    weight = np.zeros((SLOTS, 2))
-    weight[counts["slot"].to_numpy(int)] = counts[["block", "allow"]].to_numpy(float)
-    odds = np.log((weight + SMOOTHING) / (weight.sum(0) + SMOOTHING * max(len(counts), 1)))
-    odds = (odds[:, 0] - odds[:, 1]).astype(np.float32)
-    odds[weight.sum(1) == 0] = 0
-    @F.pandas_udf("double")
-    def score(words: pd.Series) -> pd.Series:
-        return pd.Series([float(sum(odds[_slot(w)] for w in own)) for own in words])
-
-    of_host = written(known.select("host", score("words").alias("host_odds")))
-    free = F.when(F.col("r").isNull(), without(path_words(F.col("path")), named))
-    out = cut.withColumn("path_odds", score(F.coalesce(free, F.array().cast("array<string>")))).join(of_host, "host")
-    log_odds = F.col("host_odds") + F.col("path_odds")
-    verdict = F.coalesce("r.verdict", F.when(log_odds >= block_from, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), log_odds.alias("log_odds"))
+    # a host may have a large share of all urls
+    joined = small_join(cut, known.withColumnRenamed("words", "host_words"), ["host"])
+    words = F.concat(F.coalesce("host_words", F.array().cast("array<string>")), path_words(F.col("path")))
+    rule = rule_of(F.col("host"), F.col("path"), rules)
+    seen = written(joined.select("page_id", "host", "path", rule.alias("r"), slots_of(without(words, named)).alias("words"), slots_of(without("title", named)).alias("title")).select("page_id", "host", "path", "r.*", "words", "title"))
+    of_words, _ = learned(seen, rounds, sure)
+    scored = seen.withColumn("log_odds", _sum_of(of_words)("words"))
+    verdict = F.coalesce("verdict", F.when(F.col("log_odds") >= block_from, F.lit("block")).otherwise(F.lit("allow")))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "log_odds")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
