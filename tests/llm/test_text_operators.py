@@ -476,7 +476,11 @@ def test_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     centroids = langid.learn(docs.where("doc_id % 2 = 0"))
     probe = docs.unionByName(spark.createDataFrame([(900, None, None), (901, "", None), (902, "123 !!", None), (None, "the and with", None)], docs.schema))
-    got = langid.identified(probe.withColumn("score", F.lit(1)).drop("score"), centroids).collect()
+    with pytest.raises(ValueError):
+        langid.identified(probe.withColumn("Score", F.lit(1)), centroids)
+    clash = langid.identified(probe.withColumns({"score": F.lit("mine"), "_lang0": F.lit(1)}), centroids, names=("guess", "cosine", "near"))
+    assert clash.columns == ["doc_id", "text", "lang", "score", "_lang0", "guess", "cosine", "near"] and {r.score for r in clash.collect()} == {"mine"}
+    got = langid.identified(probe, centroids).collect()
     assert all(r.lang_pred == r.lang for r in got if r.lang)
     assert all((r.lang_pred, r.score) == ("und", 0) for r in got if r.doc_id in (900, 901, 902))
     assert all(0 <= r.score <= 1 for r in got)
@@ -484,6 +488,41 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identified(docs, nothing).collect()} == {"und"}
 
 
+def test_nearest_centroid_equals_plain_cosine(spark):
+    rng = random.Random(6)
+    words = {"en": "the and thing with that from", "de": "der und nicht schön über für"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(12)), lang) for i, lang in enumerate(["en", "de"] * 30)]
+    centroids = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def grams(text):
+        body = b" " + b" ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode().split()) + b" "
+        slot = lambda x: (x * 2654435761 & 0xFFFFFFFF) >> 20
+        two = [body[i] * 257 + body[i + 1] for i in range(len(body) - 1)]
+        return [slot(x) for x in two] + [slot(two[i] * 263 + body[i + 2] + (1 << 20)) for i in range(len(two) - 1)]
+
+    def vector(text):
+        n = np.bincount(grams(text), minlength=langid.DIMENSIONS)
+        v = np.log1p(n) * centroids.idf
+        return v / np.sqrt((v**2).sum())
+
+    found = np.array([[s in set(grams(t)) for s in range(langid.DIMENSIONS)] for _, t, _ in rows]).sum(0)
+    assert np.allclose(centroids.idf, np.log((1 + len(rows)) / (1 + found)) + 0.05, atol=1e-5)
+    for text in ["the thing über", "der und das", "from that", "schön"]:
+        cosine = [float(vector(text) @ c) for c in centroids.centres]
+        (lang,), (score,), _ = centroids.nearest([text])
+        assert lang == centroids.langs[int(np.argmax(cosine))] and abs(score - max(cosine)) < 1e-4
+
+
+def test_held_out_languages_of_the_test_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    got = langid.op7_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = got.where("held_out AND lang IS NOT NULL").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.98
+
+
 # ---- urls
 
 

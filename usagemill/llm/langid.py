@@ -8,7 +8,8 @@ from the distances of the sample to its own centroids.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and is never learned from. So is every text if nothing could be
 learned. Null langs aren't learned. Repeated rows come back as often as they went in. A null doc_id is neither learned nor held out. Extra
-columns are ignored. Ties go to the language first in order. An empty table gives an empty result.
+columns pass through `identified`, which refuses a table that has a column of the names that it adds; they are parameters. Ties go to the
+language first in order. An empty table gives an empty result. The centroids, 64 kB a learned language, reach the driver.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def learn(learned: DataFrame, sample: int = SAMPLE) -> Centroids:
     """Centroids of learned (doc_id, text, lang), which has neither nulls nor texts without a letter."""
     idf = inverse_frequencies(learned)
     counts = written(learned.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) * F.col("rows") < F.lit(1_000_003) * F.lit(sample)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("rows") < sample
 
     def cluster(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"], kind="stable")
@@ -113,20 +114,24 @@ def learn(learned: DataFrame, sample: int = SAMPLE) -> Centroids:
     return Centroids(idf, chosen.groupBy("lang").applyInPandas(cluster, "lang string, cluster int, centre binary, limit double").toPandas())
 
 
-def identified(docs: DataFrame, centroids: Centroids, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and accepted."""
+def identified(docs: DataFrame, centroids: Centroids, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """docs with the language, its cosine and whether that is near enough, under names."""
+    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"docs already have the columns {sorted(taken)}; give other names")
 
-    @F.pandas_udf("lang_pred string, score double, accepted boolean")
+    @F.pandas_udf("lang string, score double, accepted boolean")
     def identify(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"lang_pred": pd.Series([UNKNOWN] * len(texts), dtype=object), "score": 0.0, "accepted": False})
+        out = pd.DataFrame({"lang": pd.Series([UNKNOWN] * len(texts), dtype=object), "score": 0.0, "accepted": False})
         some = np.flatnonzero(letters.to_numpy(bool))
         langs, score, near = centroids.nearest([texts.iloc[i] for i in some])
-        for column, values in (("lang_pred", langs), ("score", score), ("accepted", near)):
+        for column, values in (("lang", langs), ("score", score), ("accepted", near)):
             out.loc[some, column] = values
         return out
 
-    judged = docs.withColumn("_lang", identify(F.col(text), has_letter(F.col(text))))
-    return judged.withColumns({c: F.col(f"_lang.{c}") for c in ("lang_pred", "score", "accepted")}).drop("_lang")
+    own = next(n for i in range(len(docs.columns) + 1) if (n := f"_lang{i}") not in docs.columns)
+    judged = docs.withColumn(own, identify(F.col(text), has_letter(F.col(text))))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{own}.{c}").alias(n) for c, n in zip(("lang", "score", "accepted"), names, strict=True)])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
