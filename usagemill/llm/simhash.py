@@ -12,7 +12,8 @@
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and are linked like any other. Repeated
 rows come back as often as they went in. A null doc_id is no component's name unless a component has no other. Extra columns are
-ignored by `components_of` and pass through `deduplicated`, which keeps rows whose doc_id is null. An empty table gives an empty result.
+ignored. An empty table gives an empty result. `near_copies` has the same comparison for texts that are similar rather than equal but for
+a few bits.
 """
 
 from __future__ import annotations
@@ -74,37 +75,42 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit b of fingerprint i is bit i % 64 of planes[b, i // 64]."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """(bits, words): bit b of fingerprint i is bit i % 64 of planes[b, i // 64]; fps has one or several 64-bit words a fingerprint."""
+    fps = np.ascontiguousarray(fps.reshape(len(fps), -1), "<u8")
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").T
     packed = np.packbits(bits, axis=1, bitorder="little")
-    padded = np.zeros((64, -(-packed.shape[1] // 8) * 8), np.uint8)
+    padded = np.zeros((64 * fps.shape[1], -(-packed.shape[1] // 8) * 8), np.uint8)
     padded[:, : packed.shape[1]] = packed
     return padded.view("<u8")
 
 
 def near(differences: Iterator[np.ndarray], valid: np.ndarray, radius: int) -> np.ndarray:
-    """Words whose bits say which lanes differ in at most radius (below 8) of the planes of differences."""
-    ones, twos, fours, many = (np.zeros_like(valid) for _ in range(4))
+    """Words whose bits say which lanes differ in at most radius of the planes of differences, an even number."""
+    counters = [np.zeros_like(valid) for _ in range(radius.bit_length())]
+    many = np.zeros_like(valid)
 
     def beyond() -> np.ndarray:
-        bits = (ones, twos, fours)
         more, equal = many.copy(), ~np.zeros_like(many)
-        for k in (2, 1, 0):
+        for k in range(len(counters) - 1, -1, -1):
             if radius >> k & 1:
-                equal &= bits[k]
+                equal &= counters[k]
             else:
-                more |= equal & bits[k]
-                equal &= ~bits[k]
+                more |= equal & counters[k]
+                equal &= ~counters[k]
         return more
 
     for k, (a, b) in enumerate(zip(differences, differences, strict=False)):
-        half = ones ^ a
-        carry = (ones & a) | (half & b)
-        ones = half ^ b
-        carry, twos = twos & carry, twos ^ carry
-        carry, fours = fours & carry, fours ^ carry
-        many |= carry
-        if k % 4 == 3 and not (valid & ~beyond()).any():
+        if not counters:
+            many |= a | b
+        else:
+            half = counters[0] ^ a
+            carry = (counters[0] & a) | (half & b)
+            counters[0] = half ^ b
+            for i in range(1, len(counters)):
+                carry, counters[i] = counters[i] & carry, counters[i] ^ carry
+            many |= carry
+        # a block can't be abandoned before it has had more differences than the radius
+        if k % 4 == 3 and 2 * k + 2 > radius and not (valid & ~beyond()).any():
             return np.zeros_like(valid)
     return valid & ~beyond()
 
@@ -129,48 +135,55 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def short_runs(key: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """(links, 2): stars of the links within runs of equal key, all runs together, row by row and its d-th follower."""
-    edges = []
-    n = len(key)
-    place = np.arange(n)
-    first = np.concatenate(([True], key[1:] != key[:-1]))
-    run = np.cumsum(first) - 1
-    length = np.bincount(run)
-    left, right = [], []
-    for d in range(1, int(length.max(initial=0))):
+def planes_of_ones(n: int) -> np.ndarray:
+    out = np.zeros(-(-n // 64) * 64, np.uint8)
+    out[:n] = 1
+    return np.packbits(out, bitorder="little").view("<u8")
+
+
+def pairs_in_runs(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a < b of equal key within radius of each other; all runs together, row by row and its d-th follower."""
+    place = np.arange(len(key))
+    run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    left, right = [place[:0]], [place[:0]]
+    for d in range(1, int(np.bincount(run).max(initial=0))):
         rows = place[:-d][run[:-d] == run[d:]]
         if not len(rows):
             break
         x, y = planes(fps[rows]), planes(fps[rows + d])
-        valid = planes_of_ones(len(rows))
-        hit = rows[_bits(near((x[b] ^ y[b] for b in range(64)), valid, radius), len(rows))]
+        hit = rows[_bits(near((x[b] ^ y[b] for b in range(len(x))), planes_of_ones(len(rows)), radius), len(rows))]
         left.append(hit)
         right.append(hit + d)
-    if left and (a := np.concatenate(left)).size:
-        root = _roots(n, a, np.concatenate(right))
-        moved = np.flatnonzero(root != place)
-        edges.append(np.stack([fps[moved], fps[root[moved]]], axis=1))
-    return np.concatenate(edges) if edges else np.empty((0, 2), np.uint64)
-
-
-def planes_of_ones(n: int) -> np.ndarray:
-    out = np.zeros(-(-n // 64) * 64, np.uint8)
-    out[:n] = 1
-    return np.packbits(out, bitorder="little").view("<u8")
+    return np.concatenate(left), np.concatenate(right)
 
 
-def long_run(fps: np.ndarray, radius: int) -> np.ndarray:
-    """(links, 2): a star for each component of the links within fps; memory grows with the square of its bounded length."""
+def all_pairs(fps: np.ndarray, radius: int) -> np.ndarray:
+    """(n, n): which fingerprints lie within radius of each other; memory grows with the square of their bounded number."""
     n = len(fps)
-    block, ones = planes(fps), planes_of_ones(n)
+    block, ones, words = planes(fps), planes_of_ones(n), fps.reshape(n, -1)
     linked = np.zeros((n, n), bool)
     for at in range(0, n, 128):
-        own = fps[at : at + 128]
-        full = [np.where(own >> np.uint64(b) & np.uint64(1), ~np.uint64(0), np.uint64(0))[:, None] for b in range(64)]
+        own = words[at : at + 128]
+        full = (np.where(own[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), ~np.uint64(0), np.uint64(0))[:, None] for b in range(len(block)))
         valid = np.broadcast_to(ones, (len(own), len(ones))).copy()
-        linked[at : at + 128] = _bits(near((block[b][None, :] ^ full[b] for b in range(64)), valid, radius), n)
-    root, edges = np.full(n, -1), []
+        linked[at : at + 128] = _bits(near((plane[None, :] ^ f for plane, f in zip(block, full, strict=True)), valid, radius), n)
+    return linked
+
+
+def short_runs(key: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """(links, 2): stars of the links within runs of equal key."""
+    a, b = pairs_in_runs(key, fps, radius)
+    if not len(a):
+        return np.empty((0, 2), np.uint64)
+    root = _roots(len(key), a, b)
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    return np.stack([fps[moved], fps[root[moved]]], axis=1)
+
+
+def long_run(fps: np.ndarray, radius: int) -> np.ndarray:
+    """(links, 2): a star for each component of the links within fps."""
+    n = len(fps)
+    linked, root, edges = all_pairs(fps, radius), np.full(n, -1), []
     for start in range(n):
         if root[start] >= 0:
             continue
@@ -314,13 +327,6 @@ def components_of(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     return prints.join(named, "fp", "left")
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs without the rows whose doc_id isn't the least of its component; one row for each doc_id that stays."""
-    keep = written(components_of(docs.select("doc_id", "text"), words, radius).where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
