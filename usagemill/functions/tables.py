@@ -4,25 +4,51 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: ContextVar[str | None] = ContextVar("folder of written tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only in a local session without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="spark-shared-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """An unused path in the shared folder, or in that of `tables_in`."""
+    return f"{(_folder.get() or shared_dir(spark)).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tables_in(folder: str) -> Iterator[str]:
+    """Inside, `written` writes to a folder, so that all tables of a job can be removed together once its result is written."""
+    token = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(token)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of tables."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
