@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagemill.sources import claude, codex, opencode, pi
-from usagemill.sources.lines import corrupt_gate, lines, manifest, next_manifest, read_files
+from usagemill.sources.lines import MANIFEST, corrupt_gate, lines, listing, next_manifest, read_files
 
 
 def write(folder, name, records, tail=""):
@@ -177,17 +177,25 @@ def test_opencode_fallback_then_parts_keeps_what_dominates(spark):
 
 
 def test_manifest_generations(spark, tmp_path):
+    import os
+
     a, b = write(tmp_path, "a.jsonl", [{"x": 1}]), write(tmp_path, "b.jsonl", [{"x": 1}])
-    empty = spark.createDataFrame([], "path_hash string, file string, generation int, size long, prefix_hash string, is_missing boolean, changed boolean")
-    state = spark.createDataFrame(next_manifest(empty, manifest(spark, [str(tmp_path)])).collect(), empty.schema)
-    assert all(r.changed and r.generation == 0 for r in state.collect())
+    empty = spark.createDataFrame([], MANIFEST)
+
+    def listed(state):
+        rows = next_manifest(state, listing(spark, [str(tmp_path)])).collect()
+        return spark.createDataFrame(rows, MANIFEST), {r.file.rsplit("/", 1)[1]: (r.generation, r.is_missing, r.changed) for r in rows}
+
+    state, got = listed(empty)
+    assert all(x == (0, False, True) for x in got.values())
     with a.open("a") as f:
         f.write('{"x": 2}\n')
     b.unlink()
-    state = spark.createDataFrame(next_manifest(state, manifest(spark, [str(tmp_path)])).collect(), empty.schema)
-    got = {r.file.rsplit("/", 1)[1]: (r.generation, r.is_missing, r.changed) for r in state.collect()}
+    state, got = listed(state)
     assert got == {"a.jsonl": (0, False, True), "b.jsonl": (0, True, False)}
+    assert listed(state)[1] == {"a.jsonl": (0, False, False), "b.jsonl": (0, True, False)}
     a.write_text('{"y": 1}\n{"x": 22}\n')
+    os.utime(a, (os.stat(a).st_mtime + 10,) * 2)
     write(tmp_path, "b.jsonl", [{"x": 1}])
-    got = {r.file.rsplit("/", 1)[1]: (r.generation, r.is_missing, r.changed) for r in next_manifest(state, manifest(spark, [str(tmp_path)])).collect()}
-    assert got == {"a.jsonl": (1, False, True), "b.jsonl": (1, False, True)}
+    assert listed(state)[1] == {"a.jsonl": (1, False, True), "b.jsonl": (1, False, True)}
+    assert "content" not in listing(spark, [str(tmp_path)])._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]

@@ -187,3 +187,59 @@ def opencode_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     used = F.to_json(F.struct(F.when(F.col("l_linenumber") % 2 == 1, "step-finish").otherwise("text").alias("type"), F.struct(F.col("l_quantity").cast("long").alias("input"), F.col("l_linenumber").alias("output"), F.lit(1).alias("reasoning")).alias("tokens")))
     part = lines.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.row_number().over(_lines_of_order()).cast("string")).alias("id"), F.col("l_orderkey").cast("string").alias("message_id"), F.lit("").alias("session_id"), F.lit(1).cast("long").alias("time_created"), F.lit(1).cast("long").alias("time_updated"), used.alias("data"))
     return session, message, part
+
+
+#: Files that a log family's owners are dealt to.
+SHARDS = 4
+
+
+def write_logs(rows: DataFrame, folder: str) -> None:
+    """Writes (log, place, line) as the files <log>.jsonl of a folder, lines by place; a log that is there already is replaced under its name."""
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows.repartition("log").sortWithinPartitions("log", "place").select("log", "line").write.mode("overwrite").partitionBy("log").text(f"{folder}.parts")
+    fs.mkdirs(hadoop(folder))
+    for log in fs.listStatus(hadoop(f"{folder}.parts")):
+        if "=" in log.getPath().getName():
+            (part,) = fs.globStatus(hadoop(f"{log.getPath()}/part-*"))
+            to = hadoop(f"{folder}/{log.getPath().getName().split('=', 1)[1]}.jsonl")
+            fs.delete(to, False)
+            fs.rename(part.getPath(), to)
+    fs.delete(hadoop(f"{folder}.parts"), True)
+
+
+def codex_logs(spark: SparkSession, sf_dir: str, later: bool = True) -> DataFrame:
+    """(log, place, line) of codex_lines, several owners in a file: first the stretches of all rows but every seventh; these come after, if at all."""
+    from pyspark.sql import functions as F
+
+    rows = codex_lines(spark, sf_dir).withColumns({"artifact": F.substring_index("file", "/", 1), "owner": F.substring_index("file", "/", -1).cast("long")})
+    headers, counts = rows.where("ordinal = 0"), rows.where("ordinal > 0").withColumn("phase", ((F.col("ordinal") - 1) % 7 == 0).cast("int"))
+    both = headers.join(counts.select("file", "phase").distinct(), "file").select(*counts.columns).unionByName(counts)
+    log = F.concat_ws("-", "artifact", (F.col("owner") % SHARDS).cast("string")).alias("log")
+    return (both if later else both.where("phase = 0")).select(log, F.struct("phase", "owner", "ordinal").alias("place"), "line")
+
+
+def claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log, place, line) of claude_lines, several messages in a file."""
+    from pyspark.sql import functions as F
+
+    rows = claude_lines(spark, sf_dir)
+    return rows.select((F.col("file").cast("long") % SHARDS).cast("string").alias("log"), F.struct(F.col("file").cast("long").alias("message"), "ordinal").alias("place"), "line")
+
+
+def pi_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log, place, line): sessions s0 (the root) to s3, each a child of the one before, with the messages of all orders; costs grow with each copy of an entry."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.row_number().over(_lines_of_order()).cast("long").alias("n"), F.col("l_quantity").cast("long").alias("q"), F.floor(F.col("l_extendedprice").cast("decimal(18,2)")).cast("long").alias("p"))
+    cost = F.struct(F.lit(0).alias("input"), (F.col("q") * F.lit(0.001).cast("decimal(5,3)")).alias("total"))
+    usage = F.struct(F.col("q").alias("input"), F.col("p").alias("output"), F.lit(0).alias("cacheRead"), F.lit(0).alias("cacheWrite"), cost.alias("cost"))
+    entry = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    body = F.struct(F.lit("message").alias("type"), entry.alias("id"), F.struct(F.lit("assistant").alias("role"), F.lit("m").alias("model"), usage.alias("usage")).alias("message"))
+    log = (F.col("l_orderkey") % SHARDS).cast("string").alias("log")
+    lines = rows.select(log, F.struct(F.lit(1).alias("part"), "l_orderkey", "n").alias("place"), F.to_json(body).alias("line"))
+    head = F.struct(F.lit("session").alias("type"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("s"), (F.col("id") - 1).cast("string"))).alias("parentSession"))
+    first = spark.range(SHARDS).select(F.col("id").cast("string").alias("log"), F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).cast("long").alias("n")).alias("place"), F.to_json(head).alias("line"))
+    return first.unionByName(lines)
+

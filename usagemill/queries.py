@@ -8,15 +8,15 @@ from datetime import UTC, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagemill import demo
+from usagemill import demo, sync
 from usagemill.functions import safety, tokens
 from usagemill.functions.models import creator, family
-from usagemill.functions.tables import written
-from usagemill.ledger import merge_events
+from usagemill.functions.tables import new_path, removed, written
+from usagemill.ledger import Ledger, dangling, merge_events
 from usagemill.operators import evidence, lineage, reconcile
 from usagemill.plans import pricing, profile, reporting
 from usagemill.sources import claude, codex, opencode, pi
-from usagemill.sources.lines import corrupt_gate
+from usagemill.sources.lines import MANIFEST, corrupt_gate, latest_generation, lines, listing, next_manifest, read_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -397,12 +397,11 @@ def c6_opencode_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.roots(demo.view(spark, sf_dir, "sessions").select(F.col("source_session_id").alias("node"), F.col("parent_session_id").alias("parent")))
 
 
-@query("c3_session_run_ids", ROWS.split(", t AS (")[0] + ", e AS (SELECT u.source_run_id AS run, coalesce(u.source_session_id, r.source_session_id) AS session FROM v_usage u LEFT JOIN v_runs r ON r.source_run_id = u.source_run_id) SELECT run, session, s.parent_session_id AS parent, count(*) AS events FROM e LEFT JOIN v_sessions s ON s.source_session_id = session GROUP BY ALL")
+@query("c3_session_run_ids", ROWS.split(", t AS (")[0] + """, k AS (SELECT source_session_id AS node, parent_session_id AS parent FROM v_sessions), f AS (SELECT node, node AS here, CAST(0 AS BIGINT) AS depth FROM k UNION ALL SELECT f.node, k.parent, f.depth + 1 FROM f JOIN k ON k.node = f.here WHERE k.parent IS NOT NULL), r AS (SELECT node, arg_max(here, depth) AS root FROM f GROUP BY node),
+e AS (SELECT u.source_run_id AS run, coalesce(u.source_session_id, r.source_session_id) AS session FROM v_usage u LEFT JOIN v_runs r ON r.source_run_id = u.source_run_id) SELECT run, session, s.parent_session_id AS parent, r.root, count(*) AS events FROM e LEFT JOIN v_sessions s ON s.source_session_id = session LEFT JOIN r ON r.node = session GROUP BY ALL""")
 def c3_session_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage, runs, sessions = (demo.view(spark, sf_dir, n) for n in ("usage", "runs", "sessions"))
-    e = usage.select(F.col("source_run_id").alias("run"), "source_session_id").join(runs.select(F.col("source_run_id").alias("run"), F.col("source_session_id").alias("of_run")), "run", "left")
-    s = sessions.select(F.col("source_session_id").alias("session"), F.col("parent_session_id").alias("parent"))
-    return e.select("run", F.coalesce("source_session_id", "of_run").alias("session")).join(s, "session", "left").groupBy("run", "session", "parent").agg(F.count(F.lit(1)).alias("events"))
+    found = evidence.session_of_runs(*(demo.view(spark, sf_dir, n) for n in ("usage", "runs", "sessions")))
+    return found.groupBy(F.col("source_run_id").alias("run"), "session", "parent", "root").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("c7_opencode_fallback", demo.ctes("parts", "fallback") + " SELECT f.message, f.input_tokens, f.output_tokens FROM v_fallback f WHERE NOT EXISTS (SELECT 1 FROM v_parts p WHERE p.message = f.message)")
@@ -412,26 +411,43 @@ def c7_opencode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c8_provisional_keys", demo.ctes("usage") + " SELECT DISTINCT source_session_id FROM v_usage WHERE status = 'provisional' AND source_session_id IS NOT NULL")
 def c8_provisional_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo.view(spark, sf_dir, "usage").where("status = 'provisional' AND source_session_id IS NOT NULL").select("source_session_id").distinct()
+    return evidence.keys_with_status(demo.view(spark, sf_dir, "usage"), "source_session_id")
 
 
-@query("c9_legacy_owners", demo.ctes("counter") + " SELECT DISTINCT owner FROM v_counter c WHERE total_input = 7 AND NOT EXISTS (SELECT 1 FROM v_counter d WHERE d.owner = c.owner AND d.total_input = 8)")
+_METHODS = "WITH k AS (SELECT DISTINCT l_orderkey || '/' || l_linenumber AS o, l_orderkey AS e, l_suppkey AS owner, CASE WHEN l_suppkey % 3 = 0 THEN 'legacy' WHEN l_linenumber % 2 = 0 THEN 'legacy' ELSE 'semantic' END AS method, CASE WHEN l_linenumber % 3 = 0 THEN 'hook' ELSE 'disk' END AS channel FROM lineitem) "
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links with a method, observations with an owner and a channel, and events: lines of orders as evidence for the orders."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("observation_key")
+    method = F.when((F.col("l_suppkey") % 3 == 0) | (F.col("l_linenumber") % 2 == 0), "legacy").otherwise("semantic")
+    links = lines.select(key, F.col("l_orderkey").alias("event_key"), method.alias("method")).distinct()
+    observations = lines.select(key, F.col("l_suppkey").alias("owner"), F.when(F.col("l_linenumber") % 3 == 0, "hook").otherwise("disk").alias("channel")).distinct()
+    events = orders.select(F.col("o_orderkey").alias("event_key"), F.when(F.col("o_orderstatus") == "P", "excluded").otherwise("canonical").alias("status"))
+    return links, observations, events
+
+
+@query("c9_legacy_owners", _METHODS + "SELECT owner FROM k JOIN orders ON o_orderkey = e WHERE o_orderstatus <> 'P' GROUP BY owner HAVING min(method) = 'legacy' AND max(method) = 'legacy'")
 def c9_legacy_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.view(spark, sf_dir, "counter")
-    return rows.where("total_input = 7").select("owner").distinct().join(rows.where("total_input = 8"), "owner", "left_anti")
+    links, observations, events = _methods(spark, sf_dir)
+    return evidence.legacy_owners(events, links, observations, "legacy")
 
 
-@query("c10_stale_messages", demo.ctes("snapshot") + ", g AS (SELECT message, max(seq) AS top FROM v_snapshot GROUP BY message) SELECT message FROM g WHERE NOT EXISTS (SELECT 1 FROM v_snapshot v WHERE v.message = g.message AND v.seq = g.top AND v.role = 'assistant')")
+@query("c10_stale_messages", demo.ctes("snapshot") + """, o AS (SELECT message, message % 50 AS path, seq % 3 AS generation FROM v_snapshot), a AS (SELECT path, generation, path % 4 = 0 AND generation = 2 AS missing FROM (SELECT DISTINCT path, generation FROM o)),
+l AS (SELECT path, max(generation) AS generation, arg_max(missing, generation) AS missing FROM a GROUP BY path), c AS (SELECT DISTINCT message FROM v_snapshot WHERE role = 'assistant')
+SELECT message FROM c WHERE NOT EXISTS (SELECT 1 FROM o JOIN l USING (path, generation) WHERE o.message = c.message AND NOT l.missing) OR EXISTS (SELECT 1 FROM o JOIN l USING (path, generation) WHERE o.message = c.message AND l.missing)""")
 def c10_stale_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = demo.view(spark, sf_dir, "snapshot")
-    latest = rows.withColumn("n", F.row_number().over(Window.partitionBy("message").orderBy(F.desc("seq")))).where("n = 1")
-    return rows.select("message").distinct().join(latest.where("role = 'assistant'"), "message", "left_anti")
+    observations = rows.select("message", (F.col("message") % 50).alias("path_hash"), (F.col("seq") % 3).alias("generation"))
+    artifacts = observations.select("path_hash", "generation").distinct().withColumn("is_missing", (F.col("path_hash") % 4 == 0) & (F.col("generation") == 2))
+    return evidence.stale_messages(observations, artifacts, rows.where("role = 'assistant'"))
 
 
-@query("c18_event_channels", demo.ctes("usage", "runs") + " SELECT DISTINCT u.source_run_id AS event, u.source AS channel FROM v_usage u JOIN v_runs r ON r.source_run_id = u.source_run_id")
+@query("c18_event_channels", _METHODS + "SELECT DISTINCT e AS event_key, channel FROM k")
 def c18_event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage, runs = demo.view(spark, sf_dir, "usage"), demo.view(spark, sf_dir, "runs")
-    return usage.join(runs.select("source_run_id"), "source_run_id").select(F.col("source_run_id").alias("event"), F.col("source").alias("channel")).distinct()
+    links, observations, _ = _methods(spark, sf_dir)
+    return evidence.event_channels(links, observations)
 
 
 @query("c19_opencode_step_join", demo.ctes("parts", "fallback", "sessions") + " SELECT p.message, p.line, p.input_tokens, f.output_tokens AS message_tokens, s.current_model AS agent FROM v_parts p JOIN v_fallback f ON f.message = p.message JOIN v_sessions s ON s.source_session_id = CAST(f.message AS VARCHAR)")
@@ -444,23 +460,19 @@ def c19_opencode_step_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c20_date_anchor", demo.ctes("snapshot") + ", d AS (SELECT message, arg_min(observed_at, seq) FILTER (WHERE observed_at > 0) AS first_at FROM v_snapshot GROUP BY message) SELECT v.message, v.seq, coalesce(v.observed_at, d.first_at) AS dated FROM v_snapshot v JOIN d USING (message)")
 def c20_date_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.view(spark, sf_dir, "snapshot")
-    first = reconcile.first_known_time(rows, ["message"], "observed_at", "seq").withColumnRenamed("observed_at", "first_at")
-    return rows.join(first, "message").select("message", "seq", F.coalesce("observed_at", "first_at").alias("dated"))
+    return evidence.dated(demo.view(spark, sf_dir, "snapshot"), ["message"], "observed_at", "seq").select("message", "seq", "dated")
 
 
-@query("c21_fk_check", demo.ctes("usage", "sessions") + " SELECT count(*) AS dangling FROM v_usage u WHERE source_session_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_sessions s WHERE s.source_session_id = u.source_session_id)")
+@query("c21_fk_check", "SELECT o_custkey AS customer, count(*) AS dangling FROM orders WHERE o_orderkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
 def c21_fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage, sessions = demo.view(spark, sf_dir, "usage"), demo.view(spark, sf_dir, "sessions")
-    return usage.where("source_session_id IS NOT NULL").join(sessions, "source_session_id", "left_anti").agg(F.count(F.lit(1)).alias("dangling"))
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    lost = dangling(orders.where("o_orderkey % 2 = 1"), "o_orderkey", lines.where("l_returnflag = 'R'"), "l_orderkey")
+    return lost.groupBy(F.col("o_custkey").alias("customer")).agg(F.count(F.lit(1)).alias("dangling"))
 
 
 @query("f9_latest_generation", demo.ctes("revision") + " SELECT order_key, line, max(seq) AS seq, arg_max(output_tokens, seq) AS output_tokens FROM v_revision GROUP BY ALL")
 def f9_latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.view(spark, sf_dir, "revision")
-    return rows.groupBy(*_KEY).agg(F.max("seq").alias("seq"), F.max_by("output_tokens", "seq").alias("output_tokens"))
-
-
+    return latest_generation(demo.view(spark, sf_dir, "revision").select(*_KEY, "seq", "output_tokens"), _KEY, "seq")
 
 
 # ---- ingestion, over logs that Spark derives from the tables ---------------------------------------------------------------
@@ -479,18 +491,83 @@ def b1_codex_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "file", "ordinal", F.col("sequence").cast("long").alias("sequence"), "observed_at_ns", "total_input_tokens", "total_output_tokens", "last_input_tokens", "last_output_tokens")
 
 
+_FOLDED = """b AS (SELECT *, owner || '|' || observed_at || '|' || total_input || '|' || coalesce(total_output, -1) || '|' || last_input || '|' || coalesce(last_output, -1) AS fp, lag(ordinal) OVER s AS po, lag(total_input) OVER s AS pi, lag(total_output) OVER s AS pp FROM (SELECT *, ordinal % 7 = 0 AS phase FROM v_counter WHERE {where}) WINDOW s AS (PARTITION BY owner, artifact ORDER BY phase, ordinal)),
+dl AS (SELECT *, po IS NULL OR coalesce(total_input < pi, FALSE) OR coalesce(total_output < pp, FALSE) AS reset FROM b),
+df AS (SELECT owner, artifact, ordinal, phase, fp, CASE WHEN reset THEN last_input ELSE total_input - pi END AS i, CASE WHEN reset THEN last_output WHEN total_output IS NOT NULL THEN CASE WHEN pp IS NOT NULL THEN total_output - pp ELSE last_output END END AS o FROM dl),
+again AS (SELECT *, sum(CASE WHEN n > 1 AND greatest(coalesce(i, 0), coalesce(o, 0)) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY owner, artifact, fp ORDER BY phase, ordinal) AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY owner, artifact, fp ORDER BY phase, ordinal) AS n FROM df)),
+one AS (SELECT owner, fp, occurrence, artifact, arg_min({{'i': i, 'o': o}}, (phase, ordinal)) AS t FROM again GROUP BY ALL),
+w AS (SELECT owner, fp, occurrence, arg_min(t, artifact) AS t, count(DISTINCT t) > 1 AS conflict FROM one GROUP BY ALL)"""
+_EVENTS_OF = "SELECT owner, fp, occurrence, t['i'] AS i, t['o'] AS o, conflict FROM w"
+
+
+def _folder(spark: SparkSession) -> str:
+    return new_path(spark, "logs")
+
+
+def _synced(spark: SparkSession, source: str, logs: DataFrame) -> Ledger:
+    """A new ledger after a sync of logs that Spark derives from the tables."""
+    folder, ledger = _folder(spark), Ledger(spark, new_path(spark, "ledger"))
+    demo.write_logs(logs, folder)
+    sync.sync(spark, ledger, source, [folder])
+    return ledger
+
+
 @query(
     "d26_codex_rebuild",
-    demo.ctes("counter")
-    + """, b AS (SELECT *, owner || '|' || observed_at || '|' || total_input || '|' || coalesce(total_output, -1) || '|' || last_input || '|' || coalesce(last_output, -1) AS fp, lag(ordinal) OVER s AS po, lag(total_input) OVER s AS pi, lag(total_output) OVER s AS pp FROM v_counter WINDOW s AS (PARTITION BY owner, artifact ORDER BY ordinal)),
-dl AS (SELECT *, po IS NULL OR coalesce(total_input < pi, FALSE) OR coalesce(total_output < pp, FALSE) AS reset FROM b),
-df AS (SELECT owner, artifact, ordinal, fp, CASE WHEN reset THEN last_input ELSE total_input - pi END AS i, CASE WHEN reset THEN last_output WHEN total_output IS NOT NULL THEN CASE WHEN pp IS NOT NULL THEN total_output - pp ELSE last_output END END AS o FROM dl),
-w AS (SELECT owner, fp, arg_min({'i': i, 'o': o}, (artifact, ordinal)) AS t FROM df GROUP BY ALL)
-SELECT CAST(owner AS VARCHAR) AS owner, CASE WHEN greatest(coalesce(t['i'], 0), coalesce(t['o'], 0)) > 0 THEN 'canonical' ELSE 'excluded' END AS status, count(*) AS events, CAST(sum(t['i']) AS BIGINT) AS input_tokens, CAST(sum(t['o']) AS BIGINT) AS output_tokens FROM w GROUP BY ALL""",
+    demo.ctes("counter") + ", " + _FOLDED.format(where="TRUE")
+    + " SELECT CAST(owner AS VARCHAR) AS owner, CASE WHEN greatest(coalesce(t['i'], 0), coalesce(t['o'], 0)) > 0 THEN 'canonical' ELSE 'excluded' END AS status, count(*) AS events, CAST(sum(t['i']) AS BIGINT) AS input_tokens, CAST(sum(t['o']) AS BIGINT) AS output_tokens FROM w GROUP BY ALL",
 )
 def d26_codex_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = codex.events(written(codex.parse(demo.codex_lines(spark, sf_dir))["observations"]))
-    return events.groupBy(F.col("source_session_id").alias("owner"), "status").agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    ledger = _synced(spark, "codex", demo.codex_logs(spark, sf_dir))
+    sync.rebuild(spark, ledger, ["codex"])
+    return sync.events(ledger, "codex").groupBy(F.col("source_session_id").alias("owner"), "status").agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query(
+    "i1_incremental_sync",
+    demo.ctes("counter") + ", was AS (WITH " + _FOLDED.format(where="ordinal % 7 <> 0") + f" {_EVENTS_OF}), now AS (WITH " + _FOLDED.format(where="TRUE") + f""" {_EVENTS_OF}),
+j AS (SELECT was.owner IS NULL AS fresh, was.i IS DISTINCT FROM now.i OR was.o IS DISTINCT FROM now.o OR was.conflict <> now.conflict AS differs FROM now LEFT JOIN was ON was.owner = now.owner AND was.fp = now.fp AND was.occurrence = now.occurrence),
+h AS (SELECT count(*) FILTER (WHERE phase = 0) AS a, count(*) FILTER (WHERE phase = 1) AS b FROM (SELECT DISTINCT owner, artifact, ordinal % 7 = 0 AS phase FROM v_counter)), c AS (SELECT count(*) FILTER (WHERE ordinal % 7 <> 0) AS a, count(*) FILTER (WHERE ordinal % 7 = 0) AS b FROM v_counter)
+SELECT 1 AS step, c.a + h.a AS lines_read, c.a + h.a AS observations, (SELECT count(*) FROM was) AS inserted, CAST(0 AS BIGINT) AS updated, CAST(1 AS BIGINT) AS version FROM c, h
+UNION ALL SELECT 2, 0, 0, 0, 0, 1 UNION ALL SELECT 3, c.b + h.b, c.b + h.b, (SELECT count(*) FILTER (WHERE fresh) FROM j), (SELECT count(*) FILTER (WHERE NOT fresh AND differs) FROM j), 2 FROM c, h""",
+)
+def i1_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sync of all logs, one of the same logs, and one after every seventh row has been appended to them."""
+    folder, ledger = _folder(spark), Ledger(spark, new_path(spark, "ledger"))
+    steps = []
+    for n, later in ((1, False), (2, None), (3, True)):
+        if later is not None:
+            demo.write_logs(demo.codex_logs(spark, sf_dir, later), folder)
+        steps.append(sync.sync(spark, ledger, "codex", [folder]).select(F.lit(n).alias("step"), "lines_read", "observations", "inserted", "updated", "version"))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+@query(
+    "i2_retained_history",
+    demo.ctes("counter") + ", " + _FOLDED.format(where="TRUE")
+    + f""" SELECT (SELECT count(DISTINCT owner % {demo.SHARDS}) FROM v_counter WHERE artifact = 2) AS missing, (SELECT count(DISTINCT artifact || '/' || owner % {demo.SHARDS}) FROM v_counter) AS files, count(*) AS events, CAST(sum(t['i']) AS BIGINT) AS input_tokens FROM w""",
+)
+def i2_retained_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a sync, a third of the files vanish; the next sync marks them and keeps all usage."""
+    folder, ledger = _folder(spark), Ledger(spark, new_path(spark, "ledger"))
+    demo.write_logs(demo.codex_logs(spark, sf_dir), folder)
+    sync.sync(spark, ledger, "codex", [folder])
+    for n in range(demo.SHARDS):
+        removed(spark, f"{folder}/2-{n}.jsonl")
+    sync.sync(spark, ledger, "codex", [folder])
+    files = ledger.read("codex/artifacts").agg(F.count(F.when(F.col("is_missing"), 1)).alias("missing"), F.count(F.lit(1)).alias("files"))
+    return files.crossJoin(sync.events(ledger, "codex").agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens")))  # one row each
+
+
+@query("a10_file_manifest", demo.ctes("counter") + f" SELECT artifact || '-' || owner % {demo.SHARDS} AS log, count(*) + count(DISTINCT owner || '/' || (ordinal % 7 = 0)) AS lines, 0 AS generation FROM v_counter GROUP BY ALL")
+def a10_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of listed logs and the lines that they have."""
+    folder = _folder(spark)
+    demo.write_logs(demo.codex_logs(spark, sf_dir), folder)
+    state = next_manifest(spark.createDataFrame([], MANIFEST), listing(spark, [folder]))
+    counts = lines(read_files(spark, [folder])).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    same = lambda c: F.regexp_extract(c, "([^/]+)[.]jsonl$", 1).alias("log")
+    return counts.select(same("file"), "lines").join(state.where("changed").select(same("file"), "generation"), "log")
 
 
 @query("b6_claude_assistant", demo.ctes("snapshot") + " SELECT 'm' || message AS message, CAST(message AS VARCHAR) AS source_session_id, seq AS ordinal, input_tokens, output_tokens FROM v_snapshot WHERE seq % 5 <> 4")
@@ -500,13 +577,39 @@ def b6_claude_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d26_claude_rebuild", demo.ctes("snapshot") + " SELECT 'claude:m' || message AS event_key, 'canonical' AS status, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM v_snapshot WHERE seq % 5 <> 4 GROUP BY message")
 def d26_claude_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _ = claude.events(written(claude.parse(demo.claude_lines(spark, sf_dir))["observations"]))
-    return events.select("event_key", "status", "input_tokens", "output_tokens")
+    ledger = _synced(spark, "claude", demo.claude_logs(spark, sf_dir))
+    sync.rebuild(spark, ledger, ["claude"])
+    return sync.events(ledger, "claude").select("event_key", "status", "input_tokens", "output_tokens")
+
+
+@query(
+    "d26_pi_rebuild",
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS n, CAST(l_quantity AS BIGINT) AS i, CAST(floor(CAST(l_extendedprice AS DECIMAL(18, 2))) AS BIGINT) AS o FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, line ORDER BY n) AS seq FROM l), f AS (SELECT k, line, seq, i, o FROM r WHERE seq = 1 UNION ALL SELECT f.k, f.line, r.seq, CASE WHEN r.i >= f.i AND r.o >= f.o THEN r.i ELSE f.i END, CASE WHEN r.i >= f.i AND r.o >= f.o THEN r.o ELSE f.o END FROM f JOIN r ON r.k = f.k AND r.line = f.line AND r.seq = f.seq + 1)
+SELECT 'pi:s0:' || k || '-' || line || ':assistant' AS event_key, arg_max(i, seq) AS input_tokens, arg_max(o, seq) AS output_tokens, (SELECT max(i) FROM r WHERE r.k = f.k AND r.line = f.line) * 1000000 AS total_cost_nanos FROM f GROUP BY k, line""",
+)
+def d26_pi_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in a chain of parents, whose entries are copied with other usage: the fold's tokens and the largest cost."""
+    ledger = _synced(spark, "pi", demo.pi_logs(spark, sf_dir))
+    sync.rebuild(spark, ledger, ["pi"])
+    return sync.events(ledger, "pi").where("status = 'canonical'").select("event_key", "input_tokens", "output_tokens", "total_cost_nanos")
+
+
+@query(
+    "d26_opencode_rebuild",
+    """WITH p AS (SELECT l_orderkey AS k, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS i FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1) SELECT o_custkey AS customer, CAST(sum(coalesce(n, 1)) AS BIGINT) AS events, CAST(sum(coalesce(i, o_orderkey % 1000)) AS BIGINT) AS input_tokens FROM orders LEFT JOIN p ON k = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1""",
+)
+def d26_opencode_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = Ledger(spark, new_path(spark, "ledger"))
+    sync.sync(spark, ledger, "opencode", demo.opencode_tables(spark, sf_dir))
+    sync.rebuild(spark, ledger, ["opencode"])
+    found = sync.events(ledger, "opencode").where("status = 'canonical'")
+    return found.groupBy(F.col("session_id").cast("long").alias("customer")).agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"))
 
 
-@query("b31_quarantine", demo.ctes("snapshot") + " SELECT CAST(message AS VARCHAR) AS file, seq AS ordinal, 'invalid_usage' AS category FROM v_snapshot WHERE seq % 5 = 4")
+@query("b31_quarantine", demo.ctes("snapshot") + " SELECT CAST(message AS VARCHAR) AS file, seq AS ordinal, 'invalid_usage' AS category, 'claude' AS source, 'error' AS severity, message || ':' || seq AS identifier, CAST(seq AS VARCHAR) AS field_path, 'OBJECT' AS value_type FROM v_snapshot WHERE seq % 5 = 4")
 def b31_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claude.parse(demo.claude_lines(spark, sf_dir))["issues"].select("file", "ordinal", "category")
+    return claude.parse(demo.claude_lines(spark, sf_dir))["issues"]
 
 
 @query("b12_pi_direct", "SELECT CAST(l_orderkey AS VARCHAR) AS file, 's' || l_orderkey AS session_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(CAST(floor(CAST(l_extendedprice AS DECIMAL(18, 2))) AS BIGINT)) AS BIGINT) AS output_tokens, CAST(sum(l_linenumber) AS BIGINT) AS cache_read_tokens, count(*) AS n FROM lineitem WHERE l_linenumber BETWEEN 2 AND 6 GROUP BY ALL")
@@ -548,17 +651,9 @@ def d23_merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_events(events, links, pairs, ["provider"])[0].select("event_key", "status", "merged_into", "provider")
 
 
-@query("d28_metadata_change", demo.ctes("revision") + " SELECT a.order_key, a.line FROM v_revision a JOIN v_revision b ON a.order_key = b.order_key AND a.line = b.line AND a.seq = 1 AND b.seq = 2 WHERE a.cost_nanos IS DISTINCT FROM b.cost_nanos")
+@query("d28_metadata_change", demo.ctes("revision") + " SELECT order_key, line, seq FROM (SELECT *, lag(cost_nanos) OVER w AS c, lag(terminal) OVER w AS t, lag(seq) OVER w AS s FROM v_revision WINDOW w AS (PARTITION BY order_key, line ORDER BY seq)) WHERE s IS NOT NULL AND (c IS DISTINCT FROM cost_nanos OR t IS DISTINCT FROM terminal)")
 def d28_metadata_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.view(spark, sf_dir, "revision")
-    old, new = rows.where("seq = 1").alias("o"), rows.where("seq = 2").alias("n")
-    return old.join(new, _KEY).where(~F.col("o.cost_nanos").eqNullSafe(F.col("n.cost_nanos"))).select(*_KEY)
-
-
-@query("i1_incremental_sync", demo.ctes("counter") + " SELECT artifact, count(*) AS unread FROM v_counter WHERE ordinal % 7 = 0 GROUP BY artifact")
-def i1_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demo.view(spark, sf_dir, "counter")
-    return rows.join(rows.where("ordinal % 7 <> 0").select("owner", "artifact", "ordinal"), ["owner", "artifact", "ordinal"], "left_anti").groupBy("artifact").agg(F.count(F.lit(1)).alias("unread"))
+    return evidence.metadata_changes(demo.view(spark, sf_dir, "revision"), _KEY, "seq", ["cost_nanos", "terminal"]).select(*_KEY, "seq")
 
 
 @query("f5_streak_award_day", ROWS + ", u AS (SELECT DISTINCT day FROM m WHERE tokens > 0 AND agent_key IS NOT NULL AND day IS NOT NULL), i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM u), p AS (SELECT day, row_number() OVER (PARTITION BY island ORDER BY day) AS place FROM i) SELECT min(day) AS day FROM p WHERE place >= 14")

@@ -59,8 +59,9 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
         .when(~F.col("listed"), "invalid_iterations").when(~F.col("items_valid"), "invalid_iteration_usage").when(~F.col("kinds_valid"), "invalid_iteration_type")
     )
     rows = rows.withColumn("problem", problem)
-    for category in ("invalid_message", "invalid_usage", "missing_message_identity", "invalid_iterations", "invalid_iteration_usage", "invalid_iteration_type"):
-        issues = issues.unionByName(issue(rows.where(F.col("problem") == category), "claude", category))
+    where = {"invalid_message": "$.message", "invalid_usage": "$.message.usage", "missing_message_identity": "$.message.id"} | dict.fromkeys(("invalid_iterations", "invalid_iteration_usage", "invalid_iteration_type"), "$.message.usage.iterations")
+    for category, path in where.items():
+        issues = issues.unionByName(issue(rows.where(F.col("problem") == category), "claude", category, path))
     iteration = lambda x, i: F.struct(i.cast("long").alias("idx"), (string_at(x, "$.type") == "advisor_message").alias("is_advisor"), string_at(x, "$.model").alias("model"), *[c.alias(f) for f, c in _tokens(x, "$").items()])
     run = F.coalesce(s("$.agentId"), F.col("source_session_id"))
     sidechain = F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False))
@@ -99,7 +100,7 @@ def events(observations: DataFrame, order: list[str] | None = None) -> tuple[Dat
     key = F.concat(F.lit("claude:"), "message", F.when(F.col("suffix") == F.col("message"), F.lit("")).otherwise(F.concat(F.lit(":"), "suffix")))
     out = joined.select(
         F.lit("claude").alias("source"), key.alias("event_key"), F.lit("model_call").alias("granularity"), "status", F.lit("anthropic").alias("provider"), F.when(F.col("is_advisor"), F.col("advisor_model")).otherwise(F.col("m.model")).alias("model"),
-        *fields, *[f"m.{c}" for c in ("effort", "service_tier", "speed", "inference_region", "stop_reason", "source_session_id", "source_run_id")], web("web_search_count"), web("web_fetch_count"), "completed_at_ns",
+        *fields, *[f"m.{c}" for c in ("effort", "service_tier", "speed", "inference_region", "stop_reason", "source_session_id", "source_run_id")], web("web_search_count"), web("web_fetch_count"), "completed_at_ns", F.col("message").alias("evidence_key"),
     )
     problems = inner.where("conflict").select("message").distinct().select(F.lit("claude").alias("source"), F.lit("iteration_conflict").alias("category"), F.col("message").alias("identifier"))
     return out, problems

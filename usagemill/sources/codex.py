@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.functions.tokens import iso_to_ns
-from usagemill.operators import reconcile
+from usagemill.operators import lineage, reconcile
 from usagemill.sources.lines import corrupt_gate, issue, strict_long, string_at
 
 # Token fields and the names under which logs give them; of two names the first wins.
@@ -32,6 +32,10 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     order = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("header", F.when(header, F.struct(id_.alias("id"))))  # a struct: an invalid header clears the owner
     rows = rows.withColumn("owner", F.last("header", ignorenulls=True).over(order).id)
+    # an owner's stretch ends where the owner changes; a header without an id ends it too
+    placed = Window.partitionBy("file").orderBy("ordinal")
+    turns = (~F.col("owner").eqNullSafe(F.lag("owner").over(placed))).cast("int")
+    rows = rows.withColumn("_turn", turns).withColumn("stretch", F.sum("_turn").over(order)).drop("_turn")
     headers = rows.where(header)
     count = rows.where((F.col("type") == "event_msg") & (F.col("kind") == "token_count"))
     count = count.withColumns(_usage("$.payload.info.total_token_usage", "total") | _usage("$.payload.info.last_token_usage", "last"))
@@ -39,12 +43,12 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     valid = some("total") & some("last")
     owned = count.where("owner IS NOT NULL")
     # the ordinal within an owner's stretch of the file
-    stretch = owned.where(valid).withColumn("sequence", F.row_number().over(Window.partitionBy("file", "owner").orderBy("ordinal")) - 1)
+    stretch = owned.where(valid).withColumn("sequence", F.row_number().over(Window.partitionBy("file", "stretch").orderBy("ordinal")) - 1)
     named = headers.where("header.id IS NOT NULL").select(
         F.lit("codex").alias("source"), F.col("header.id").alias("source_session_id"), string_at(v, "$.payload.cli_version").alias("harness_version"),
         string_at(v, "$.payload.model_provider").alias("provider"), string_at(v, "$.payload.model").alias("model"), F.nullif("observed_at_ns", F.lit(0).cast("long")).alias("started_at_ns"), "file", "ordinal",
     )
-    found = issues.unionByName(issue(headers.where("header.id IS NULL"), "codex", "missing_session_id")).unionByName(issue(count.where("owner IS NULL"), "codex", "missing_owner")).unionByName(issue(owned.where(~valid), "codex", "invalid_usage"))
+    found = issues.unionByName(issue(headers.where("header.id IS NULL"), "codex", "missing_session_id", "$.payload.id")).unionByName(issue(count.where("owner IS NULL"), "codex", "missing_owner")).unionByName(issue(owned.where(~valid), "codex", "invalid_usage", "$.payload.info"))
     observations = stretch.select(
         F.lit("codex").alias("source"), "file", "ordinal", "owner", "sequence", "observed_at_ns",
         reconcile.fingerprint(["owner", "observed_at_ns", *[f"{p}_{f}" for p in ("last", "total") for f in FIELDS]]).alias("fingerprint"), *[f"{p}_{f}" for p in ("total", "last") for f in FIELDS],
@@ -59,15 +63,24 @@ def events(observations: DataFrame, artifact: str = "file") -> DataFrame:
     counted = reconcile.counter_events(reconcile.repeat_occurrence(deltas, fields, "fingerprint", "owner", artifact), fields, "fingerprint", "owner", artifact)
     first = observations.groupBy("owner", "fingerprint").agg(F.min("observed_at_ns").alias("completed_at_ns"))
     key = F.concat(F.lit("codex:"), "fingerprint", F.when(F.col("occurrence") > 0, F.concat(F.lit(":repeat:"), F.col("occurrence").cast("string"))).otherwise(""))
-    return counted.join(first, ["owner", "fingerprint"]).select(F.lit("codex").alias("source"), key.alias("event_key"), F.lit("counter_delta").alias("granularity"), "status", *fields, F.nullif("completed_at_ns", F.lit(0).cast("long")).alias("completed_at_ns"), F.col("owner").alias("source_session_id"), "conflict")
+    return counted.join(first, ["owner", "fingerprint"]).select(F.lit("codex").alias("source"), key.alias("event_key"), F.lit("counter_delta").alias("granularity"), "status", *fields, F.nullif("completed_at_ns", F.lit(0).cast("long")).alias("completed_at_ns"), F.col("owner").alias("source_session_id"), "conflict", F.col("owner").alias("evidence_key"))
 
 
-def threads(table: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """The wanted columns (name to type) of a side table; those that it lacks are null."""
-    return table.select(*[(F.col(c) if c in table.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+def threads(table: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Sessions of a threads table, with the root and depth that spawn edges (parent_thread_id, child_thread_id) give; columns that it lacks are null."""
+    wanted = {"model": "string", "model_provider": "string", "reasoning_effort": "string", "cli_version": "string", "created_at": "long", "updated_at": "long"}
+    own = table.where("id IS NOT NULL").select(F.col("id").alias("source_session_id"), *[(F.col(c) if c in table.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+    links = edges.select(F.col("child_thread_id").alias("node"), F.col("parent_thread_id").alias("parent")).where("node IS NOT NULL") if edges is not None else own.select(F.col("source_session_id").alias("node"), F.lit(None).cast("string").alias("parent"))
+    roots = lineage.roots(links.unionByName(own.select(F.col("source_session_id").alias("node"), F.lit(None).cast("string").alias("parent")))).withColumnRenamed("node", "source_session_id")
+    parents = links.groupBy(F.col("node").alias("source_session_id")).agg(F.min("parent").alias("parent_session_id"))
+    ns = lambda c: (F.col(c) * 1_000_000).alias(f"{c}_ns")
+    joined = own.join(parents, "source_session_id", "left").join(roots, "source_session_id", "left")
+    return joined.select(F.lit("codex").alias("source"), "source_session_id", "parent_session_id", "root", "depth", "model", F.col("model_provider").alias("provider"), F.col("reasoning_effort").alias("effort"), F.col("cli_version").alias("harness_version"), ns("created_at"), ns("updated_at"))
 
 
-def turns(table: DataFrame) -> DataFrame:
-    """Turns of threads; milliseconds become nanoseconds."""
+def turns(table: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
+    """Turns of threads, in nanoseconds, and a session and run in name only for each thread that sessions (source_session_id) lacks."""
     ns = lambda c: (F.col(c) * 1_000_000).alias(f"{c}_ns")
-    return table.where("thread_id IS NOT NULL AND turn_id IS NOT NULL").select(F.lit("codex").alias("source"), F.col("thread_id").alias("source_session_id"), F.col("turn_id").alias("source_turn_id"), "status", ns("started_at"), ns("completed_at"), (F.col("duration_ms") * 1_000_000).alias("duration_ns"))
+    own = table.where("thread_id IS NOT NULL AND turn_id IS NOT NULL").select(F.lit("codex").alias("source"), F.col("thread_id").alias("source_session_id"), F.col("turn_id").alias("source_turn_id"), "status", ns("started_at"), ns("completed_at"), (F.col("duration_ms") * 1_000_000).alias("duration_ns"))
+    stubs = own.select("source", "source_session_id").distinct().join(sessions.select("source_session_id"), "source_session_id", "left_anti").select("source", "source_session_id")
+    return {"turns": own, "sessions": stubs, "runs": stubs.select("*", F.col("source_session_id").alias("source_run_id"), F.lit("session").alias("role"))}

@@ -36,40 +36,60 @@ def corrupt_gate(rows: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     return good, issue(judged.where(F.col("ordinal") == F.col("_first")), source, "invalid_jsonl")
 
 
-def issue(rows: DataFrame, source: str, category: str, field_path: str | None = None, identifier: str | None = None) -> DataFrame:
-    """Issue rows of rejected records: where and what, never their content."""
+def issue(rows: DataFrame, source: str, category: str, observed: str | None = None, severity: str = "error") -> DataFrame:
+    """Issue rows of rejected records: where, and the kind of value at the path `observed`, never the content."""
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get("v", observed, "variant")), F.lit("none")) if observed else F.lit(None).cast("string")
     return rows.select(
-        F.lit(source).alias("source"), "file", "ordinal", F.lit(category).alias("category"), F.lit("warning").alias("severity"),
-        (F.col(identifier).cast("string") if identifier else F.lit(None).cast("string")).alias("identifier"), F.lit(field_path).cast("string").alias("field_path"), F.lit(None).cast("string").alias("value_type"),
+        F.lit(source).alias("source"), "file", "ordinal", F.lit(category).alias("category"), F.lit(severity).alias("severity"),
+        F.concat_ws(":", "file", F.col("ordinal").cast("string")).alias("identifier"), F.col("ordinal").cast("string").alias("field_path"), F.regexp_extract(kind, "^[A-Za-z]*", 0).alias("value_type"),
     )
 
 
-def manifest(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") -> DataFrame:
-    """A10: (path_hash, file, size, content) of listed files."""
+MANIFEST = "path_hash string, file string, generation int, size long, modified timestamp, prefix_hash string, first_seen long, last_ordinal long, is_missing boolean, changed boolean"
+
+
+def listing(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") -> DataFrame:
+    """A10: (path_hash, file, size, modified) of listed files. Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
-    return found.select(F.sha2("path", 256).alias("path_hash"), F.col("path").alias("file"), F.col("length").alias("size"), "content")
+    return found.select(F.sha2("path", 256).alias("path_hash"), F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
 
+def contents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, value) of named files, whole; bytes that are no UTF-8 become the replacement character."""
+    return spark.read.format("binaryFile").load(files).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("value"))
 
-def next_manifest(prior: DataFrame, listed: DataFrame) -> DataFrame:
-    """(path_hash, file, generation, size, prefix_hash, is_missing, changed) after a listing.
 
-    prior has the latest row of each path. A file is a new generation if it had been missing, shrank, or its first bytes, as far as they reached
-    before, differ; an append isn't one. A path that isn't listed is missing.
+def next_manifest(prior: DataFrame, listed: DataFrame, version: int = 0) -> DataFrame:
+    """MANIFEST after a listing. prior has the latest row of each path.
+
+    Only files whose size or time differs from the row before, or that had been missing, are opened, and only their first PREFIX_BYTES go on.
+    A file is a new generation if it had been missing, shrank, or its first bytes, as far as they reached before, differ; an append isn't
+    one. A path that isn't listed is missing. The names of the files to open pass through the driver, as Spark's own listing does.
     """
-    old = prior.select("path_hash", F.col("file").alias("_file"), F.col("generation").alias("_g"), F.col("size").alias("_size"), F.col("prefix_hash").alias("_prefix"), F.col("is_missing").alias("_missing"))
+    spark = prior.sparkSession
+    old = prior.select("path_hash", *[F.col(c).alias(f"_{c}") for c in ("file", "generation", "size", "modified", "prefix_hash", "first_seen", "last_ordinal", "is_missing")])
     joined = listed.join(old, "path_hash", "full")
-    first = lambda n: F.sha2(F.substring(F.col("content"), 1, n) if isinstance(n, int) else F.substr("content", F.lit(1), n), 256)
-    gone = F.col("file").isNull()
-    reached = F.least(F.col("_size"), F.lit(PREFIX_BYTES)).cast("int")
-    renewed = F.col("_missing") | (F.col("size") < F.col("_size")) | (first(reached) != F.col("_prefix"))
-    generation = F.when(gone, F.col("_g")).when(F.col("_g").isNull(), F.lit(0)).when(renewed, F.col("_g") + 1).otherwise(F.col("_g"))
-    changed = ~gone & (F.col("_g").isNull() | renewed | (F.col("size") != F.col("_size")))
+    gone, new = F.col("file").isNull(), F.col("_file").isNull()
+    differs = ~gone & (new | F.col("_is_missing") | (F.col("size") != F.col("_size")) | ~F.col("modified").eqNullSafe(F.col("_modified")))
+    opened = [r.file for r in joined.where(differs).select("file").toLocalIterator()]
+    heads = spark.read.format("binaryFile").load(opened).select(F.col("path").alias("file"), F.substring("content", 1, PREFIX_BYTES).alias("head")) if opened else spark.createDataFrame([], "file string, head binary")
+    joined = joined.join(heads, "file", "left")
+    before = F.sha2(F.substr("head", F.lit(1), F.least(F.col("_size"), F.lit(PREFIX_BYTES)).cast("int")), 256)
+    renewed = differs & ~new & (F.col("_is_missing") | (F.col("size") < F.col("_size")) | (before != F.col("_prefix_hash")))
+    generation = F.when(new, F.lit(0)).when(renewed, F.col("_generation") + 1).otherwise(F.col("_generation"))
     return joined.select(
-        "path_hash", F.coalesce("file", "_file").alias("file"), generation.cast("int").alias("generation"), F.coalesce("size", "_size").alias("size"),
-        F.when(gone, F.col("_prefix")).otherwise(first(PREFIX_BYTES)).alias("prefix_hash"), gone.alias("is_missing"), F.coalesce(changed, F.lit(False)).alias("changed"),
+        "path_hash", F.coalesce("file", "_file").alias("file"), generation.cast("int").alias("generation"), F.coalesce("size", "_size").alias("size"), F.coalesce("modified", "_modified").alias("modified"),
+        F.when(differs, F.sha2("head", 256)).otherwise(F.col("_prefix_hash")).alias("prefix_hash"), F.coalesce("_first_seen", F.lit(version)).cast("long").alias("first_seen"),
+        F.when(new | renewed, F.lit(-1)).otherwise(F.col("_last_ordinal")).cast("long").alias("last_ordinal"), gone.alias("is_missing"), (differs & (new | renewed | (F.col("size") != F.col("_size")))).alias("changed"),
     )
 
 
+def latest_generation(artifacts: DataFrame, keys: list[str], generation: str = "generation") -> DataFrame:
+    """of each key, the row with the largest generation."""
+    rest = [c for c in artifacts.columns if c not in keys]
+    return artifacts.groupBy(*keys).agg(F.max_by(F.struct(*rest), generation).alias("_r")).select(*keys, "_r.*")
+
+
 def strict_long(v, path: str):
     """B2: a non-negative whole number at a path of a variant; anything else is null."""
     number = F.try_variant_get(v, path, "variant")

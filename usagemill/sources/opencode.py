@@ -72,4 +72,4 @@ def events(retained: DataFrame, order: list[str]) -> DataFrame:
     rows = folded.join(about, "event_key").join(first, "event_key").select("event_key", "m.*", *FIELDS, "total_cost_nanos", "completed_at_ns")
     side = reconcile.parts_or_fallback(rows.where("kind = 'part'"), rows.where("kind = 'message'").select("message_id", *FIELDS), "message_id", FIELDS).select("message_id", "counts")
     status = F.when((F.col("kind") == "part") == (F.col("counts") == "parts"), "canonical").otherwise("excluded")
-    return rows.join(side, "message_id").select(F.lit("opencode").alias("source"), "event_key", F.lit("model_call").alias("granularity"), status.alias("status"), "session_id", "provider", "model", "effort", *FIELDS, "total_cost_nanos", "completed_at_ns")
+    return rows.join(side, "message_id").select(F.lit("opencode").alias("source"), "event_key", F.lit("model_call").alias("granularity"), status.alias("status"), "session_id", "provider", "model", "effort", *FIELDS, "total_cost_nanos", "completed_at_ns", F.col("message_id").alias("evidence_key"))

@@ -89,7 +89,7 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     samples = rows.where((F.col("type") == "compaction") & _object(v, "$.usage") & strict_long(v, "$.tokensBefore").isNotNull()).select(F.lit("pi").alias("source"), "file", "ordinal", "observed_at_ns", F.lit("tokens_before").alias("name"), F.lit("tokens").alias("unit"), strict_long(v, "$.tokensBefore").alias("value_integer"))
     state = rows.groupBy("file").agg(F.max_by(F.struct("_model", "effort"), "ordinal").alias("last"), F.min_by("_model.model", F.when(F.col("_model.model").isNotNull(), F.col("ordinal"))).alias("initial_model"), F.max("observed_at_ns").alias("updated_at_ns"))
     sessions = first.join(state, "file").select(F.lit("pi").alias("source"), "file", F.col("session_id").alias("source_session_id"), "parent_session", F.col("last._model.provider").alias("provider"), "initial_model", F.col("last._model.model").alias("current_model"), F.col("last.effort").alias("reasoning_effort"), "started_at_ns", "updated_at_ns")
-    found = issues.unionByName(issue(used.where("entry IS NULL"), "pi", "missing_usage_identity")).unionByName(issue(used.where("entry IS NOT NULL AND NOT ok"), "pi", "invalid_usage"))
+    found = issues.unionByName(issue(used.where("entry IS NULL"), "pi", "missing_usage_identity", "$.id")).unionByName(issue(used.where("entry IS NOT NULL AND NOT ok"), "pi", "invalid_usage", "$.message.usage"))
     found = found.unionByName(issue(sub.where("NOT named OR NOT known"), "pi", "invalid_subagent")).unionByName(issue(sub.where("named AND known AND total IS NULL"), "pi", "invalid_subagent_usage"))
     return {"direct": direct, "subagents": subagents, "sessions": sessions, "samples": samples, "batches": rows.where("slot = 'subagent_batch'").select("file", "ordinal", s("$.message.toolCallId").alias("client_id")), "issues": found}
 
@@ -102,10 +102,11 @@ def lineage_roots(sessions: DataFrame) -> DataFrame:
     return lineage.roots(nodes, stop_before_seen=False).select(F.col("node").alias("source_session_id"), "root")
 
 
-def events(batch: dict[str, DataFrame], order: list[str] | None = None) -> DataFrame:
-    """Direct events by lineage root, entry and slot, and one event for each subagent run; tokens by the dominance fold."""
+def events(batch: dict[str, DataFrame], order: list[str] | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """Direct events by lineage root, entry and slot, and one event for each subagent run; tokens by the dominance fold, costs with
+    the decimal text of the row that first had the largest total, and a subagent's start and duration."""
     order = order or ["file", "ordinal"]
-    roots = lineage_roots(batch["sessions"])
+    roots = lineage_roots(batch["sessions"]) if roots is None else roots
     direct = batch["direct"].join(roots, F.col("session_id") == F.col("source_session_id")).withColumn("event_key", F.concat_ws(":", F.lit("pi"), "root", "entry", "slot"))
     sub = batch["subagents"].join(roots, F.col("session_id") == F.col("source_session_id"))
     run = F.when(F.col("batch_id").isNotNull(), F.concat_ws(":", "batch_id", "agent_id")).otherwise(F.concat_ws(":", F.lit("legacy"), "root", F.col("started_ms").cast("string"), "agent_id"))
@@ -115,13 +116,13 @@ def events(batch: dict[str, DataFrame], order: list[str] | None = None) -> DataF
     meta = ["session_id", "provider", "model", "effort", "success", "error_category"]
     fields = [t for t in TOKENS if t != "derived_total_tokens"]
     for rows, rank, at in ((direct, order, "observed_at_ns"), (sub, ["terminal", "observed_at_ns", *order], "completed_at_ns")):
-        for c in (*TOKENS, *COSTS):
+        for c in (*TOKENS, *COSTS, "started_at_ns", "original_decimal"):
             if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast("long"))
+                rows = rows.withColumn(c, F.lit(None).cast("string" if c == "original_decimal" else "long"))
         folded = reconcile.dominance_fold(rows.withColumn("_total", F.coalesce("reported_total_tokens", "derived_total_tokens")), ["event_key"], order, "_total", [*fields, "derived_total_tokens"])
-        costs = rows.groupBy("event_key").agg(*[F.max(c).alias(c) for c in COSTS])
-        about = rows.groupBy("event_key").agg(F.max_by(F.struct(*meta), F.struct(*rank)).alias("m"))
+        costs = reconcile.cost_max(rows, ["event_key"], order, "total_cost_nanos", "original_decimal", COSTS[:-1], [])
+        about = rows.groupBy("event_key").agg(F.max_by(F.struct(*meta, "root"), F.struct(*rank)).alias("m"), F.min("started_at_ns").alias("started_at_ns"))
         first = reconcile.first_known_time(rows.withColumn("_o", F.struct(*order)), ["event_key"], at, "_o").withColumnRenamed(at, "completed_at_ns")
         joined = folded.join(costs, "event_key").join(about, "event_key").join(first, "event_key")
-        out.append(joined.select(F.lit("pi").alias("source"), "event_key", F.lit("model_call").alias("granularity"), F.lit("canonical").alias("status"), *[F.col(f"m.{c}") for c in meta], *TOKENS, *COSTS, "completed_at_ns"))
+        out.append(joined.select(F.lit("pi").alias("source"), "event_key", F.lit("model_call").alias("granularity"), F.lit("canonical").alias("status"), *[F.col(f"m.{c}") for c in meta], *TOKENS, *COSTS, "original_decimal", "started_at_ns", F.greatest(F.col("completed_at_ns") - F.col("started_at_ns"), F.lit(0)).alias("duration_ns"), "completed_at_ns", F.col("m.root").alias("evidence_key")))
     return out[0].unionByName(out[1])
