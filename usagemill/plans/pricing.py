@@ -7,10 +7,12 @@ to be under MAX_CARD_ROWS before they are broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagemill.functions.tables import written
 from usagemill.functions.tokens import NANOS, event_total, in_window
 
 RATES = ["input", "cached_input", "cache_write", "cache_write_5m", "cache_write_1h", "output"]
@@ -104,8 +106,24 @@ def card_checks(rates: RateTables) -> DataFrame:
     return out
 
 
+_NAMES = ["source", "provider", "resolved_model", "requested_model"]
+
+
 def _resolved(rows: DataFrame, rates: RateTables) -> DataFrame:
-    """Rows with model_id and model_provider of the first of resolved and requested model that the card knows."""
+    """Rows with model_id and model_provider of the first of resolved and requested model that the card knows.
+
+    Distinct names are resolved once, as a written table, which is then joined by one key; names are few, but their number is checked.
+    """
+    key = lambda: F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in _NAMES])
+    names = written(_names_resolved(rows.select(*_NAMES).distinct(), rates).withColumn("_names", key()).select("_names", *[F.col(c).alias(f"_n_{c}") for c in _NAMES], "model_id", "model_provider", "_card_provider"))
+    few = names.limit(MAX_CARD_ROWS + 1).count() <= MAX_CARD_ROWS
+    same = F.col("_names") == F.col("_key")
+    for c in _NAMES:
+        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+    return rows.withColumn("_key", key()).join(F.broadcast(names) if few else names, same, "left").drop("_key", "_names", *[f"_n_{c}" for c in _NAMES])
+
+
+def _names_resolved(rows: DataFrame, rates: RateTables) -> DataFrame:
     alias = rates.provider_aliases.select(F.col("alias").alias("_alias"), F.col("provider").alias("_canonical"))
     by_provider = rates.models.select(F.col("provider").alias("_mp"), F.col("alias").alias("_ma"), F.col("model_id").alias("_mid"))
     single = rates.models.groupBy("alias").agg(F.count(F.lit(1)).alias("n"), F.first("provider").alias("_up"), F.first("model_id").alias("_uid")).where("n = 1").select(F.col("alias").alias("_ua"), "_up", "_uid")
@@ -152,10 +170,11 @@ def price(rows: DataFrame, rates: RateTables) -> DataFrame:
     long_one = F.col("_price.long_context")
     is_long = long_one.isNotNull() & (F.col("granularity") == "model_call") & ((context > long_one.above_input_tokens) | (F.coalesce(long_one.inclusive, F.lit(False)) & (context == long_one.above_input_tokens)))
     cost, known = F.lit(0).cast("decimal(25,6)"), F.lit(True)
-    scale = F.lit(NANOS // rates.unit_tokens if NANOS % rates.unit_tokens == 0 else NANOS / rates.unit_tokens)
+    exact = NANOS % rates.unit_tokens == 0
+    scale = F.lit(Decimal(NANOS // rates.unit_tokens) if exact else Decimal(NANOS) / rates.unit_tokens).cast("decimal(10,0)" if exact else "decimal(20,10)")
     for name, tokens in parts.items():
         rate = F.when(is_long, long_one.getField(name)).otherwise(F.col(f"_price.{name}"))
-        per_token = (rate * scale.cast("decimal(10,0)")).cast("decimal(15,6)")
+        per_token = (rate * scale).cast("decimal(15,6)")
         cost = (cost + F.coalesce(tokens.cast("decimal(15,0)") * per_token, F.lit(0))).cast("decimal(25,6)")
         known = known & ((tokens == 0) | rate.isNotNull())
     minute = F.timestamp_micros(F.col("_at"))

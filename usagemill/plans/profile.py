@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.functions.models import creator, family
+from usagemill.functions.tables import written
 from usagemill.functions.tokens import SOURCES, display_model, event_total, in_window, local_day, window_bounds
 
 ACTIVITY_DAYS = 364
@@ -21,6 +22,20 @@ def measured(rows: DataFrame, tz: str) -> DataFrame:
     return rows.select("source", F.col("resolved_model").alias("model"), creator(F.col("provider")).alias("creator"), "agent_key", "occurred_at_ns", local_day("occurred_at_ns", tz).alias("day"), event_total().alias("tokens"))
 
 
+#: What one row of `condensed` adds up.
+CELL = ["source", "model", "creator", "agent_key", "day"]
+
+
+def condensed(m: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
+    """One row for each of CELL, within the window and beyond it, as a written table: all profile frames can be derived from it.
+
+    Measured rows are aggregated once, in a shuffle after partial sums; the rows that come out are about agents times days at most. Tokens
+    of one event are never negative, so cells have tokens exactly if one of their rows has.
+    """
+    inside = F.coalesce(in_window(window), F.lit(False)).alias("inside")
+    return written(m.groupBy(*CELL, inside).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("events"), F.min("occurred_at_ns").alias("occurred_at_ns")))
+
+
 def totals(m: DataFrame, window: tuple[int, int] | None) -> DataFrame:
     """Tokens within the window and of all time; undated rows are in the latter only."""
     return m.agg(F.coalesce(F.sum(F.when(in_window(window), F.col("tokens"))), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_time_tokens"))
@@ -160,11 +175,11 @@ def profile(rows: DataFrame, tz: tzinfo, tz_name: str, now: datetime, window_day
     window = window_bounds(window_days, tz, now)
     end = now.astimezone(tz).date()
     first = end - timedelta(days=window_days - 1)
-    m = measured(rows, tz_name)
-    recent = m.where(in_window(window))
+    m = condensed(measured(rows, tz_name), window)
+    recent = m.where("inside")
     days = daily_tokens(m, end - timedelta(days=ACTIVITY_DAYS - 1), ACTIVITY_DAYS)
     return {
-        "totals": totals(m, window),
+        "totals": m.agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("tokens"))), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_time_tokens")),
         "models": model_totals(recent),
         "harnesses": harness_totals(recent),
         "agent_count": agent_count(recent),

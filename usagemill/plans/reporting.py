@@ -15,14 +15,20 @@ DIMENSIONS = {
 STATS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens"]
 
 
+def _apart(left: DataFrame, right: DataFrame, key: str, of: str) -> DataFrame:
+    """left with the columns of right by an equi-join; rows without a key don't take part, as they would all meet in one task."""
+    joined = left.where(F.col(key).isNotNull()).join(right, F.col(key) == F.col(of), "left")
+    return joined.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def reporting(events: DataFrame, runs: DataFrame, sessions: DataFrame, agent_key: bool = False) -> DataFrame:
-    """Counted events with what their run and session say; both joins are plain equi-joins on natural keys."""
-    e = events.where(counted()).alias("e")
+    """Counted events with what their run and session say; both joins are plain equi-joins on natural keys, null keys kept apart."""
+    e = events.where(counted())
     r = runs.select([F.col(c).alias(f"r_{c}") for c in runs.columns])
     s = sessions.select([F.col(c).alias(f"s_{c}") for c in sessions.columns])
-    joined = e.join(r, F.col("source_run_id") == F.col("r_source_run_id"), "left")
+    joined = _apart(e, r, "source_run_id", "r_source_run_id")
     joined = joined.withColumn("_session", F.coalesce("source_session_id", "r_source_session_id"))
-    joined = joined.join(s, F.col("_session") == F.col("s_source_session_id"), "left")
+    joined = _apart(joined, s, "_session", "s_source_session_id")
     out = {
         "source": "source",
         "granularity": "granularity",
