@@ -66,7 +66,7 @@ def test_window_arguments():
     assert tokens.window_bounds("all", UTC, datetime.now(UTC)) is None
 
 
-CARD = {"schema_version": 1, "currency": "USD", "unit_tokens": 1000000, "provider_aliases": {}, "models": [{"provider": "openai", "model": "gpt", "aliases": ["g"], "prices": [
+CARD = {"schema_version": 1, "currency": "USD", "unit_tokens": 1000000, "provider_aliases": {}, "models": [{"provider": "openai", "model": "gpt", "retrieved_at": "2026-01-01", "aliases": ["g"], "prices": [
     {"effective_from": "2026-01-01T00:00:00Z", "input": 2, "cached_input": 0.2, "cache_write": 3, "cache_write_5m": 4, "cache_write_1h": 5, "output": 10,
      "long_context": {"above_input_tokens": 100, "inclusive": False, "input": 4, "output": 15}, "tier_multipliers": {"fast": 2}, "region_multipliers": {"eu": 1.1}, "time_multipliers": [{"weekdays": [0], "start_hour_utc": 2, "end_hour_utc": 3, "multiplier": 0.5}]}]}]}
 COLUMNS = "source string, granularity string, provider string, resolved_model string, requested_model string, occurred_at_ns long, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, cache_write_5m_tokens long, cache_write_1h_tokens long, reasoning_tokens long, reported_total_tokens long, derived_total_tokens long, total_cost_nanos long, service_tier string, speed string, inference_region string"
@@ -102,13 +102,25 @@ def test_prices(spark, tmp_path):
     assert [got[i] for i in range(len(cases))] == [n for _, n in cases]
 
 
-def test_card_checks_find_problems(spark):
+def test_a_unit_that_does_not_divide_a_billion(spark):
+    card = CARD | {"unit_tokens": 3_000_000}
+    rates = pricing.rate_tables(spark.createDataFrame([(json.dumps(card),)], "value string").selectExpr(f"from_json(value, '{pricing.CARD}') AS card"))
+    df = spark.createDataFrame([(*row(input_tokens=3_000_000, granularity="counter_delta"), 0)], COLUMNS + ", i int")
+    assert abs(pricing.price(df, rates).first().est_nanos - 2_000_000_000) <= 3000  # rates are kept to a millionth of a nanodollar a token
+
+
+def test_card_checks_find_problems(spark, tmp_path):
     bad = json.loads(json.dumps(CARD))
     price = bad["models"][0]["prices"][0]
     bad["models"][0]["prices"] += [price | {"effective_from": "2026-02-01T00:00:00Z"}, {"effective_from": "2025-01-01T00:00:00Z", "effective_until": "2025-01-01T00:00:00Z"}]
     bad["provider_aliases"] = {"openai": ["x"], "other": ["x"]}
+    bad["models"] += [{"provider": "p", "model": "none", "prices": []}, {"provider": "p", "model": "zone", "retrieved_at": "2026-01-01", "prices": [{"effective_from": "2026-01-01T00:00:00", "input": 1}, {"effective_from": "soon", "input": 1}]}]
     rates = pricing.rate_tables(spark.createDataFrame([(json.dumps(bad),)], "value string").selectExpr(f"from_json(value, '{pricing.CARD}') AS card"))
-    assert {r.problem for r in pricing.card_checks(rates).collect()} >= {"provider alias twice", "overlapping periods", "empty period", "no rate"}
+    assert {r.problem for r in pricing.card_checks(rates).collect()} >= {"provider alias twice", "overlapping periods", "empty period", "no rate", "no prices", "date without a zone", "not a time", "no date of retrieval", "undated period"}
+    path = tmp_path / "card.json"
+    path.write_text(json.dumps(bad))
+    with pytest.raises(ValueError, match="not sound"):
+        pricing.load_rate_card(spark, str(path))
 
 
 def test_demo_card_is_sound(spark):

@@ -110,14 +110,14 @@ RATE_CARD = {
     "schema_version": 1, "currency": "USD", "unit_tokens": 1_000_000,
     "provider_aliases": {"openai": ["open-ai"], "anthropic": ["claude"], "google": ["google-generative-ai"]},
     "models": [
-        {"provider": "openai", "model": "economy", "aliases": ["promo"], "prices": [
+        {"provider": "openai", "model": "economy", "retrieved_at": "1998-02-01", "aliases": ["promo"], "prices": [
             {"effective_from": "1990-01-01T00:00:00Z", "effective_until": "1998-01-01T00:00:00Z", "input": 1, "cached_input": 0.1, "cache_write": 1.25, "cache_write_5m": 1.5, "cache_write_1h": 2, "output": 4},
             {"effective_from": "1998-01-01T00:00:00Z", "input": 2, "cached_input": 0.2, "cache_write": 3, "cache_write_5m": 4, "cache_write_1h": 5, "output": 10,
              "long_context": {"above_input_tokens": 2500, "inclusive": False, "input": 4, "cached_input": 0.4, "cache_write": 6, "cache_write_5m": 8, "cache_write_1h": 10, "output": 15},
              "tier_multipliers": {"fast": 2, "priority": 1.5}, "region_multipliers": {"eu": 1.1},
              "time_multipliers": [{"weekdays": [0, 1, 2], "start_hour_utc": 0, "end_hour_utc": 8, "multiplier": 0.5}]}]},
-        {"provider": "anthropic", "model": "economy", "aliases": [], "prices": [{"effective_from": "1990-01-01T00:00:00Z", "input": 3, "cached_input": 0.3, "cache_write": 3.75, "cache_write_5m": 3.75, "output": 15, "tier_multipliers": {"priority": 2}, "region_multipliers": {"eu": 1.25}}]},
-        {"provider": "google", "model": "standard", "aliases": ["brand#2", "medium"], "prices": [{"effective_from": "1996-01-01T00:00:00Z", "effective_until": "2001-01-01T00:00:00Z", "input": 0.5, "output": 2}]},
+        {"provider": "anthropic", "model": "economy", "retrieved_at": "1998-02-01", "aliases": [], "prices": [{"effective_from": "1990-01-01T00:00:00Z", "input": 3, "cached_input": 0.3, "cache_write": 3.75, "cache_write_5m": 3.75, "output": 15, "tier_multipliers": {"priority": 2}, "region_multipliers": {"eu": 1.25}}]},
+        {"provider": "google", "model": "standard", "retrieved_at": "1998-02-01", "aliases": ["brand#2", "medium"], "prices": [{"effective_from": "1996-01-01T00:00:00Z", "effective_until": "2001-01-01T00:00:00Z", "input": 0.5, "output": 2}]},
     ],
 }
 

@@ -7,10 +7,12 @@ to be under MAX_CARD_ROWS before they are broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from usagemill.functions.tables import written
 from usagemill.functions.tokens import NANOS, event_total, in_window
@@ -42,6 +44,8 @@ class RateTables:
     periods: DataFrame
     spans: DataFrame
     unit_tokens: int
+    #: (problem, what) of what the tables don't show.
+    problems: DataFrame
 
 
 def _key(c: Column) -> Column:
@@ -49,29 +53,50 @@ def _key(c: Column) -> Column:
 
 
 def load_rate_card(spark: SparkSession, path: str) -> RateTables:
-    """The tables of a rate card file. G10's checks are `card_checks`."""
-    return rate_tables(spark.read.text(path, wholetext=True).select(F.from_json("value", CARD).alias("card")))
+    """The tables of a rate card file; raises if a check finds a problem."""
+    rates = rate_tables(spark.read.text(path, wholetext=True).select(F.from_json("value", CARD).alias("card")))
+    if problems := [f"{r.problem}: {r.what}" for r in card_checks(rates).limit(20).collect()]:
+        raise ValueError(f"the rate card is not sound: {'; '.join(problems)}")
+    return rates
+
+
+def _micros(text: str | None) -> int | None:
+    """Microseconds of an ISO time; null for anything else. A time without a zone counts as UTC (and is a problem of the card)."""
+    try:
+        at = datetime.fromisoformat(text)
+    except (TypeError, ValueError):
+        return None
+    at = at if at.tzinfo else at.replace(tzinfo=UTC)
+    return (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
 
 
 def rate_tables(card: DataFrame) -> RateTables:
-    """The tables of a one-row DataFrame with the column card."""
-    first = card.select("card.unit_tokens", "card.schema_version", "card.currency").first()
-    if first is None or first["schema_version"] != 1 or first["currency"] != "USD" or not first["unit_tokens"] or first["unit_tokens"] <= 0:
+    """The tables of a one-row DataFrame with the column card. A card is a file that people write, so it is read at the driver, in one job."""
+    spark, first = card.sparkSession, card.select("card").first()
+    own = first["card"] if first is not None else None
+    if own is None or own["schema_version"] != 1 or own["currency"] != "USD" or not own["unit_tokens"] or own["unit_tokens"] <= 0:
         raise ValueError("not a rate card: schema_version 1, currency USD and unit_tokens over 0 are needed")
-    named = card.select(F.explode("card.provider_aliases").alias("provider", "aliases"))
-    aliases = named.select(F.explode(F.array_union(F.array("provider"), F.coalesce("aliases", F.array()))).alias("alias"), "provider").select(_key(F.col("alias")).alias("alias"), _key(F.col("provider")).alias("provider"))
-    m = card.select(F.explode("card.models").alias("m")).select(_key(F.col("m.provider")).alias("provider"), _key(F.col("m.model")).alias("model"), "m.aliases", "m.prices")
-    m = m.withColumn("model_id", F.concat_ws("/", "provider", "model"))
-    models = m.select("provider", "model_id", F.explode(F.array_union(F.array("model"), F.coalesce("aliases", F.array()))).alias("alias")).select("provider", "model_id", _key(F.col("alias")).alias("alias"))
-    periods = m.select("model_id", F.posexplode("prices").alias("n", "price")).select("model_id", "n", F.unix_micros(F.to_timestamp("price.effective_from")).alias("from_us"), F.unix_micros(F.to_timestamp("price.effective_until")).alias("until_us"), "price")
-    small = []
-    for t in (aliases, models, periods):
-        rows = t.limit(MAX_CARD_ROWS + 1).collect()
-        if len(rows) > MAX_CARD_ROWS:
-            raise ValueError(f"a rate card has at most {MAX_CARD_ROWS} rows a table")
-        small.append(card.sparkSession.createDataFrame(rows, t.schema))
-    spans = card.sparkSession.createDataFrame(_spans(rows), periods.select("model_id", "from_us", "until_us", "price").schema)
-    return RateTables(*small, spans, first["unit_tokens"])
+    key = lambda x: x.strip(" ").lower()
+    aliases = [(key(x), key(provider)) for provider, more in (own["provider_aliases"] or {}).items() for x in dict.fromkeys([provider, *(more or [])])]
+    models, periods, problems = [], [], []
+    for m in own["models"] or []:
+        provider, model = key(m["provider"]), key(m["model"])
+        name = f"{provider}/{model}"
+        models += [(provider, key(x), name) for x in dict.fromkeys([model, *(m["aliases"] or [])])]
+        periods += [(name, n, _micros(p["effective_from"]), _micros(p["effective_until"]), p) for n, p in enumerate(m["prices"] or [])]
+        dates = [p[c] for p in m["prices"] or [] for c in ("effective_from", "effective_until") if p[c] is not None]
+        problems += [("no prices", name)] * (not m["prices"]) + [("date without a zone", name)] * any(_micros(d) is not None and not datetime.fromisoformat(d).tzinfo for d in dates)
+        problems += [("not a time", name)] * any(_micros(d) is None for d in dates) + [("no date of retrieval", name)] * (_micros(m["retrieved_at"]) is None)
+    if max(len(aliases), len(models), len(periods)) > MAX_CARD_ROWS:
+        raise ValueError(f"a rate card has at most {MAX_CARD_ROWS} rows a table")
+    price_type = card.schema["card"].dataType["models"].dataType.elementType["prices"].dataType.elementType
+    span = StructType([StructField("model_id", StringType()), StructField("from_us", LongType()), StructField("until_us", LongType()), StructField("price", price_type)])
+    period = StructType([span["model_id"], StructField("n", IntegerType()), span["from_us"], span["until_us"], span["price"]])
+    rows = [dict(zip(("model_id", "n", "from_us", "until_us", "price"), p, strict=True)) for p in periods]
+    return RateTables(
+        spark.createDataFrame(aliases, "alias string, provider string"), spark.createDataFrame(models, "provider string, alias string, model_id string"), spark.createDataFrame(periods, period),
+        spark.createDataFrame(_spans(rows), span), own["unit_tokens"], spark.createDataFrame(problems, "problem string, what string"),
+    )
 
 
 def _spans(periods: list) -> list[tuple]:
@@ -101,7 +126,7 @@ def card_checks(rates: RateTables) -> DataFrame:
     clash = rules.where(F.exists("all", lambda x: (x != F.col("r")) & F.arrays_overlap(x.weekdays, F.col("r.weekdays")) & (x.start_hour_utc < F.col("r.end_hour_utc")) & (F.col("r.start_hour_utc") < x.end_hour_utc)))
     clashing = clash.select(F.lit("overlapping time rules").alias("problem"), F.col("model_id").alias("what")).distinct()
     out = twice(rates.provider_aliases.select("alias"), ["alias"], "provider alias twice")
-    for more in (twice(rates.models, ["provider", "alias"], "model alias twice"), overlap, empty, undated, no_rate, clashing):
+    for more in (rates.problems, twice(rates.models, ["provider", "alias"], "model alias twice"), overlap, empty, undated, no_rate, clashing):
         out = out.unionByName(more)
     return out
 
