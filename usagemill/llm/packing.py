@@ -41,7 +41,7 @@ SUBSLOTS, TAILS = 8, 256
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Pre-tokens that a task remembers, and their greatest length.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 60
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 60
 
 #: Letters and numbers of the plain characters: ASCII, Latin-1 and Latin Extended A without the dotted capital I.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
@@ -270,7 +270,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def placed(encoded: DataFrame, dtype: str, counts: np.ndarray, idf: np.ndarray, mean_length: float, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, unnamed, ids, slot, content, shard) of a written table (doc_id, ids), which is read twice rather than written with its slots."""
+    """(doc_id, unnamed, ids, slot, content, shard) of a written table (doc_id, ids)."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -285,7 +285,7 @@ def placed(encoded: DataFrame, dtype: str, counts: np.ndarray, idf: np.ndarray,
             yield batch.assign(n=[len(x) // np.dtype(dtype).itemsize for x in batch["ids"]], slot=slots, content=contents)
 
     named = F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed")  # pandas would make a long with nulls a float
-    rows = encoded.select(*named, "ids").mapInPandas(place, "doc_id long, unnamed boolean, ids binary, n long, slot long, content long")
+    rows = written(encoded.select(*named, "ids").mapInPandas(place, "doc_id long, unnamed boolean, ids binary, n long, slot long, content long"))
     sums = rows.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     size = np.zeros(len(idf) * SUBSLOTS, np.int64)
     size[sums["slot"]] = sums["n"]
