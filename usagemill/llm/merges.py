@@ -14,6 +14,7 @@ import numpy as np
 
 CHUNK = 64
 _NONE = np.iinfo(np.int64).max
+_ABSENT = -2
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,20 +25,40 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Merger:
-    """Merge rules as arrays: the key left * width + right of each pair, sorted, with its rank and the symbol that it becomes."""
+    """Merge rules as arrays: the key left * width + right of each pair, found by its hash, with its rank and the symbol that it becomes."""
 
     def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]], width: int) -> None:
         keys = np.array([a * width + b for a, b in pairs], np.int64)
         order = np.argsort(keys)
-        self.width, self.keys = width, keys[order]
-        self.rank, self.merged = np.array(list(pairs.values()), np.int64).reshape(-1, 2)[order].T.copy()
+        # a last entry that no key equals
+        self.width, self.keys = width, np.append(keys[order], _ABSENT)
+        rank, merged = np.array(list(pairs.values()), np.int64).reshape(-1, 2)[order].T
+        self.rank, self.merged = np.append(rank, _NONE), np.append(merged, -1)
+        # places of the keys by their hash, the next free one if it is taken
+        bits = max(len(keys), 1).bit_length() + 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.place = np.full(1 << bits, len(keys))
+        left, slot = np.arange(len(keys)), self._slot(self.keys[:-1])
+        while len(left):
+            free = self.place[slot] == len(keys)
+            self.place[slot[free]] = left[free]
+            left, slot = (x[self.place[slot] != left] for x in (left, slot))
+            slot = (slot + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; _NONE for pairs that don't merge."""
         key = np.where((left >= 0) & (right >= 0), left * self.width + right, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.rank[at], _NONE), np.where(hit, self.merged[at], -1)
+        slot = self._slot(key)
+        at, none = self.place[slot], len(self.keys) - 1
+        other = np.flatnonzero((self.keys[at] != key) & (at != none))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            at[other] = self.place[slot[other]]
+            other = other[(self.keys[at[other]] != key[other]) & (at[other] != none)]
+        return self.rank[at], self.merged[at]
 
     def merge(self, symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols after all merges, with the place of their first character."""

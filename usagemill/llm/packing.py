@@ -41,7 +41,7 @@ SUBSLOTS, TAILS = 8, 256
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Pre-tokens that a task remembers, and their greatest length.
-REMEMBERED, REMEMBERED_LENGTH = 250_000, 60
+REMEMBERED, REMEMBERED_LENGTH = 350_000, 60
 
 #: Letters and numbers of the plain characters: ASCII, Latin-1 and Latin Extended A without the dotted capital I.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
@@ -101,10 +101,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = [None if not _PLAIN.fullmatch(t) or self.special.search(t) else _PRE_TOKENS.findall(t.lower()) for t in texts]
         whole = iter(self._bytes([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        parts = set().union(*[c for c in cut if c is not None])
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known = {w: self.known[w] for w in parts & self.known.keys()}
         known = self.known
-        if new := list({w for c in cut if c is not None for w in c if w not in known}):
+        if new := list(parts.difference(known)):
             known |= zip(new, self._new(new), strict=True)
         out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
         for w in new:
@@ -279,8 +280,11 @@ def placed(encoded: DataFrame, dtype: str, counts: np.ndarray, idf: np.ndarray,
                 own = np.frombuffer(ids, dtype)
                 found, n = np.unique(own, return_counts=True)
                 weight = n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / max(mean_length, 1))) * idf[found] * (counts[found] > 1)
-                best = found[np.argsort(-weight, kind="stable")[:2]]
-                slots.append(int(best[0]) * SUBSLOTS + int(best[-1]) * 0x9E3779B1 % (1 << 32) % SUBSLOTS)
+                first = second = int(weight.argmax())
+                if len(weight) > 1:
+                    weight[first] = -1
+                    second = int(weight.argmax())
+                slots.append(int(found[first]) * SUBSLOTS + int(found[second]) * 0x9E3779B1 % (1 << 32) % SUBSLOTS)
                 contents.append(zlib.crc32(ids))
             yield batch.assign(n=[len(x) // np.dtype(dtype).itemsize for x in batch["ids"]], slot=slots, content=contents)
 
