@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagemill.functions.tables import new_path, removed
 from usagemill.llm.common import table, written
 from usagemill.llm.merges import Merger
 
@@ -271,7 +272,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def placed(encoded: DataFrame, dtype: str, counts: np.ndarray, idf: np.ndarray, mean_length: float, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, unnamed, ids, slot, content, shard) of a written table (doc_id, ids)."""
+    """(doc_id, unnamed, ids, slot, content, shard) of a written table (doc_id, ids), from a table of its own."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -312,10 +313,8 @@ def _frame(rows: list[tuple], shard: int | None, left: list[tuple], dtype: str)
     return frame.astype(dict.fromkeys(names, "Int64"))
 
 
-def packed(encoded: DataFrame, dtype: str, vocabulary: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """PIECES of a written table (doc_id, ids)."""
-    counts, rows, mean_length = frequencies(encoded, dtype, vocabulary)
-    idf = np.log1p((rows - counts + 0.5) / (counts + 0.5)).astype(np.float32)
+def packed(shards: DataFrame, dtype: str, idf: np.ndarray, mean_length: float) -> DataFrame:
+    """PIECES of what `placed` gives."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, ids, names_of = -1, [], []
@@ -351,8 +350,8 @@ def packed(encoded: DataFrame, dtype: str, vocabulary: int, shard_tokens: int =
             yield _frame(list(packer.finish()), None, [], dtype).drop(columns="ids")
 
     order = ["shard", "slot", "content", "unnamed", "doc_id"]
-    shards = placed(encoded, dtype, counts, idf, mean_length, shard_tokens).repartition("shard").sortWithinPartitions(*order)
-    first = written(shards.mapInPandas(pack, PIECES + ", ids binary"))
+    dealt = shards.repartition("shard").sortWithinPartitions(*order)
+    first = written(dealt.mapInPandas(pack, PIECES + ", ids binary"))
     named = F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed")
     ends = first.where("ids IS NOT NULL").select(*named, "ids", "start", "doc_tokens", "sequence_id", "offset", F.floor(F.col("sequence_id") / TAILS).alias("group"))
     last = ends.repartition("group").sortWithinPartitions("group", "sequence_id", "offset").mapInPandas(pack_ends, PIECES)
@@ -361,9 +360,14 @@ def packed(encoded: DataFrame, dtype: str, vocabulary: int, shard_tokens: int =
 
 def pack_documents(docs: DataFrame, path: str, closing: int = CLOSING, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The pieces (PIECES) of docs (doc_id, text) in windows of WINDOW ids."""
-    own = encoder(path)
-    encoded = written(tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, closing))
-    return packed(encoded, own.dtype, own.library.get_vocab_size(), shard_tokens)
+    own, spark = encoder(path), docs.sparkSession
+    dtype, texts = own.dtype, new_path(spark)
+    encoded = written(tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, closing), texts)
+    counts, rows, mean_length = frequencies(encoded, dtype, own.library.get_vocab_size())
+    idf = np.log1p((rows - counts + 0.5) / (counts + 0.5)).astype(np.float32)
+    shards = placed(encoded, dtype, counts, idf, mean_length, shard_tokens)
+    removed(spark, texts)  # its ids are in the table of placed documents
+    return packed(shards, dtype, idf, mean_length)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
