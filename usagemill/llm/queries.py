@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagemill.llm import cotrain, langid, packing, piece_codec, pii, quality_rules, secrets, simhash, topk, url_filter
+from usagemill.llm import byte_codec, cotrain, langid, packing, piece_codec, pii, quality_rules, secrets, simhash, topk, url_filter
 from usagemill.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,4 +18,5 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
+    "op11_byte_codec": byte_codec.op11_byte_codec,
 }
