@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from usagemill.llm import quality_rules, secrets, topk
+from usagemill.llm import hard_negatives, quality_rules, secrets, topk
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -100,4 +100,4 @@ base AS (SELECT c.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_broken = 0 AS kept FROM base"""
 
 
-ORACLES = {"op1_secret_scans": _secrets(), "op3_quality_rules": _rules(), "op10_topk": topk.ORACLE_SQL}
+ORACLES = {"op1_secret_scans": _secrets(), "op3_quality_rules": _rules(), "op10_topk": topk.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}

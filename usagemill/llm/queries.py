@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagemill.llm import byte_codec, cotrain, langid, packing, piece_codec, pii, quality_rules, secrets, simhash, topk, url_filter
+from usagemill.llm import byte_codec, cotrain, hard_negatives, langid, packing, piece_codec, pii, quality_rules, secrets, simhash, topk, url_filter, whitening
 from usagemill.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -19,4 +19,6 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_topk": topk.op10_topk,
     "op11_byte_codec": byte_codec.op11_byte_codec,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_whitening": whitening.op13_whitening,
 }
