@@ -34,6 +34,37 @@ def test_roots_depths_and_cycles(spark):
     assert seen["p"] == "p" and seen["q"] == "q" and seen["t"] == "p"
 
 
+def walked(parents, node, stop_before_seen):
+    """The walk from a node, hop by hop: (root, hops)."""
+    at, seen = node, [node]
+    while (up := parents.get(at)) is not None and up != at:
+        if up in seen:
+            return (at, len(seen) - 1) if stop_before_seen else (up, len(seen))
+        at = up
+        seen.append(at)
+    return at, len(seen) - 1
+
+
+@pytest.mark.parametrize("stop_before_seen", [True, False])
+def test_roots_equal_walks(spark, stop_before_seen):
+    import random
+
+    rng = random.Random(4)
+    parents = {f"n{i}": f"n{rng.randrange(60)}" for i in range(60)} | {f"m{i}": f"m{max(i - rng.randint(1, 3), 0)}" for i in range(40)} | {f"r{i}": f"r{(i + 1) % 16}" for i in range(16)} | {"m0": None, "in": "r3", "x": "gone", "self": "self"}
+    nodes = spark.createDataFrame(list(parents.items()), "node string, parent string")
+    got = {r.node: (r.root, r.depth) for r in lineage.roots(nodes, stop_before_seen=stop_before_seen).collect()}
+    assert got == {n: walked(parents, n, stop_before_seen) for n in parents}
+
+
+def test_a_long_cycle_takes_few_rounds(spark, monkeypatch):
+    tables, real = [], lineage.written
+    monkeypatch.setattr(lineage, "written", lambda df: tables.append(1) or real(df))
+    n = 3000
+    ring = spark.range(n).select("id", ((F.col("id") + 1) % n).alias("up"))
+    got = lineage.roots(ring, "id", "up").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("a"), F.max("depth").alias("b"), F.sum((F.col("root") == (F.col("node") + n - 1) % n).cast("int")).alias("right")).first()
+    assert tuple(got) == (n, n - 1, n - 1, n) and len(tables) < 40
+
+
 def test_dominance_is_a_fold(spark):
     rows = spark.createDataFrame([("k", 1, 6, 1, 5), ("k", 2, 6, 2, 4), ("k", 3, 8, 2, 6)], "k string, seq int, total long, a long, b long")
     (row,) = reconcile.dominance_fold(rows, ["k"], ["seq"], "total", ["a", "b"]).collect()
@@ -127,11 +158,40 @@ def test_demo_card_is_sound(spark):
     assert pricing.card_checks(demo.rate_card(spark)).count() == 0
 
 
-def test_safety_checks(spark):
-    df = spark.createDataFrame([(1, "/home/me/x", ("a",)), (2, "fine", ("/Users/x",)), (3, "fine", ("b",))], "n int, note string, inner struct<Run_Id: string>")
-    assert safety.forbidden_keys(df) == ["inner.Run_Id"]
-    assert sorted(r.n for r in safety.private_strings(df).collect()) == [1, 2]
-    same, broken = safety.contract(df.select("n"), df.select("n").schema, {"small": F.col("n") < 3})
+PRIVATE = ["/opt/app/x", "see ..\\a", "a/../b", "D:notes", "/etc/passwd", "/home/a/b", "~/x", "FILE:x", "..", "\\\\host\\share"]
+PUBLIC = ["fine", "a..b", "https://x.org/a", "12:30", "a/b", "", "~x", None]
+
+
+def test_private_strings_at_any_depth(spark):
+    rows = [(i, v, [(v,)], {"k": v}) for i, v in enumerate(PRIVATE + PUBLIC)]
+    schema = "n int, note string, inner array<struct<deep: string>>, named map<string, string>"
+    df = spark.createDataFrame(rows, schema)
+    for columns in (["n", "note"], ["n", "inner"], ["n", "named"]):
+        assert sorted(r.n for r in safety.private_strings(df.select(*columns)).collect()) == list(range(len(PRIVATE)))
+    assert safety.private_strings(df.select(F.col("note").alias("url"))).count() == 0
+    assert safety.forbidden_keys(spark.createDataFrame([(1, 2, (3,))], "n int, session_count int, inner struct<File_Path: int>")) == ["session_count", "inner.File_Path"]
+
+
+def test_payloads_are_published_only_if_clean(spark, tmp_path):
+    of = lambda *x: spark.createDataFrame([(json.dumps(v) if not isinstance(v, str) else v,) for v in x], "value string")
+    bad = {"a": [{"b": {"Session_Id": 1}}, ["x", ["/etc/passwd"]]], "url": "/fine", "c": {"canonical_url": "~/fine", "d": None}}
+    assert sorted(map(tuple, safety.payload_problems(of(bad, "{")).collect())) == [("", "no JSON"), (".a[].b.Session_Id", "forbidden key"), (".a[][][]", "private string")]
+    target = str(tmp_path / "out")
+    safety.publish(of({"a": 1}), target, "a int")
+    for wrong in (bad, {"a": 1, "more": 2}, {"a": "text"}):
+        with pytest.raises(ValueError):
+            safety.publish(of(wrong), target, "a int")
+    assert [r.value for r in spark.read.text(target).collect()] == ['{"a": 1}'] and len(list(tmp_path.iterdir())) == 1
+    safety.publish(of({"a": 2}), target, "a int")
+    assert [r.value for r in spark.read.text(target).collect()] == ['{"a": 2}']
+
+
+def test_scrub_and_contract(spark):
+    df = spark.createDataFrame([(1,), (3,)], "n int")
+    same, broken = safety.contract(df, df.schema, {"small": F.col("n") < 3})
     assert same and [r.n for r in broken.collect()] == [3]
-    (one,) = spark.range(1).select(safety.scrubbed(F.parse_json(F.lit('{"a": 1, "b": "secret", "c": true, "d": 1.5}'))).alias("m")).collect()
-    assert set(one.m) == {"a", "c", "d"}
+    usage = ['{"a": 1, "b": "secret", "c": true, "in": {"d": 1.5, "list": [1, {"x": 2}], "reasoning": 7}}', '{"a": {"b": {"Raw_Cwd": 1, "reasoning": "text", "z": 2}}}', "[]"]
+    rows = spark.createDataFrame(list(enumerate(usage)), "n int, u string").select("n", F.parse_json("u").alias("u"))
+    leaves, rejected = safety.scrubbed(rows, ["n"], "u")
+    assert sorted(map(tuple, leaves.collect())) == [(0, ".a", "1"), (0, ".c", "true"), (0, ".in.d", "1.5"), (0, ".in.reasoning", "7"), (1, ".a.b.z", "2")]
+    assert sorted(map(tuple, rejected.collect())) == [(1, ".a.b.Raw_Cwd"), (1, ".a.b.reasoning")]

@@ -11,7 +11,7 @@ from usagemill.queries import ORACLES, QUERIES
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "lineitem part orders events conversations"
 #: Whole syncs of all logs, which take long here; tests/test_sync.py has small ones.
-SYNCS = {"d26_claude_rebuild", "d26_pi_rebuild", "d26_opencode_rebuild", "d26_codex_rebuild", "i2_retained_history"}
+SYNCS = {"a13_ledger_reports", "i5_stream_sync", "d23_lasting_merges", "d24_issue_validity", "d26_claude_rebuild", "d26_pi_rebuild", "d26_opencode_rebuild", "d26_codex_rebuild", "i2_retained_history"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_sources import assistant, count, meta, opencode_tables, pi_log, write
 
 from usagemill import sync
-from usagemill.ledger import Batch, Ledger
+from usagemill.ledger import Batch, Conflict, Ledger
 from usagemill.sources import codex
 
 
@@ -75,7 +75,7 @@ def test_all_sources_sync_into_one_ledger(spark, tmp_path):
     assert counted(ledger, "claude") == {"claude:m1": (2, 9)} and set(counted(ledger, "pi")) == {"pi:root:k1:assistant"}
     assert sync.events(ledger, "pi").first().original_decimal == "0.5"
     (issue,) = ledger.read("claude/issues").collect()
-    assert (issue.category, issue.severity, issue.value_type, issue.field_path) == ("invalid_usage", "error", "OBJECT", "2") and issue.identifier.endswith(":generation:0:ordinal:2")
+    assert (issue.category, issue.severity, issue.value_type, issue.field_path, issue.opened, issue.resolved) == ("invalid_usage", "error", "OBJECT", "2", 1, None) and issue.identifier.endswith(":generation:0:ordinal:2")
     # a parent that arrives later has a parent of its own: the child's events move to the new root
     write(tmp_path / "pi", "root.jsonl", [{"type": "session", "id": "root", "parentSession": "top", "timestamp": "2026-01-01T00:00:00Z"}])
     sync.sync(spark, ledger, "pi", [str(tmp_path / "pi")])
@@ -99,11 +99,11 @@ def test_ledger_carries_over_by_name_and_has_one_writer(spark, tmp_path):
         with pytest.raises(Exception):
             ledger.commit(broken)
     assert ledger.version() == 2 and ledger.read("rows").count() == 3
-    (tmp_path / "ledger" / "_commits" / "0000000003.json").write_text("{}")  # another writer
-    late = Ledger(spark, ledger.path)
-    object.__setattr__(late, "version", lambda: 2)
-    with pytest.raises(Exception):
-        late.commit(Batch(replace={"x": rows}))
+    # another writer that has replaced what a commit from version 2 replaces
+    ledger.commit(Batch(replace={"other": more}))
+    with pytest.raises(Conflict):
+        ledger.commit(Batch(replace={"other": rows}), base=2)
+    assert ledger.commit(Batch(replace={"x": rows}), base=2) == 4 and ledger.read("other").count() == 2 and ledger.read("x").count() == 2
 
 
 def test_an_owners_sequence_restarts_where_the_owner_changes(spark, tmp_path):

@@ -1,7 +1,8 @@
 """Roots and depths of parent forests, by pointer doubling over written tables.
 
-Each round doubles how far every row looks, so a chain of n parents takes about log2 n rounds of two joins. Nodes on a cycle, or that lead
-into one, never settle; a bounded walk from each of them, hop by hop with the nodes seen so far, gives the source's own rule.
+Each round doubles how far every row looks, so a chain of n parents takes about log2 n rounds of a join. Nodes on a cycle, or that lead into
+one, never settle, but end up looking at a node of the cycle. Cycles get their least node and length by doubling again, and what leads into
+them becomes a forest whose roots are the nodes of cycles, so a cycle of n nodes takes log2 n rounds as well.
 """
 
 from __future__ import annotations
@@ -32,18 +33,24 @@ def roots(nodes: DataFrame, node: str = "node", parent: str = "parent", stop_bef
 
 
 def _settled(state: DataFrame, own: DataFrame, stop_before_seen: bool) -> DataFrame:
-    """Nodes whose chain ended keep its end as root; those on a cycle, or that lead into one, are walked."""
+    """Nodes whose chain ended keep its end as root; those on a cycle, or that lead into one, get the node where their walk meets one that it has seen, or the one before."""
     parents = written(own.groupBy("node").agg(F.min("to").alias("up")))
     ends = state.join(parents.select(F.col("node").alias("to"), F.col("up").alias("beyond")), "to", "left")
     settled = F.col("beyond").isNull() | (F.col("beyond") == F.col("to"))
     done = written(ends.where(settled).select("node", F.col("to").alias("root"), "depth"))
-    walk = written(ends.where(~settled).select("node", F.col("node").alias("at"), F.array("node").alias("seen")))
-    out = done
-    while walk.limit(1).count():
-        step = walk.join(parents.withColumnRenamed("node", "at"), "at", "left")
-        again = F.array_contains("seen", F.col("up"))
-        end = F.col("at") if stop_before_seen else F.col("up")
-        hops = F.size("seen").cast("long") - (1 if stop_before_seen else 0)
-        out = out.unionByName(step.where(again | F.col("up").isNull()).select("node", F.when(F.col("up").isNull(), F.col("at")).otherwise(end).alias("root"), hops.alias("depth")))
-        walk = written(step.where(~again & F.col("up").isNotNull()).select("node", F.col("up").alias("at"), F.concat("seen", F.array("up")).alias("seen")))
-    return out
+    lost = written(ends.where(~settled).select("node", "to"))
+    if not lost.limit(1).count():
+        return done
+    ring = written(parents.join(lost.select(F.col("to").alias("node")).distinct(), "node", "left_semi"))  # all nodes of cycles
+    around = written(ring.select("node", F.col("up").alias("to"), F.least("node", "up").alias("least")))
+    steps, nodes = 1, ring.count()
+    while steps < nodes:
+        far = around.select(F.col("node").alias("to"), F.col("to").alias("up"), F.col("least").alias("other"))
+        around, steps = written(around.join(far, "to").select("node", F.col("up").alias("to"), F.least("least", "other").alias("least"))), 2 * steps
+    length = around.groupBy("least").agg(F.count(F.lit(1)).alias("length"))
+    before = ring.select(F.col("up").alias("entry"), F.col("node").alias("last"))
+    cycles = written(around.select(F.col("node").alias("entry"), "least").join(length, "least").join(before, "entry").select("entry", "length", "last"))
+    inward = lost.select("node").join(parents, "node").join(ring.select("node"), "node", "left_anti").unionByName(ring.select("node", F.lit(None).cast(ring.schema["up"].dataType).alias("up")))
+    entered = roots(inward, "node", "up").select("node", F.col("root").alias("entry"), "depth").join(cycles, "entry")
+    last, hops = (F.col("last"), F.col("length") - 1) if stop_before_seen else (F.col("entry"), F.col("length"))
+    return done.unionByName(entered.select("node", last.alias("root"), (F.col("depth") + hops).alias("depth")))

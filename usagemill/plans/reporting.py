@@ -15,20 +15,21 @@ DIMENSIONS = {
 STATS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens"]
 
 
-def _apart(left: DataFrame, right: DataFrame, key: str, of: str) -> DataFrame:
-    """left with the columns of right by an equi-join; rows without a key don't take part, as they would all meet in one task."""
-    joined = left.where(F.col(key).isNotNull()).join(right, F.col(key) == F.col(of), "left")
-    return joined.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+def _looked_up(left: DataFrame, right: DataFrame, key: str, of: str) -> DataFrame:
+    """left with the columns of right by one equi-join, within the source if right has one. Rows without a key get one that nothing has, dealt over all tasks."""
+    salt = F.concat(F.lit("\0"), F.xxhash64("source", "model", "started_at_ns", "completed_at_ns", "input_tokens", "output_tokens").cast("string"))
+    same = F.coalesce(F.col(key), salt) == F.col(of)
+    source = of.split("_")[0] + "_source"
+    return left.join(right, same & (F.col("source") == F.col(source)) if source in right.columns else same, "left")
 
 
 def reporting(events: DataFrame, runs: DataFrame, sessions: DataFrame, agent_key: bool = False) -> DataFrame:
-    """Counted events with what their run and session say; both joins are plain equi-joins on natural keys, null keys kept apart."""
+    """Counted events with what their run and session say; both joins are equi-joins on natural keys (with the source, if runs and sessions have one)."""
     e = events.where(counted())
     r = runs.select([F.col(c).alias(f"r_{c}") for c in runs.columns])
     s = sessions.select([F.col(c).alias(f"s_{c}") for c in sessions.columns])
-    joined = _apart(e, r, "source_run_id", "r_source_run_id")
-    joined = joined.withColumn("_session", F.coalesce("source_session_id", "r_source_session_id"))
-    joined = _apart(joined, s, "_session", "s_source_session_id")
+    joined = _looked_up(e, r, "source_run_id", "r_source_run_id").withColumn("_session", F.coalesce("source_session_id", "r_source_session_id"))
+    joined = _looked_up(joined, s, "_session", "s_source_session_id")
     out = {
         "source": "source",
         "granularity": "granularity",

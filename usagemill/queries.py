@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagemill import demo, sync
-from usagemill.functions import safety, tokens
+from usagemill.functions import tokens
 from usagemill.functions.models import creator, family
 from usagemill.functions.tables import new_path, removed, written
 from usagemill.ledger import Ledger, dangling, merge_events
@@ -608,7 +608,7 @@ def d26_opencode_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     sync.sync(spark, ledger, "opencode", demo.opencode_tables(spark, sf_dir))
     sync.rebuild(spark, ledger, ["opencode"])
     found = sync.events(ledger, "opencode").where("status = 'canonical'")
-    return found.groupBy(F.col("session_id").cast("long").alias("customer")).agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"))
+    return found.groupBy(F.col("source_session_id").cast("long").alias("customer")).agg(F.count(F.lit(1)).alias("events"), F.sum("input_tokens").alias("input_tokens"))
 
 
 @query("b31_quarantine", demo.ctes("snapshot") + " SELECT CAST(message AS VARCHAR) AS file, seq AS ordinal, 'invalid_usage' AS category, 'claude' AS source, 'error' AS severity, message || ':' || seq AS identifier, CAST(seq AS VARCHAR) AS field_path, 'OBJECT' AS value_type FROM v_snapshot WHERE seq % 5 = 4")
@@ -665,13 +665,6 @@ def f5_streak_award_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.islands(measured_of(spark, sf_dir)).where("place >= 14").agg(F.min("day").alias("day"))
 
 
-@query("k2_private_strings", "SELECT CAST(0 AS BIGINT) AS rows")
-def k2_private_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = reporting.export_payload(rows_of(spark, sf_dir), ZONE, NOW.isoformat())
-    assert not safety.forbidden_keys(payload)
-    return safety.private_strings(payload).agg(F.count(F.lit(1)).alias("rows"))
-
-
 # ---- evidence ------------------------------------------------------------------------------------------------------------
 
 
@@ -724,3 +717,6 @@ def d16_subagent_run_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = runs.join(parents, "source_session_id", "left").select(F.col("source_run_id").alias("run_key"), F.col("source_session_id").alias("session_id"), "root", none.alias("role"), "model", none.alias("provider"), none.alias("effort"), none.alias("status"), "started_at_ns", "completed_at_ns")
     old = snapshots.where("session_id LIKE '%7'").select("run_key", F.lit("old").alias("session"), "role", F.lit("old-model").alias("model"), "provider", "effort", "status", "started_at_ns", "completed_at_ns")
     return evidence.subagent_runs(snapshots, sessions, old).select("run_key", "session", "model")
+
+
+from usagemill import ledger_queries  # noqa: E402, F401  registers its queries

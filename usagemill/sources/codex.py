@@ -56,13 +56,28 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
     return {"observations": observations, "sessions": named, "runs": named.select("source", "source_session_id", F.col("source_session_id").alias("source_run_id"), F.lit("session").alias("role"), "model", "started_at_ns"), "issues": found}
 
 
+def _numbered(observations: DataFrame, artifact: str) -> DataFrame:
+    """Observations with what each adds and how often its fingerprint came back."""
+    fields = list(FIELDS)
+    deltas = reconcile.counter_delta(observations, fields, "owner", artifact)
+    return reconcile.repeat_occurrence(deltas, fields, "fingerprint", "owner", artifact)
+
+
+def _event_key() -> Column:
+    return F.concat(F.lit("codex:"), "fingerprint", F.when(F.col("occurrence") > 0, F.concat(F.lit(":repeat:"), F.col("occurrence").cast("string"))).otherwise(""))
+
+
+def links(observations: DataFrame, artifact: str = "file") -> DataFrame:
+    """Which observation stands for which event."""
+    return _numbered(observations, artifact).select(F.col("owner").alias("evidence_key"), "observation_key", _event_key().alias("event_key"), F.lit("usage_fingerprint").alias("method"))
+
+
 def events(observations: DataFrame, artifact: str = "file") -> DataFrame:
     """One counted event for each fingerprint and repeat, over all copies of a log."""
     fields = list(FIELDS)
-    deltas = reconcile.counter_delta(observations, fields, "owner", artifact)
-    counted = reconcile.counter_events(reconcile.repeat_occurrence(deltas, fields, "fingerprint", "owner", artifact), fields, "fingerprint", "owner", artifact)
+    counted = reconcile.counter_events(_numbered(observations, artifact), fields, "fingerprint", "owner", artifact)
     first = observations.groupBy("owner", "fingerprint").agg(F.min("observed_at_ns").alias("completed_at_ns"))
-    key = F.concat(F.lit("codex:"), "fingerprint", F.when(F.col("occurrence") > 0, F.concat(F.lit(":repeat:"), F.col("occurrence").cast("string"))).otherwise(""))
+    key = _event_key()
     return counted.join(first, ["owner", "fingerprint"]).select(F.lit("codex").alias("source"), key.alias("event_key"), F.lit("counter_delta").alias("granularity"), "status", *fields, F.nullif("completed_at_ns", F.lit(0).cast("long")).alias("completed_at_ns"), F.col("owner").alias("source_session_id"), "conflict", F.col("owner").alias("evidence_key"))
 
 

@@ -102,27 +102,53 @@ def lineage_roots(sessions: DataFrame) -> DataFrame:
     return lineage.roots(nodes, stop_before_seen=False).select(F.col("node").alias("source_session_id"), "root")
 
 
+def parents(sessions: DataFrame) -> DataFrame:
+    """(source_session_id, parent_session_id): the parent of a session that names a session, or a file of one."""
+    of_file = sessions.groupBy(F.col("file").alias("parent_session")).agg(F.min("source_session_id").alias("_named"))
+    named = sessions.where("parent_session IS NOT NULL").select("source_session_id", "parent_session").join(of_file, "parent_session", "left")
+    return named.groupBy("source_session_id").agg(F.min(F.coalesce("_named", "parent_session")).alias("parent_session_id"))
+
+
+def _run_key() -> Column:
+    return F.when(F.col("batch_id").isNotNull(), F.concat_ws(":", "batch_id", "agent_id")).otherwise(F.concat_ws(":", F.lit("legacy"), "root", F.col("started_ms").cast("string"), "agent_id"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, F.col("session_id") == F.col("source_session_id"))
+
+
+def subagent_keys(subagents: DataFrame, roots: DataFrame) -> DataFrame:
+    """Subagent snapshots with their root and run_key."""
+    return _rooted(subagents, roots).drop("source_session_id").withColumn("run_key", _run_key())
+
+
+def links(direct: DataFrame, subagents: DataFrame, roots: DataFrame) -> DataFrame:
+    """Which observation stands for which event."""
+    of = lambda rows, key, method: rows.select(F.col("root").alias("evidence_key"), "observation_key", key.alias("event_key"), F.lit(method).alias("method"))
+    entries = of(_rooted(direct, roots), F.concat_ws(":", F.lit("pi"), "root", "entry", "slot"), "lineage_entry_slot")
+    return entries.unionByName(of(subagent_keys(subagents, roots), F.concat_ws(":", F.lit("pi:subagent"), "run_key"), "subagent_run_key"))
+
+
 def events(batch: dict[str, DataFrame], order: list[str] | None = None, roots: DataFrame | None = None) -> DataFrame:
     """Direct events by lineage root, entry and slot, and one event for each subagent run; tokens by the dominance fold, costs with
     the decimal text of the row that first had the largest total, and a subagent's start and duration."""
     order = order or ["file", "ordinal"]
     roots = lineage_roots(batch["sessions"]) if roots is None else roots
-    direct = batch["direct"].join(roots, F.col("session_id") == F.col("source_session_id")).withColumn("event_key", F.concat_ws(":", F.lit("pi"), "root", "entry", "slot"))
-    sub = batch["subagents"].join(roots, F.col("session_id") == F.col("source_session_id"))
-    run = F.when(F.col("batch_id").isNotNull(), F.concat_ws(":", "batch_id", "agent_id")).otherwise(F.concat_ws(":", F.lit("legacy"), "root", F.col("started_ms").cast("string"), "agent_id"))
+    direct = _rooted(batch["direct"], roots).withColumns({"event_key": F.concat_ws(":", F.lit("pi"), "root", "entry", "slot"), "run_key": F.col("session_id")})
+    sub = subagent_keys(batch["subagents"], roots)
     done = F.col("status") == "completed"
-    sub = sub.withColumns({"event_key": F.concat_ws(":", F.lit("pi:subagent"), run), "success": F.when(F.col("terminal"), done), "error_category": F.when(F.col("status").isin("failed", "aborted"), F.col("status"))})
+    sub = sub.withColumns({"event_key": F.concat_ws(":", F.lit("pi:subagent"), "run_key"), "success": F.when(F.col("terminal"), done), "error_category": F.when(F.col("status").isin("failed", "aborted"), F.col("status"))})
     out = []
-    meta = ["session_id", "provider", "model", "effort", "success", "error_category"]
+    meta = ["session_id", "run_key", "provider", "model", "effort", "success", "error_category", "api", "response_model", "stop_reason"]
     fields = [t for t in TOKENS if t != "derived_total_tokens"]
     for rows, rank, at in ((direct, order, "observed_at_ns"), (sub, ["terminal", "observed_at_ns", *order], "completed_at_ns")):
-        for c in (*TOKENS, *COSTS, "started_at_ns", "original_decimal"):
+        for c in (*TOKENS, *COSTS, "started_at_ns", "original_decimal", "api", "response_model", "stop_reason"):
             if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast("string" if c == "original_decimal" else "long"))
+                rows = rows.withColumn(c, F.lit(None).cast("long" if c in (*TOKENS, *COSTS, "started_at_ns") else "string"))
         folded = reconcile.dominance_fold(rows.withColumn("_total", F.coalesce("reported_total_tokens", "derived_total_tokens")), ["event_key"], order, "_total", [*fields, "derived_total_tokens"])
         costs = reconcile.cost_max(rows, ["event_key"], order, "total_cost_nanos", "original_decimal", COSTS[:-1], [])
         about = rows.groupBy("event_key").agg(F.max_by(F.struct(*meta, "root"), F.struct(*rank)).alias("m"), F.min("started_at_ns").alias("started_at_ns"))
         first = reconcile.first_known_time(rows.withColumn("_o", F.struct(*order)), ["event_key"], at, "_o").withColumnRenamed(at, "completed_at_ns")
         joined = folded.join(costs, "event_key").join(about, "event_key").join(first, "event_key")
-        out.append(joined.select(F.lit("pi").alias("source"), "event_key", F.lit("model_call").alias("granularity"), F.lit("canonical").alias("status"), *[F.col(f"m.{c}") for c in meta], *TOKENS, *COSTS, "original_decimal", "started_at_ns", F.greatest(F.col("completed_at_ns") - F.col("started_at_ns"), F.lit(0)).alias("duration_ns"), "completed_at_ns", F.col("m.root").alias("evidence_key")))
+        out.append(joined.select(F.lit("pi").alias("source"), "event_key", F.lit("model_call").alias("granularity"), F.lit("canonical").alias("status"), *[F.col(f"m.{c}") for c in meta], F.col("m.session_id").alias("source_session_id"), F.col("m.run_key").alias("source_run_id"), *TOKENS, *COSTS, "original_decimal", "started_at_ns", F.greatest(F.col("completed_at_ns") - F.col("started_at_ns"), F.lit(0)).alias("duration_ns"), "completed_at_ns", F.col("m.root").alias("evidence_key")))
     return out[0].unionByName(out[1])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from usagemill.ledger import Ledger
 from usagemill.sources.lines import lines
 
 
@@ -22,3 +23,15 @@ def ingest(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[D
     that is delivered twice changes nothing; late copies of a log need no watermark for the same reason."""
     query = stream_lines(spark, folder).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return query.foreachBatch(lambda batch, n: apply(lines(batch), n)).start()
+
+
+def sync_stream(spark: SparkSession, ledger: Ledger, source: str, folder: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Syncs a source's landing folder into a ledger, one commit for each micro-batch of new files.
+
+    The commit carries the stream's name and the batch's number, so that a batch that is delivered again commits nothing, and one that was
+    killed before its commit is done anew: its evidence is what the ledger's manifest lacks.
+    """
+    from usagemill import sync
+
+    found = stream_lines(spark, folder).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return found.foreachBatch(lambda batch, n: sync.sync(spark, ledger, source, [folder], (name or source, n))).start()
