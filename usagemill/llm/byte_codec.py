@@ -4,7 +4,8 @@
    words are numbered, and a document is the numbers of its words. Both go to a table that is bucketed by block.
 2. The blocks' words are dealt and sorted by word, which makes them the table of distinct words with their places. Each distinct word is
    encoded once, by vectorised merge rounds over many words at once, and its ids go to the word's blocks.
-3. Decoding is an equi-join of ids with the table of pieces, which is as large as the vocabulary; pieces are laid end to end by position.
+3. Decoding is a join of ids with the table of pieces, which is broadcast, as it is as large as the vocabulary; pieces are laid end to end by position.
+   `decoded` joins the ids of any table so, `digests` the ids of each block's words.
 4. In their block, documents take the ids and the decoded bytes of their words by position. Documents don't move: their bucket is where
    the words go to. What is shuffled are the distinct words of each block, once by word and once by block.
 
@@ -43,6 +44,8 @@ from usagemill.llm.packing import byte_signs
 BLOCK_WORDS, BLOCK_BYTES = 1 << 23, 1 << 29
 #: Words that are merged together.
 AT_ONCE = 20_000
+#: Bits of a word's number in its block, and of a block's in its task.
+NO_BITS, COUNT_BITS = 24, 15
 
 # The pattern of byte-level vocabularies, with its white space spelled out.
 _SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -136,37 +139,45 @@ def _library_words(path: str, texts: pa.Array) -> list[list[str] | None]:
     return [None if t is None else parts(t) for t in texts.to_pylist()]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers as their first bytes, then their second ones and so on, which packs well."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+#: Columns of the bytes of documents' numbers, from the lowest on; apart they pack well.
+PLANES = ["low", "mid", "high", "top"]
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _numbers(own: pa.Table) -> Iterator[list[int]]:
+    """The numbers of the documents' words."""
+    for planes in zip(*[own[p].to_pylist() for p in PLANES], strict=True):
+        yield np.stack([np.frombuffer(x, np.uint8) for x in planes], axis=1).view("<u4").ravel().tolist()
 
 
-def blocks(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """A table bucketed by block, of (block, no, word) for each distinct word of a block and (block, numbers, doc) for each row of docs."""
+def blocks(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A table bucketed by block, of (block, no, word) for each distinct word of a block and (block, PLANES, doc) for each row of docs; doc has the columns `keep`, or all."""
     spark, special = docs.sparkSession, Vocabulary(path).special_pattern()
     whole = F.coalesce(F.col(text), F.lit(""))
     unknown = whole.rlike(UNKNOWN)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.when(~unknown, words_of(whole, special)).alias("words"), F.when(unknown, whole).alias("unknown"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.when(~unknown, words_of(whole, special)).alias("words"), F.when(unknown, whole).alias("unknown"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, held, size, room = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            coded = pa.concat_arrays([w for _, w, _ in held]).dictionary_encode()
-            order = pc.sort_indices(coded.dictionary)
-            number = np.empty(len(order), np.uint32)
-            number[order.to_numpy()] = np.arange(len(order))
-            own = number[coded.indices.to_numpy(zero_copy_only=False)]
-            ends = np.cumsum(np.concatenate([n for _, _, n in held]))
-            planes = [_planes(own[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            at, doc = np.int64(task) << 32 | count, pa.concat_arrays([d for d, _, _ in held])
-            same = lambda n: pa.array(np.full(n, at))
-            yield pa.RecordBatch.from_arrays([same(len(order)), pa.array(np.arange(len(order), dtype=np.int32)), coded.dictionary.take(order), pa.nulls(len(order), pa.binary()), pa.nulls(len(order), doc.type)], names)
-            yield pa.RecordBatch.from_arrays([same(len(doc)), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.string()), pa.array(planes, pa.binary()), doc], names)
+            coded = pa.chunked_array([w for _, w, _ in held]).dictionary_encode()  # its parts share a dictionary
+            docs_, lengths = [d for d, _, _ in held], [n for _, _, n in held]
+            held.clear()
+            known = coded.chunk(coded.num_chunks - 1).dictionary
+            code, size = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]), len(known)
+            del coded
+            if size >= 1 << NO_BITS or count >= 1 << COUNT_BITS:
+                raise ValueError("a text with too many distinct words, or a task with too many blocks")
+            order = np.argsort(-np.bincount(code, minlength=size), kind="stable")  # frequent words have small numbers
+            number = np.empty(size, "<u4")
+            number[order] = np.arange(size)
+            own, ends = number[code].view(np.uint8).reshape(-1, 4), np.cumsum(np.concatenate(lengths))
+            planes = [pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own[:, k]))]) for k in range(len(PLANES))]
+            at, doc, by_word = np.int64(task) << COUNT_BITS | count, pa.concat_arrays(docs_), pc.sort_indices(known)
+            del code, own
+            same, none = (lambda n: pa.array(np.full(n, at))), (lambda kind, n: pa.array([None] * n, kind))
+            yield pa.RecordBatch.from_arrays([same(size), pa.array(number[by_word.to_numpy()].astype(np.int32)), known.take(by_word), *[none(pa.binary(), size)] * len(PLANES), none(doc.type, size)], names)
+            yield pa.RecordBatch.from_arrays([same(len(doc)), none(pa.int32(), len(doc)), none(pa.string(), len(doc)), *planes, doc], names)
 
         for batch in batches:
             doc, words = batch.column(0), batch.column(1)
@@ -183,12 +194,14 @@ def blocks(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 size, room, at = size + last - first, room + part.get_total_buffer_size() * (last - first) // max(len(flat), 1), to
                 if size >= BLOCK_WORDS or at < len(doc) or room >= BLOCK_BYTES:
                     yield from block()
-                    count, held, size, room = count + 1, [], 0, 0
+                    count, size, room = count + 1, 0, 0
+            del doc, words, flat
         if held:
             yield from block()
+        pa.default_memory_pool().release_unused()
 
-    names = ["block", "no", "word", "numbers", "doc"]
-    schema = f"block long, no int, word string, numbers binary, doc {rows.schema['doc'].dataType.simpleString()}"
+    names = ["block", "no", "word", *PLANES, "doc"]
+    schema = f"block long, no int, word string, {', '.join(f'{p} binary' for p in PLANES)}, doc {rows.schema['doc'].dataType.simpleString()}"
     name, where = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
     out = rows.mapInArrow(numbered, schema)
     out.write.format("parquet").option("compression", "zstd").option("path", where).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
@@ -220,18 +233,20 @@ def decoded(rows: DataFrame, keys: list[str], path: str, ids: str = "ids", text:
 
 
 def _joined(rows: DataFrame, keys: list[str], path: str, ids: str) -> DataFrame:
-    """(keys, ids, _bytes): the pieces of the rows' ids, end to end."""
-    placed = rows.select(*keys, ids, F.posexplode_outer(ids).alias("_at", "_id"))
+    """(keys, ids, _bytes): the pieces of the rows' ids, end to end; null for null ids."""
+    placed = rows.select(*keys, F.col(ids).isNull().alias("_none"), F.posexplode_outer(ids).alias("_at", "_id"))
     own = pieces(rows.sparkSession, path).withColumnsRenamed({"id": "_id", "piece": "_piece"})
     known = placed.join(F.broadcast(own), "_id", "left")  # as many rows as the vocabulary has
-    piece = F.when(F.col("_piece").isNotNull(), F.struct("_at", "_piece"))
-    laid = known.groupBy(*keys).agg(F.first(ids).alias(ids), F.array_sort(F.collect_list(piece)).alias("_parts"))
-    whole = F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["_piece"])), ""))
-    return laid.select(*keys, ids, F.when(F.col(ids).isNotNull(), whole).alias("_bytes"))
+    part = F.when(F.col("_at").isNotNull(), F.struct("_at", "_id", "_piece"))
+    laid = known.groupBy(*keys).agg(F.first("_none").alias("_none"), F.array_sort(F.collect_list(part)).alias("_parts"))
+    whole = F.unhex(F.array_join(F.transform("_parts", lambda p: F.coalesce(F.hex(p["_piece"]), F.lit(""))), ""))
+    given = lambda c: F.when(~F.col("_none"), c)
+    return laid.select(*keys, given(F.transform("_parts", lambda p: p["_id"])).alias(ids), given(whole).alias("_bytes"))
 
 
 def _words_encoded(table_: DataFrame, path: str) -> DataFrame:
     """(block, no, ids): the ids of the blocks' words, dealt by block."""
+    short = max(i for i, _ in Vocabulary(path).pieces()) < 0xD800  # then an id is a character, and ids travel as UTF-16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, known = encoder(path), None, b""
@@ -241,17 +256,19 @@ def _words_encoded(table_: DataFrame, path: str) -> DataFrame:
             new = words[1:] if words and words[0] == last else words
             ids = ([known] if len(new) < len(words) else []) + [x for i in range(0, len(new), AT_ONCE) for x in own.encode(new[i : i + AT_ONCE])]
             last, known = words[-1] if words else last, ids[-1] if ids else known
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *[len(x) // own.dtype.itemsize for x in ids]]).astype(np.int32), np.frombuffer(b"".join(ids), own.dtype).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists.take(coded.indices)], ["block", "no", "ids"])
+            if short:
+                lists = pa.array(ids, pa.binary())
+            else:
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *[len(x) // own.dtype.itemsize for x in ids]]).astype(np.int32), np.frombuffer(b"".join(ids), own.dtype).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists.take(coded.indices)], ["place", "ids"])
 
     parts = int(table_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = table_.where("word IS NOT NULL").select("word", "block", "no").repartition(parts, "word").sortWithinPartitions("word", "block")
-    return places.mapInArrow(encode, "block long, no int, ids array<int>").repartition(parts, "block")
-
-
-def _by_number(words: pa.Table, column: str) -> list:
-    """A column of a block's words in the order of their numbers."""
-    return words[column].take(pc.sort_indices(words["no"])).to_pylist()
+    place = F.shiftleft("block", NO_BITS).bitwiseOR(F.col("no").cast("long")).alias("place")
+    places = table_.where("word IS NOT NULL").select("word", place).repartition(parts, "word").sortWithinPartitions("word", "place")
+    block, no = F.shiftright("place", NO_BITS), F.col("place").bitwiseAND((1 << NO_BITS) - 1).cast("int")
+    dealt = places.mapInArrow(encode, f"place long, ids {'binary' if short else 'array<int>'}").repartition(parts, block.alias("block"))
+    ids = F.transform(F.split(F.decode("ids", "UTF-16LE"), ""), lambda c: F.ascii(c)) if short else F.col("ids")
+    return dealt.select(block.alias("block"), no.alias("no"), ids.alias("ids"))
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -262,35 +279,61 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     kind = table_.schema["doc"].dataType
 
     def placed(own: pa.Table, words: pa.Table) -> pa.Table:
-        known = [np.array(x, np.int32) for x in _by_number(words, "ids")]
-        found = [np.concatenate([known[i] for i in _numbers(n).tolist()] or [np.zeros(0, np.int32)]) for n in own["numbers"].to_pylist()]
+        known = [np.array(x, np.int32) for x in words["ids"].take(pc.sort_indices(words["no"])).to_pylist()]
+        found = [np.concatenate([known[i] for i in at] or [np.zeros(0, np.int32)]) for at in _numbers(own)]
         return pa.table({"doc": own["doc"], "ids": pa.array(found, pa.list_(pa.int32()))})
 
-    own = table_.where("word IS NULL").select(F.col("block").alias("of"), "numbers", "doc")
+    own = table_.where("word IS NULL").select(F.col("block").alias("of"), *PLANES, "doc")
     joined = own.groupBy("of").cogroup(_words_encoded(table_, path).groupBy("block")).applyInArrow(placed, f"doc {kind.simpleString()}, ids array<int>")
     return joined.select("doc.*", F.col("ids").alias(ids))
 
 
+class Pieces:
+    """The table of pieces on the tasks' side of a join by id: the bytes of the pieces, end to end, and where each one starts."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        found = sorted((r.id, bytes(r.piece)) for r in rows.collect())  # as many as the vocabulary has
+        self.bytes = np.frombuffer(b"".join(p for _, p in found), np.uint8)
+        length = np.zeros(found[-1][0] + 1, np.int64)
+        length[[i for i, _ in found]] = [len(p) for _, p in found]
+        self.ends = np.cumsum(length)
+        self.length = length
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The pieces of ids end to end, cut after the ids that `ends` counts."""
+        length = self.length[ids]
+        to = np.cumsum(length)
+        raw = self.bytes[np.repeat(self.ends[ids] - to, length) + np.arange(to[-1] if len(to) else 0)].tobytes()
+        cuts = np.append(0, to)[ends].tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs (doc_id, text)."""
-    table_ = blocks(docs.select("doc_id", "text"), path)
-    slim = table_.select("block", "no", "word", "numbers", F.col("doc.doc_id").alias("doc_id"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs (doc_id, text). The table of pieces is broadcast, and joined with the ids of each block's words."""
+    table_ = blocks(docs, path, keep=["doc_id"])
+    slim = table_.select("block", "no", "word", *PLANES, F.col("doc.doc_id").alias("doc_id"))
+    known = docs.sparkSession.sparkContext.broadcast(Pieces(pieces(docs.sparkSession, path)))
 
     def placed(own: pa.Table, words: pa.Table) -> pa.Table:
-        known, text = _by_number(words, "ids"), _by_number(words, "bytes")
-        size, decimal = [len(x) for x in known], [",".join(map(str, x)).encode() for x in known]
+        lists = words["ids"].combine_chunks().take(pc.sort_indices(words["no"]))
+        size, text, decimal = pc.list_value_length(lists).to_numpy(zero_copy_only=False), [], []
+        for at in range(0, len(lists), AT_ONCE):
+            flat, ends = lists.slice(at, AT_ONCE).flatten().to_numpy(zero_copy_only=False), np.cumsum(size[at : at + AT_ONCE])
+            text += known.value.joined(flat, ends)
+            digits = list(map(str, flat.tolist()))
+            decimal += [",".join(digits[a:b]).encode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        del lists, words
         rows = []
-        for planes in own["numbers"].to_pylist():
-            at = _numbers(planes).tolist()
+        for at in _numbers(own):
             out = b"".join([text[i] for i in at]).decode("utf-8", "replace").encode()
-            rows.append((sum([size[i] for i in at]), hashlib.sha256(b",".join([decimal[i] for i in at])).hexdigest(), hashlib.sha256(out).hexdigest()))
+            rows.append((int(size[at].sum()) if at else 0, hashlib.sha256(b",".join([decimal[i] for i in at])).hexdigest(), hashlib.sha256(out).hexdigest()))
+        pa.default_memory_pool().release_unused()
         n, ids, decoded_ = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"doc_id": own["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded_, pa.string())})
 
-    words = _joined(_words_encoded(slim, path), ["block", "no"], path, "ids").withColumnRenamed("_bytes", "bytes")
-    own = slim.where("word IS NULL").select(F.col("block").alias("of"), "numbers", "doc_id")
+    own = slim.where("word IS NULL").select(F.col("block").alias("of"), *PLANES, "doc_id")
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return own.groupBy("of").cogroup(words.groupBy("block")).applyInArrow(placed, schema)
+    return own.groupBy("of").cogroup(_words_encoded(slim, path).groupBy("block")).applyInArrow(placed, schema)
 
 
 def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
