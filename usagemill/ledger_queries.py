@@ -21,9 +21,9 @@ _PI = """l AS (SELECT l_orderkey AS k, l_linenumber AS line, row_number() OVER (
 r AS (SELECT *, row_number() OVER (PARTITION BY k, line ORDER BY n) AS seq FROM l), f AS (SELECT k, line, seq, i, o FROM r WHERE seq = 1 UNION ALL SELECT f.k, f.line, r.seq, CASE WHEN r.i >= f.i AND r.o >= f.o THEN r.i ELSE f.i END, CASE WHEN r.i >= f.i AND r.o >= f.o THEN r.o ELSE f.o END FROM f JOIN r ON r.k = f.k AND r.line = f.line AND r.seq = f.seq + 1)"""
 _ALL = (
     demo.ctes("counter", "snapshot") + ", " + _FOLDED.format(where="TRUE") + ", " + _PI + f""",
-first AS (SELECT owner, fp, min(observed_at) AS at FROM b GROUP BY ALL),
+first AS (SELECT owner, fp, min(observed_at) AS seen FROM b GROUP BY ALL),
 every AS (
-  SELECT 'codex' AS source, '(unknown)' AS model, at * 1000000000 AS ns, coalesce(t['i'], 0) AS input_tokens, coalesce(t['o'], 0) AS output_tokens, 0 AS cache_read_tokens, 0 AS cache_write_tokens, 0 AS reasoning_tokens, CAST(NULL AS BIGINT) AS cost FROM w JOIN first USING (owner, fp) WHERE greatest(coalesce(t['i'], 0), coalesce(t['o'], 0)) > 0
+  SELECT 'codex' AS source, '(unknown)' AS model, seen * 1000000000 AS ns, coalesce(t['i'], 0) AS input_tokens, coalesce(t['o'], 0) AS output_tokens, 0 AS cache_read_tokens, 0 AS cache_write_tokens, 0 AS reasoning_tokens, CAST(NULL AS BIGINT) AS cost FROM w JOIN first USING (owner, fp) WHERE greatest(coalesce(t['i'], 0), coalesce(t['o'], 0)) > 0
   UNION ALL SELECT 'claude', 'model', NULL, coalesce(max(input_tokens), 0), coalesce(max(output_tokens), 0), 0, 0, 0, NULL FROM v_snapshot WHERE seq % 5 <> 4 GROUP BY message
   UNION ALL SELECT 'pi', 'm', NULL, arg_max(i, seq), arg_max(o, seq), 0, 0, 0, (SELECT max(i) FROM r WHERE r.k = f.k AND r.line = f.line) * 1000000 FROM f GROUP BY k, line
   UNION ALL SELECT 'opencode', 'm', CAST(floor(epoch(o_orderdate)) AS BIGINT) * 1000000, CAST(l_quantity AS BIGINT), l_linenumber + 1, 0, 0, 1, NULL FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND l_linenumber % 2 = 1
@@ -106,7 +106,7 @@ def d24_issue_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.entity(ledger, "issues").groupBy("opened", "resolved", "category").agg(F.count(F.lit(1)).alias("issues"))
 
 
-_STRINGS = """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN '/opt/' || o_clerk WHEN 1 THEN 'see ..' || chr(92) || o_clerk WHEN 2 THEN 'a/../' || o_clerk WHEN 3 THEN 'D:' || o_clerk WHEN 4 THEN o_clerk WHEN 5 THEN '~/' || o_clerk WHEN 6 THEN 'FILE:' || o_clerk ELSE 'https://a/' || o_clerk END AS note,
+_STRINGS = """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN '/opt/' || o_orderpriority WHEN 1 THEN 'see ..' || chr(92) || o_orderpriority WHEN 2 THEN 'a/../' || o_orderpriority WHEN 3 THEN 'D:' || o_orderpriority WHEN 4 THEN o_orderpriority WHEN 5 THEN '~/' || o_orderpriority WHEN 6 THEN 'FILE:' || o_orderpriority ELSE 'https://a/' || o_orderpriority END AS note,
   CASE o_orderkey % 5 WHEN 0 THEN 'Session_Count' WHEN 1 THEN 'file_path' WHEN 2 THEN 'tokens' WHEN 3 THEN 'urls' ELSE 'rerun_identity' END AS field FROM """
 
 

@@ -87,7 +87,7 @@ def parse(lines: DataFrame) -> dict[str, DataFrame]:
         *[_nanos(v, f"$.data.usage.{n}").alias(c) for c, n in zip(COSTS, ("costInput", "costOutput", "costCacheRead", "costCacheWrite", "cost"), strict=True)],
     )
     samples = rows.where((F.col("type") == "compaction") & _object(v, "$.usage") & strict_long(v, "$.tokensBefore").isNotNull()).select(F.lit("pi").alias("source"), "file", "ordinal", "observed_at_ns", F.lit("tokens_before").alias("name"), F.lit("tokens").alias("unit"), strict_long(v, "$.tokensBefore").alias("value_integer"))
-    state = rows.groupBy("file").agg(F.max_by(F.struct("_model", "effort"), "ordinal").alias("last"), F.min_by("_model.model", F.when(F.col("_model.model").isNotNull(), F.col("ordinal"))).alias("initial_model"), F.max("observed_at_ns").alias("updated_at_ns"))
+    state = rows.groupBy("file").agg(F.max_by(F.struct("_model", "effort"), "ordinal").alias("last"), F.min_by("_model.model", F.when(F.col("_model.model").isNotNull(), F.col("ordinal"))).alias("initial_model"), F.max(F.nullif("observed_at_ns", F.lit(0).cast("long"))).alias("updated_at_ns"))
     sessions = first.join(state, "file").select(F.lit("pi").alias("source"), "file", F.col("session_id").alias("source_session_id"), "parent_session", F.col("last._model.provider").alias("provider"), "initial_model", F.col("last._model.model").alias("current_model"), F.col("last.effort").alias("reasoning_effort"), "started_at_ns", "updated_at_ns")
     found = issues.unionByName(issue(used.where("entry IS NULL"), "pi", "missing_usage_identity", "$.id")).unionByName(issue(used.where("entry IS NOT NULL AND NOT ok"), "pi", "invalid_usage", "$.message.usage"))
     found = found.unionByName(issue(sub.where("NOT named OR NOT known"), "pi", "invalid_subagent")).unionByName(issue(sub.where("named AND known AND total IS NULL"), "pi", "invalid_subagent_usage"))
