@@ -12,7 +12,9 @@ through all stages but packing. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +25,23 @@ from usagemill.llm import cotrain, near_copies, packing, pii, quality_rules
 from usagemill.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_tables: dict[str, str] = {}
+#: The tables of this thread's last stage; each thread's pipeline has its own.
+_tables: ContextVar[str | None] = ContextVar("tables of the last stage", default=None)
+#: The setting that holds the key of pseudonyms.
+KEY = "spark.usagemill.pseudonym.key"
 
 
 def _end_stage(spark: SparkSession) -> None:
-    if (folder := _tables.pop(spark.sparkContext.applicationId, None)) is not None:
+    if (folder := _tables.get()) is not None:
         removed(spark, folder)
+        _tables.set(None)
 
 
 def _stage(of: Stage) -> Stage:
     @wraps(of)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _end_stage(spark)
-        folder = _tables[spark.sparkContext.applicationId] = new_path(spark, "stage")
+        _tables.set(folder := new_path(spark, "stage"))
         with tables_in(folder):
             return of(spark, docs, sf_dir)
 
@@ -59,7 +65,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs, pii.DEMO_KEY).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    key = spark.conf.get(KEY, None)  # without one, values are linked within this run only, and nobody can undo them
+    return pii.pseudonymised(docs, key or secrets.token_hex(32)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 @_stage

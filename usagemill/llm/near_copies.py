@@ -8,12 +8,14 @@ Fingerprints of 64 bits within a radius of 4 find less than a fifth of the pairs
    radius, so nodes are dealt by the least values of BANDS * BAND_ROWS hashes of their shingles: at 0.8, two nodes share one of BANDS keys
    with probability 0.9996.
 3. A key's fingerprints are compared bit-sliced (`simhash`): planes of bits, carry-save counters, blocks abandoned once all pairs exceed
-   RADIUS (about similarity 0.55). All pairs within it are kept of keys with up to FEW nodes; of larger ones, those of a forest of the least
-   distances and each node's NEAREST. A key with more than CHUNK nodes is dealt again as pairs of chunks, so that every pair still meets.
+   RADIUS (about similarity 0.55). All pairs within it are candidates of keys with up to FEW nodes; of larger ones at first those of a forest
+   of the least distances and each node's NEAREST. A key with more than CHUNK nodes is dealt again as pairs of chunks, so that every pair still meets.
 4. Pairs are compared by the shingles of their texts. First each node's best pair; then those that still lie between two components.
-5. Of each component one row stays: the least by doc_id (nulls last), then by content.
+5. What larger keys still have within RADIUS between two components is settled exactly: these nodes meet again under their key, with the
+   hashes of all their shingles, and every such pair is compared there.
+6. Of each component one row stays: the least by doc_id (nulls last), then by content.
 
-Every link has exact similarity SIMILARITY or more; pairs of at least that are missed only by chance (steps 2 and 3).
+Every link has exact similarity SIMILARITY or more; pairs of at least that are missed only by chance of the hashes (steps 2 and 3), never by a limit.
 
 Defined results: null and empty texts, and texts without a word, are one node without shingles. Rows are told apart by row, not by
 doc_id: different texts that share an id stay, repeated rows and copies without an id don't. An empty table gives an empty result.
@@ -36,7 +38,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Differing bits up to which pairs are candidates, 4 standard deviations beyond the mean at SIMILARITY; most nodes of a key that are compared in place.
 BITS, RADIUS, CHUNK = 256, 64, 1024
-#: Nodes of a key of which all pairs are kept, and pairs of a node that are kept besides the forest's of a larger one.
+#: Nodes of a key of which all pairs are candidates at once, and pairs of a node that are besides the forest's of a larger one, whose other pairs come last.
 FEW, NEAREST = 16, 3
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -184,6 +186,94 @@ _CANDIDATES = ["a", "b", "bits", "key", "cell", *_SKETCH]
 _SCHEMA = ", ".join(f"{c} long" for c in _CANDIDATES)
 
 
+# ---- what larger keys have left
+
+_APART = ", ".join(f"{c} long" for c in ("key", "node", "root", "cell", *_SKETCH))
+
+
+def _apart(chunk: int, most: int):
+    """Sorted (key, node, root, sketch) rows to those of larger keys that have a neighbour in another component, or to the chunks of a key with more than `most`."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _runs(batches):
+            key, root, sketch = rows["key"].to_numpy(), rows["root"].to_numpy(), rows[_SKETCH].to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            mixed = np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)
+            size = np.diff(np.append(starts, len(key)))
+            for r in np.flatnonzero(mixed & (size > FEW)).tolist():
+                at = slice(int(starts[r]), int(starts[r] + size[r]))
+                part, n = rows.iloc[at], int(size[r])
+                if n > most:
+                    chunks = -(-n // chunk)
+                    for i in range(chunks):
+                        for j in range(chunks):
+                            yield part.iloc[i * chunk : (i + 1) * chunk].assign(cell=min(i, j) * chunks + max(i, j))
+                    continue
+                near = all_pairs(sketch[at], RADIUS) & (root[at][:, None] != root[at][None, :])
+                yield part[near.any(axis=1)].assign(cell=None)
+
+    return lambda batches: (x[["key", "node", "root", "cell", *_SKETCH]].astype({"cell": "Int64"}) for x in find(batches))
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of some sorted sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    more = np.cumsum(times > 1) - 1
+    some = times[at] > 1
+    owner, at = owner[some], more[at[some]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(at.max(initial=-1)) + 1, 8192):
+        a, b = np.searchsorted(at, (low, low + 8192))
+        own = np.zeros((len(sets), 8192), np.float32)
+        own[owner[a:b], at[a:b] - low] = 1
+        out += own @ own.T
+    return out
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted (key, node, root, sketch, hashes) rows to links (a, b) that connect all that are similar and of two components."""
+    for rows in _runs(batches):
+        for _, own in rows.groupby("key", sort=False):
+            node, root, sketch = own["node"].to_numpy(), own["root"].to_numpy(), own[_SKETCH].to_numpy().view(np.uint64)
+            sets = [np.frombuffer(x, np.uint64) for x in own["hashes"]]
+            size = np.array([len(x) for x in sets])
+            both = _shared(sets).astype(float)
+            alike = all_pairs(sketch, RADIUS) & (root[:, None] != root[None, :]) & (both / np.maximum(size[:, None] + size[None, :] - both, 1) >= SIMILARITY)
+            i, j = np.nonzero(np.triu(alike, 1))
+            # of equal pairs of components one link is enough
+            _, one = np.unique(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j])]), axis=1, return_index=True)
+            if len(one):
+                a, b = node[i[one]], node[j[one]]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _hashes(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.sort(np.fromiter(map(xxhash.xxh64_intdigest, s), np.uint64, len(s))).tobytes() for s in map(shingles, texts)], dtype=object)
+
+    return own(text)
+
+
+def remaining(nodes: DataFrame, roots: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between components (roots: a, b) of nodes (node, rid, keys, sketch) that share a key of more than FEW nodes. rows has the texts by rid."""
+    of = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = of.select(F.explode("keys").alias("key"), "node", "root", F.lit(None).cast("long").alias("cell"), *_SKETCH)
+    dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
+    first = written(dealt(keyed).mapInPandas(_apart(chunk, 2 * chunk), _APART))
+    cells = first.where("cell IS NOT NULL").withColumns({"key": F.xxhash64("key", "cell"), "cell": F.lit(None).cast("long")}).distinct()
+    left = written(first.where("cell IS NULL").unionByName(dealt(cells).mapInPandas(_apart(chunk, 8 * chunk), _APART)).drop("cell"))
+    ends = left.select("node").distinct().join(nodes.select("node", "rid"), "node")
+    sets = ends.join(rows.select("rid", "text"), "rid").select("node", _hashes(F.col("text")).alias("hashes"))
+    return written(dealt(left.join(written(sets), "node")).mapInPandas(_settle, "a long, b long"))
+
+
+# ---- first candidates
+
+
 def candidates(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a, b, bits): pairs of nodes (distinct node, keys, sketch) to compare."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", *_SKETCH)
@@ -221,7 +311,8 @@ def links(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     best = written(pairs.groupBy("b").agg(F.max(F.struct("bits", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
     first = _linked(best, texts)
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    return first.unionByName(_linked(_between(rest, components(first)), texts))
+    more = first.unionByName(_linked(_between(rest, components(first)), texts))
+    return more.unionByName(remaining(nodes, components(more), rows, chunk))
 
 
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
