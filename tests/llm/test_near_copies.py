@@ -56,7 +56,7 @@ def test_stage_equals_brute_force_jaccard(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_large_keys_lose_no_link(spark, seed):
     """One group of 1,000 texts with 0 to 5 edits of 120 words, about half of whose pairs are links."""
     rng = random.Random(seed)
