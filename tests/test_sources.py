@@ -199,3 +199,23 @@ def test_manifest_generations(spark, tmp_path):
     write(tmp_path, "b.jsonl", [{"x": 1}])
     assert listed(state)[1] == {"a.jsonl": (1, False, True), "b.jsonl": (1, False, True)}
     assert "content" not in listing(spark, [str(tmp_path)])._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_carried_marks_cross_blocks_and_files(spark, monkeypatch):
+    from usagemill.sources import lines as module
+
+    monkeypatch.setattr(module, "BLOCK_LINES", 4)
+    rows = spark.range(20).select(F.lit("a").alias("file"), F.col("id").alias("ordinal")).unionByName(spark.range(9).select(F.lit("b").alias("file"), F.col("id").alias("ordinal")))
+    marks = spark.createDataFrame([("a", 1, "x"), ("a", 13, None), ("a", 14, "y"), ("b", 5, "z")], "file string, ordinal long, owner string")
+    got = {(r.file, r.ordinal): r.owner for r in module.carried(rows, marks, "owner").collect()}
+    assert len(got) == 29
+    assert got == {("a", n): None if n in (0, 13) else "x" if n < 13 else "y" for n in range(20)} | {("b", n): "z" if n >= 5 else None for n in range(9)}
+
+
+def test_filters_on_parsed_columns_read_a_table(spark, tmp_path):
+    """A filter on tokens takes nothing from the variant again."""
+    usage = {"input": 1, "output": 2, "cacheRead": 3, "cacheWrite": 4}
+    write(tmp_path, "a.jsonl", [{"type": "session", "id": "s"}, {"type": "message", "id": "e", "message": {"role": "assistant", "usage": usage}}])
+    direct = pi.parse(read(spark, tmp_path))["direct"].drop("effort").where("input_tokens > 0")
+    assert direct.count() == 1
+    assert "variant_get" not in direct._jdf.queryExecution().optimizedPlan().toString()
