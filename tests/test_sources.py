@@ -218,4 +218,31 @@ def test_filters_on_parsed_columns_read_a_table(spark, tmp_path):
     write(tmp_path, "a.jsonl", [{"type": "session", "id": "s"}, {"type": "message", "id": "e", "message": {"role": "assistant", "usage": usage}}])
     direct = pi.parse(read(spark, tmp_path))["direct"].drop("effort").where("input_tokens > 0")
     assert direct.count() == 1
-    assert "variant_get" not in direct._jdf.queryExecution().optimizedPlan().toString()
+    assert "message.usage" not in direct._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_files_are_read_in_pieces_with_the_same_lines(spark, tmp_path):
+    from usagemill.sources.lines import contents, numbered
+
+    for n, text in enumerate(["".join(f'{{"n": {i}, "\u00e9": "{"x" * (i % 90)}"}}\n' for i in range(400)) + "\n\ncut", "a\r\n\nb\n", "tail", "", "\ufeffa\nb\n", "\ufeffa\nb"]):
+        (tmp_path / f"a b+c%20{n}.jsonl").write_bytes(text.encode())
+    files = [r.file for r in listing(spark, [str(tmp_path)]).collect()]
+    expected = sorted(map(tuple, lines(contents(spark, files)).collect()))
+    size, cost = (spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = numbered(spark, files)
+        assert sorted(map(tuple, found.collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_manifest_opens_the_first_bytes_of_large_files_only(spark, tmp_path, monkeypatch):
+    from usagemill.sources import lines as module
+
+    write(tmp_path, "a.jsonl", [{"x": "y" * 9000}])
+    whole = next_manifest(spark.createDataFrame([], MANIFEST), listing(spark, [str(tmp_path)])).first()
+    monkeypatch.setattr(module, "LARGE", 100)
+    assert next_manifest(spark.createDataFrame([], MANIFEST), listing(spark, [str(tmp_path)])).first().prefix_hash == whole.prefix_hash
