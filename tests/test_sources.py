@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from usagemill.functions.tables import written
 from usagemill.sources import claude, codex, opencode, pi
 from usagemill.sources.lines import MANIFEST, corrupt_gate, lines, listing, next_manifest, read_files
 
@@ -176,6 +177,26 @@ def test_opencode_fallback_then_parts_keeps_what_dominates(spark):
     assert events["opencode:message:m1"].status == "canonical" and events["opencode:part:p1"].status == "excluded"  # 50 against 20
 
 
+def test_opencode_events_fold_the_revisions_of_each_event(spark):
+    """Revisions in order, not a maximum: one that isn't larger in all changes no tokens; cost is the largest, the time the first positive one, names the last."""
+    fields = [f for f in opencode.FIELDS if f != "derived_total_tokens"]
+    row = lambda sync, i, o, cost, at, model: ("opencode:part:p", sync, f"k{sync}", "part", "m", "s", "p", model, "a", *[{"input_tokens": i, "output_tokens": o}.get(f, 0) for f in fields], i + o, cost, at)
+    schema = "event_key string, sync long, observation_key string, kind string, message_id string, session_id string, provider string, model string, agent string, " + ", ".join(f"{f} long" for f in fields) + ", derived_total_tokens long, total_cost_nanos long, completed_at_ns long"
+    retained = spark.createDataFrame([row(3, 9, 1, 5, 30, "z"), row(1, 2, 2, 7, None, "x"), row(2, 5, 3, None, 20, "y")], schema)
+    (found,) = opencode.events(retained, ["sync", "observation_key"]).collect()
+    assert (found.input_tokens, found.output_tokens, found.total_cost_nanos, found.completed_at_ns, found.model, found.status) == (5, 3, 7, 20, "z", "canonical")
+
+
+def test_opencode_messages_and_steps_meet_once(spark):
+    """Messages and steps are joined once; events are dealt by event and by message only."""
+    session, message, part = opencode_tables(spark)
+    plan = opencode.observations(session, message, part)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # with sessions and with steps
+    events = opencode.events(written(opencode.observations(session, message, part)), ["observation_key"])._jdf.queryExecution().executedPlan().toString()
+    assert events.count("Exchange hashpartitioning") == 2 and "Join" not in events
+
+
+
 def test_manifest_generations(spark, tmp_path):
     import os
 
