@@ -267,3 +267,11 @@ def test_manifest_opens_the_first_bytes_of_large_files_only(spark, tmp_path, mon
     whole = next_manifest(spark.createDataFrame([], MANIFEST), listing(spark, [str(tmp_path)])).first()
     monkeypatch.setattr(module, "LARGE", 100)
     assert next_manifest(spark.createDataFrame([], MANIFEST), listing(spark, [str(tmp_path)])).first().prefix_hash == whole.prefix_hash
+
+
+def test_codex_counts_are_read_at_their_types(spark):
+    """B2: of two names the first valid one; floats, texts and negative numbers are no counts; all of a usage object comes from one cast."""
+    body = '{"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":7,"output_tokens":"3","cached_input_tokens":4,"cache_read_input_tokens":-1},"last_token_usage":{"input_tokens":2.0,"total_tokens":5}}}}'
+    rows = spark.createDataFrame([("f", 0, '{"type":"session_meta","payload":{"id":"s"}}'), ("f", 1, body)], "file string, ordinal long, line string")
+    (found,) = codex.parse(rows)["observations"].collect()
+    assert (found.total_input_tokens, found.total_output_tokens, found.total_cache_read_tokens, found.last_input_tokens, found.last_reported_total_tokens) == (7, None, 4, None, 5)
