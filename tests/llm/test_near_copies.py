@@ -90,3 +90,29 @@ def test_rows_are_told_apart_by_row(spark):
     assert got.columns == ["doc_id", "text", "lang"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a, "x"), (1, b, "x"), (None, c, "y"), (7, None, "z")], key=str)
     assert got.where("false").count() == 0 and stage(spark, []).count() == 0
+
+
+def test_rows_are_chosen_where_they_are(spark, tmp_path):
+    """Rows of several blocks and tasks, none of which is shuffled for a join by row."""
+    from pyspark.sql import functions as F
+
+    from usagemill.functions.tables import bucketed
+
+    ids = spark.range(0, 30_000, numPartitions=3).select(F.monotonically_increasing_id().alias("rid"), F.col("id").alias("text"))
+    rows = bucketed(ids.withColumn("block", near_copies.block_of("rid")), "block")
+    assert rows.select("block").distinct().count() == 9
+    wanted = rows.where("text % 7 = 3 OR text BETWEEN 4090 AND 4100 OR text > 29990")
+    got = near_copies.chosen(rows, wanted.select("rid").repartition(5))
+    assert sorted(r.text for r in got.collect()) == sorted(r.text for r in wanted.collect())
+    assert near_copies.chosen(rows, wanted.where("false").select("rid")).count() == 0
+
+    df = spark.createDataFrame([(i, f"one {i} two {i}") for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_copies.deduplicated(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(rid" not in plan and "SelectedBucketsCount" in plan
+        assert out.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -15,6 +15,9 @@ Fingerprints of 64 bits within a radius of 4 find less than a fifth of the pairs
    hashes of all their shingles, and every such pair is compared there.
 6. Of each component one row stays: the least by doc_id (nulls last), then by content.
 
+Texts stay in the table that they are first written to, which is bucketed by blocks of rows. Rows are chosen there by a bitmap for each
+block; only those of candidates are shuffled.
+
 Every link has exact similarity SIMILARITY or more; pairs of at least that are missed only by chance of the hashes (steps 2 and 3), never by a limit.
 
 Defined results: null and empty texts, and texts without a word, are one node without shingles. Rows are told apart by row, not by
@@ -31,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagemill.functions.tables import bucketed
 from usagemill.llm.common import written
 from usagemill.llm.simhash import SHORT, all_pairs, components, pairs_in_runs
 
@@ -40,6 +44,8 @@ BANDS, BAND_ROWS = 20, 5
 BITS, RADIUS, CHUNK = 256, 64, 1024
 #: Nodes of a key of which all pairs are candidates at once, and pairs of a node that are besides the forest's of a larger one, whose other pairs come last.
 FEW, NEAREST = 16, 3
+#: Rows of a task that follow each other and are one block have equal row ids but for so many bits; at most 15, as Spark's bitmaps have 32,768 places.
+BLOCK_BITS = 12
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RANDOM = np.random.default_rng(8)
@@ -99,6 +105,24 @@ def _similarity(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+# ---- rows of the table of texts -----------------------------------------------------------------------------------------
+
+
+def block_of(rid: str) -> Column:
+    return F.shiftright(rid, BLOCK_BITS)
+
+
+def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of rows (rid, block and others), bucketed by block, whose rid is in ids (rid). Only ids are shuffled."""
+    place = F.col("rid").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    # dealt before they are added up, so that no block has a bitmap in each task
+    dealt = ids.select(block_of("rid").alias("of"), place.alias("place")).repartition("of")
+    masks = dealt.groupBy("of").agg(F.bitmap_construct_agg("place").alias("mask")).hint("shuffle_hash")
+    byte = F.substring(F.col("mask"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), place.bitwiseAND(F.lit(7)).cast("int"))
+    return rows.join(masks, (F.col("block") == F.col("of")) & (bit == 1), "left_semi")
+
+
 # ---- candidates ---------------------------------------------------------------------------------------------------------
 
 
@@ -259,15 +283,15 @@ def _hashes(text: Column) -> Column:
 
 
 def remaining(nodes: DataFrame, roots: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between components (roots: a, b) of nodes (node, rid, keys, sketch) that share a key of more than FEW nodes. rows has the texts by rid."""
+    """(a, b): links between components (roots: a, b) of nodes (node, rid, keys, sketch) that share a key of more than FEW nodes. rows has the texts by rid and block."""
     of = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keyed = of.select(F.explode("keys").alias("key"), "node", "root", F.lit(None).cast("long").alias("cell"), *_SKETCH)
     dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
     first = written(dealt(keyed).mapInPandas(_apart(chunk, 2 * chunk), _APART))
     cells = first.where("cell IS NOT NULL").withColumns({"key": F.xxhash64("key", "cell"), "cell": F.lit(None).cast("long")}).distinct()
     left = written(first.where("cell IS NULL").unionByName(dealt(cells).mapInPandas(_apart(chunk, 8 * chunk), _APART)).drop("cell"))
-    ends = left.select("node").distinct().join(nodes.select("node", "rid"), "node")
-    sets = ends.join(rows.select("rid", "text"), "rid").select("node", _hashes(F.col("text")).alias("hashes"))
+    ends = nodes.join(left.select("node").distinct(), "node", "left_semi").select("rid")
+    sets = chosen(rows.select("rid", "block", "node", "text"), ends).select("node", _hashes(F.col("text")).alias("hashes"))
     return written(dealt(left.join(written(sets), "node")).mapInPandas(_settle, "a long, b long"))
 
 
@@ -303,11 +327,12 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between the nodes of a written table (rid, text, node, keys, sketch) that connect all that are similar."""
+    """(a, b): links between the nodes of a table (rid, block, text, node, keys, sketch) bucketed by block that connect all that are similar."""
     nodes = written(rows.groupBy("node").agg(F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("keys", *_SKETCH)]))
     pairs = written(candidates(nodes, chunk))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(rows.select("rid", "text").join(nodes.select("node", "rid").join(ends, "node", "left_semi"), "rid").select("node", "text"))
+    firsts = nodes.join(ends, "node", "left_semi").select("rid")
+    texts = written(chosen(rows.select("rid", "block", "node", "text"), firsts).select("node", "text"))
     best = written(pairs.groupBy("b").agg(F.max(F.struct("bits", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
     first = _linked(best, texts)
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
@@ -318,9 +343,10 @@ def links(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """docs (doc_id, text and other columns) with one row of each component."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), _signatures(F.col("text")).alias("own"))
-    rows = written(named.select("row", "rid", F.xxhash64(*[F.col(f"row.`{c}`") for c in docs.columns]).alias("content"), "own.*"))
-    roots = components(links(rows.select("rid", F.col("row.text").alias("text"), "node", "keys", *_SKETCH), chunk)).select(F.col("a").alias("node"), "b")
+    content = F.xxhash64(*[F.col(f"row.`{c}`") for c in docs.columns]).alias("content")
+    rows = bucketed(named.select("row", "rid", block_of("rid").alias("block"), content, "own.*"), "block")
+    roots = components(links(rows.select("rid", "block", F.col("row.text").alias("text"), "node", "keys", *_SKETCH), chunk)).select(F.col("a").alias("node"), "b")
     least = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), "content", "rid"))
     first = written(rows.groupBy("node").agg(least.alias("first")))  # so that the rows of a large node don't meet in a join
     kept = written(first.join(roots, "node", "left").groupBy(F.coalesce("b", "node").alias("root")).agg(F.min("first").alias("first")).select("first.rid"))
-    return rows.select("rid", "row").join(kept, "rid", "left_semi").select("row.*")
+    return chosen(rows.select("rid", "block", "row"), kept).select("row.*")
