@@ -634,6 +634,25 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_take_the_ids_of_distinct_pre_tokens():
+    """Texts are cut together, also next to empty ones and those of the library, and every distinct pre-token is looked up once."""
+    own, rng = packing.encoder(packing.tokenizer_path()), random.Random(8)
+    signs = ["'", "'", "s", "re", "ve", "ll", "d", " ", "\n", "\t", "é", "ß", "²", "1", "!", "À", "ſ", "×", "日", "\xa0", "\xad", "<|endoftext|>"]
+    texts = ["", "'", "'s", "x'", *("".join(rng.choice(signs) for _ in range(rng.randrange(24))) for _ in range(3000)), ""]
+    expected = [np.array([*x.ids, 2], own.dtype).tobytes() for x in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encoded(texts, np.array([2], own.dtype).tobytes()).to_pylist() == expected
+    assert own.encode([]) == [] and own.encode(["", ""]) == [b"", b""]
+    parts, upto = packing.pre_tokens([b"don't 'tis''s", b"", "a²3 ß".encode()])
+    assert parts.to_pylist() == [b"don", b"'t", b"'t", b"is", b"''", b"s", b"a", "²".encode(), b"3", "ß".encode()] and upto.tolist() == [6, 6, 10]
+    looked_up, of = [], own._of
+    own._of = lambda found: looked_up.append(len(found)) or of(found)
+    try:
+        own.encode(["one two " * 500] * 20)
+    finally:
+        del own._of
+    assert looked_up == [2]
+
+
 def test_encoder_of_long_words_equals_library():
     own, rng = packing.encoder(packing.tokenizer_path()), random.Random(2)
     texts = ["a" * 50_000, "nospace" * 3000, "=" * 9001, *["".join(rng.choice(signs) for _ in range(20_000)) for signs in ("abcdefghijklmnopqrstuvwxyz", "eeettaaoin", "xyz'ts")]]

@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows are filled with documents that resemble their first one.
 
-1. Texts become token ids. A text is cut into the tokenizer's pre-tokens, and distinct ones are encoded together in vectorised merge rounds
-   and remembered; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
+1. Texts become token ids. Some megabytes of texts are cut into the tokenizer's pre-tokens at once, by classes of characters. Distinct ones are encoded
+   together in vectorised merge rounds and remembered, and texts take their ids by number; texts with characters outside a list of plain ones go through the tokenizer whole. Ids are written as a table of bytes.
 2. Document frequencies of tokens and the mean length are counted over all documents. They are bounded by the vocabulary.
 3. Documents are placed by content: a document's slot is its most telling token that another document has too, with a hash of its second
    one. Slots in their order are cut into shards of about SHARD_TOKENS tokens, by the slots' numbers of tokens, which are bounded by the
@@ -28,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +45,13 @@ SUBSLOTS, TAILS = 8, 256
 K1, B = 1.2, 0.75
 #: Pre-tokens that a task remembers, and their greatest length.
 REMEMBERED, REMEMBERED_LENGTH = 350_000, 60
+#: Bytes of texts that are encoded together; a longer text is encoded alone.
+PART_BYTES = 4_000_000
 
 #: Letters and numbers of the plain characters: ASCII, Latin-1 and Latin Extended A without the dotted capital I.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ſ]*")
-_PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 def tokenizer_path() -> str:
@@ -64,6 +67,48 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+#: Classes of characters. Numbers are pre-tokens of one character, runs of letters and of others are one each.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _classes() -> np.ndarray:
+    """The class of each plain character."""
+    out = np.full(0x180, _OTHER, np.uint8)
+    for of, pattern in ((_SPACE, r"\s"), (_LETTER, f"[{_LETTERS}]"), (_NUMBER, f"[{_NUMBERS}]")):
+        out[[c for c in range(len(out)) if re.fullmatch(pattern, chr(c))]] = of
+    return out
+
+
+_CLASSES = _classes()
+_BYTE_CLASSES = np.append(_CLASSES[:128], np.full(128, _OTHER, np.uint8))
+
+
+def pre_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Pre-tokens of lower-case plain texts in UTF-8, and for each text how many there are up to its end.
+
+    They are runs of a class of characters, single numbers, and 's 't 're 've 'm 'll 'd where an apostrophe stands alone before letters.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    of = _BYTE_CLASSES[data]
+    lead = np.flatnonzero(data >= 0xC0)  # plain characters have one or two bytes
+    of[lead] = of[lead + 1] = _CLASSES[(data[lead] & np.uint16(0x1F)) << np.uint16(6) | data[lead + 1] & np.uint16(0x3F)]
+    starts = of == _NUMBER
+    starts[:1] = True
+    starts[1:] |= of[1:] != of[:-1]
+    starts[lead + 1] = False
+    mark = np.flatnonzero(data == ord("'"))
+    mark = mark[starts[mark] & (of[mark + 1] == _LETTER)]
+    one, two = data[mark + 1], data[mark + 1] * np.uint32(256) + data[mark + 2]
+    for own, length in ((mark[np.isin(one, list(b"stmd"))], 2), (mark[np.isin(two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])], 3)):
+        starts[own + 1], starts[own + length] = False, True
+    at = np.flatnonzero(starts)
+    length, solid = np.diff(np.append(at, len(data))), of[at] != _SPACE
+    at, length = at[solid], length[solid]
+    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[of != _SPACE])])
+    return parts, np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+
+
 class Encoder:
     """Texts to ids, as little-endian bytes of unsigned 16-bit numbers (32-bit for a larger vocabulary)."""
 
@@ -73,7 +118,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = re.compile("|".join(map(re.escape, (x.content for x in self.library.get_added_tokens_decoder().values()))) or "(?!)")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -83,15 +128,14 @@ class Encoder:
         self.inner = np.array([vocabulary[c] for c in signs], np.int64)
         self.last = np.array([vocabulary[c + suffix] for c in signs], np.int64)
 
-    def _new(self, parts: list[str]) -> Iterator[bytes]:
+    def _new(self, parts: list[bytes]) -> Iterator[bytes]:
         """The ids of pre-tokens."""
-        raw = [x.encode() for x in parts]
-        length = np.array([len(r) for r in raw])
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        length = np.array([len(r) for r in parts])
+        data = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum(length)
         symbol = self.inner[data]
         symbol[ends - 1] = self.last[data[ends - 1]]
-        merged, places = self.merger.merge(symbol, np.repeat(np.arange(len(raw)), length))
+        merged, places = self.merger.merge(symbol, np.repeat(np.arange(len(parts)), length))
         cuts = np.searchsorted(places, ends).tolist()
         out, size = merged.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
         return (out[a * size : b * size] for a, b in zip([0, *cuts[:-1]], cuts, strict=True))
@@ -99,21 +143,43 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = [None if not _PLAIN.fullmatch(t) or self.special.search(t) else _PRE_TOKENS.findall(t.lower()) for t in texts]
-        whole = iter(self._bytes([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        parts = set().union(*[c for c in cut if c is not None])
+    def _of(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct pre-tokens."""
         if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in parts & self.known.keys()}
+            self.known = {w: self.known[w] for w in parts if w in self.known}
         known = self.known
-        if new := list(parts.difference(known)):
+        if new := [w for w in parts if w not in known]:
             known |= zip(new, self._new(new), strict=True)
-        out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        out = [known[w] for w in parts]
         for w in new:
             if len(w) > REMEMBERED_LENGTH:
                 del known[w]
         return out
 
+    def encoded(self, texts: list[str], end: bytes = b"") -> pa.Array:
+        """The ids of each text, followed by `end`."""
+        plain = [_PLAIN.fullmatch(t) is not None and not self.special.search(t) for t in texts]
+        whole = self._bytes([t for t, p in zip(texts, plain, strict=True) if not p])
+        parts, upto = pre_tokens([t.lower().encode() if p else b"" for t, p in zip(texts, plain, strict=True)])
+        coded = parts.dictionary_encode()
+        _, offsets, data = coded.dictionary.buffers()
+        cuts, data = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+        ids = self._of([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        # a text is its pre-tokens and a last part: the end, with all ids before it if the library made them
+        last = np.full(len(texts), len(ids))
+        last[~np.array(plain, bool)] += np.arange(1, len(whole) + 1)
+        at = upto + np.arange(len(texts))
+        number, inner = np.empty(len(parts) + len(texts), np.int32), np.ones(len(parts) + len(texts), bool)
+        number[at], inner[at] = last, False
+        number[inner] = coded.indices.to_numpy()
+        laid = pa.array([*ids, end, *(x + end for x in whole)], pa.binary()).take(pa.array(number))
+        _, offsets, data = laid.buffers()
+        ends = np.frombuffer(offsets, np.int32)[at + 1]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.append(np.int32(0), ends)), data])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encoded(texts).to_pylist()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -128,15 +194,27 @@ def encoder(path: str) -> Encoder:
 def tokens(docs: DataFrame, path: str, closing: int = CLOSING) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): the ids' bytes with the closing id."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         end = np.array([closing], own.dtype).tobytes()
-        for texts in batches:
-            parts = [own.encode(texts.iloc[i : i + 512].fillna("").tolist()) for i in range(0, len(texts), 512)]
-            yield pd.Series([x + end for part in parts for x in part], dtype=object)
+        for batch in batches:
+            texts = batch["text"].fill_null("")
+            part = np.cumsum(pc.binary_length(texts).to_numpy()) // PART_BYTES
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], own.encoded(texts[a:b].to_pylist(), end)], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 
-    return docs.select("doc_id", encode(F.col("text")).alias("ids"))
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document that has some, in order, and how often each occurs; 32-bit numbers are sorted faster than 16-bit ones."""
+    own = ids.astype(np.uint32)
+    own.sort()
+    new = np.ones(len(own) + 1, bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:-1])
+    at = new.nonzero()[0]
+    return own[at[:-1]].astype(ids.dtype), at[1:] - at[:-1]
 
 
 def frequencies(encoded: DataFrame, dtype: str, vocabulary: int) -> tuple[np.ndarray, int, float]:
@@ -147,7 +225,7 @@ def frequencies(encoded: DataFrame, dtype: str, vocabulary: int) -> tuple[np.nda
         for batch in batches:
             for ids in batch["ids"]:
                 own = np.frombuffer(ids, dtype)
-                found[np.unique(own)] += 1
+                found[distinct(own)[0]] += 1
                 rows, length = rows + 1, length + len(own)
         at = np.flatnonzero(found)
         yield pd.DataFrame({"id": np.append(at, [-1, -2]), "n": np.append(found[at], [rows, length])})
@@ -168,11 +246,11 @@ class Shard:
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         terms, docs, weights = [], [], []
         for i, ids in enumerate(documents):
-            found, counts = np.unique(ids, return_counts=True)
+            found, counts = distinct(ids)
             weight = counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / max(mean_length, 1))) * idf[found]
             terms.append(found)
-            docs.append(np.full(len(found), i, np.int32))
-            weights.append(weight.astype(np.float32))
+            docs.append(np.full(len(found), i))
+            weights.append(weight.astype(np.float32).astype(float))  # sums are of doubles
         self.terms, self.size = terms, len(idf)
         self.unused, self.next, self.left = np.ones(len(documents), bool), 0, len(documents)
         term, doc, weight = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
@@ -274,13 +352,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def placed(encoded: DataFrame, dtype: str, counts: np.ndarray, idf: np.ndarray, mean_length: float, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, unnamed, ids, slot, content, shard) of a written table (doc_id, ids), from a table of its own."""
 
+    shared = idf * (counts > 1)
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             slots, contents = [], []
             for ids in batch["ids"]:
                 own = np.frombuffer(ids, dtype)
-                found, n = np.unique(own, return_counts=True)
-                weight = n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / max(mean_length, 1))) * idf[found] * (counts[found] > 1)
+                found, n = distinct(own)
+                weight = n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / max(mean_length, 1))) * shared[found]
                 first = second = int(weight.argmax())
                 if len(weight) > 1:
                     weight[first] = -1
