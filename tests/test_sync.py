@@ -124,3 +124,31 @@ def test_threads_and_turns(spark):
     turns = spark.createDataFrame([("a", "t1", "done", 1, 2, 1), ("z", "t2", "done", 1, 2, 1), ("z", None, "done", 1, 2, 1)], "thread_id string, turn_id string, status string, started_at long, completed_at long, duration_ms long")
     out = codex.turns(turns, codex.threads(table))
     assert out["turns"].count() == 2 and [r.source_run_id for r in out["runs"].collect()] == ["z"]
+
+
+def test_syncs_and_rebuilds_leave_nothing_in_the_shared_folder(spark, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    ledger, settings = Ledger(spark, str(tmp_path / "ledger")), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.parquet.compression.codec")
+    write(tmp_path / "logs", "a.jsonl", [meta("s"), count((100, 10), (100, 10))])
+    before, was = set(os.listdir(shared)), [spark.conf.get(k) for k in settings]
+    sync.sync(spark, ledger, "codex", [str(tmp_path / "logs")])
+    sync.sync(spark, ledger, "opencode", opencode_tables(spark))
+    sync.rebuild(spark, ledger, ["codex", "opencode"])
+    with pytest.raises(ValueError):
+        sync.sync(spark, ledger, "opencode", tuple(df.drop("id") for df in opencode_tables(spark)))
+    assert set(os.listdir(shared)) == before and [spark.conf.get(k) for k in settings] == was
+    assert counted(ledger) and counted(ledger, "opencode")
+
+
+def test_opencode_observations_are_dealt_by_message_once(spark, tmp_path, monkeypatch):
+    """Whether a key is there already is asked where the rows of its message lie."""
+    asked, real = [], Ledger.fresh
+    monkeypatch.setattr(Ledger, "fresh", lambda self, entity, rows, keys, version=None: asked.append(out := real(self, entity, rows, keys, version)) or out)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sync.sync(spark, Ledger(spark, str(tmp_path / "ledger")), "opencode", opencode_tables(spark))
+        plan = asked[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "hashpartitioning(message_id" in plan and "hashpartitioning(observation_key" not in plan and "observation_key#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
