@@ -275,3 +275,21 @@ def test_codex_counts_are_read_at_their_types(spark):
     rows = spark.createDataFrame([("f", 0, '{"type":"session_meta","payload":{"id":"s"}}'), ("f", 1, body)], "file string, ordinal long, line string")
     (found,) = codex.parse(rows)["observations"].collect()
     assert (found.total_input_tokens, found.total_output_tokens, found.total_cache_read_tokens, found.last_input_tokens, found.last_reported_total_tokens) == (7, None, 4, None, 5)
+
+
+def test_pi_usage_is_read_once_and_as_strictly_as_from_variants(spark, tmp_path, monkeypatch):
+    """Lines of direct usage go into one table of columns, without their text; numbers in text, fractions and numbers for names are still refused."""
+    from usagemill.sources import lines as source_lines
+
+    tables, real = [], source_lines.written
+    keep = lambda df, *a: tables.append(df.columns) or real(df, *a)
+    monkeypatch.setattr(source_lines, "written", keep)
+    monkeypatch.setattr(pi, "written", keep)
+    of = lambda id_, **x: {"type": "message", "id": id_, "message": {"role": "assistant", "model": "m", "usage": USE | x}}
+    odd = [of("a"), of("b", input="10"), of("c", input=10.0), of("d", input=10**25), of(5), of("6"), of("7x", cost={"total": "0.5"}), of("e", reasoning="1"), {"type": "message", "id": "f", "message": {"role": "assistant", "model": 5, "usage": USE}}]
+    write(tmp_path, "a.jsonl", pi_log(*odd))
+    out = pi.parse(read(spark, tmp_path))
+    got = {r.entry: (r.model, r.total_cost_nanos, r.reasoning_tokens is None) for r in out["direct"].collect()}
+    assert set(got) == {"a", "6", "7x", "e", "f"} and got["7x"][1] is None and got["a"][1] is not None and got["e"][2] and got["f"][0] is None and got["6"][0] == "m"
+    assert sorted(r.category for r in out["issues"].collect()) == ["invalid_usage"] * 3 + ["missing_usage_identity"]
+    assert sum("input_tokens" in t for t in tables) == 1 and not any("v" in t and "input_tokens" in t for t in tables)
